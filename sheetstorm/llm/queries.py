@@ -7,12 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_and_decode
 from .exact_dedup import exact_dedup
+from .html_extract import extract_main_text
 from .packing import pack_documents
 from .quality import score_quality
 from .simhash import simhash_components
 from .syncmers import compare_with_edits
 from .url_filters import filter_urls, rule_table
+from .warc import archive_pages
 
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -47,6 +50,18 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filters": op3_url_filters,
         "op4_best_fit_packing": op4_best_fit_packing,
         "op5_quality_classifier": op5_quality_classifier,
+        "op6_html_extraction": op6_html_extraction,
+        "op7_byte_bpe": op7_byte_bpe,
+        "op8_warc": op8_warc,
         "op10_fingerprints": op10_fingerprints,
     }
 
