@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,3 +50,15 @@ def ascii_lower(text: Column) -> Column:
 def repeat_rows(df: DataFrame, times: str) -> DataFrame:
     """Each row as often as its column `times` says, numbered from 1 in `copy`."""
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))))
+
+
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written in this block go when it is written, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import encode_and_decode
 from .exact_dedup import exact_dedup
 from .html_extract import extract_main_text
+from .katz import score_documents
 from .packing import pack_documents
 from .quality import score_quality
 from .simhash import simhash_components
@@ -62,6 +63,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_html_extraction": op6_html_extraction,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_warc": op8_warc,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_fingerprints": op10_fingerprints,
     }
 
