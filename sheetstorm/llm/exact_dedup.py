@@ -48,3 +48,24 @@ def exact_dedup(
     judged = repeat_rows(members.join(classes, ["content_hash", "text_sha256"]), "repeats")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
     return judged.select("doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256")
+
+
+def drop_copies(
+    docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", keep: str = "smallest", content_hash: Callable[[Column], Column] = F.md5
+) -> DataFrame:
+    """docs with one row of each text, whole: that with the smallest (or largest) id.
+
+    The groups are those of exact_dedup; the surviving row's other columns travel with the aggregate, so
+    that texts move once and no join follows. Null counts as empty and stays null in the result if the
+    surviving row has it. Of rows that tie on the id, one is kept.
+    """
+    pick = {"smallest": F.min_by, "largest": F.max_by}[keep]
+    text = text_or_empty(docs, text_column)
+    others = F.struct(*(docs[c] for c in docs.columns if c != text_column), docs[text_column].isNull().alias("__is_null"))
+    rows = docs.select(content_hash(text).alias("__hash"), text.alias("__text"), others.alias("__row"))
+    # A row without an id stays only where no row has one.
+    found = F.col(f"__row.`{id_column}`")
+    order = F.struct(found.isNull() if keep == "smallest" else found.isNotNull(), found)
+    kept = rows.groupBy("__hash", "__text").agg(pick("__row", order).alias("__row"))
+    columns = [F.when(~F.col("__row.__is_null"), F.col("__text")).alias(c) if c == text_column else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    return kept.select(*columns)

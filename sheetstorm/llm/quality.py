@@ -183,6 +183,33 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0)) == fold
 
 
+def train_quality(docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", folds: int = 3, held_out: int = 1, train_rows: int = TRAIN_ROWS) -> QualityModel | None:
+    """The model that score_quality uses, for callers that score rows elsewhere."""
+    return fit(durable(statistics(docs).where(~in_fold(F.col("doc_id"), folds, held_out)).join(_known(labels, label_column), "doc_id")), train_rows=train_rows)
+
+
+def _known(labels: DataFrame, label_column: str) -> DataFrame:
+    known = labels.select(labels["doc_id"].alias("doc_id"), labels[label_column].cast("double").alias("label")).where("label is not null and doc_id is not null")
+    return known.groupBy("doc_id").agg(F.avg("label").alias("label"))
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """docs without the rows that the classifier predicts to be bad, with all their columns.
+
+    The rows are scored where they are read, so that no text moves. Without any label all rows stay.
+    """
+    model = train_quality(docs, labels, **options)
+    if model is None:
+        return docs
+
+    @F.pandas_udf("boolean")
+    def is_good(text: pd.Series) -> pd.Series:
+        rows = pd.DataFrame(np.array([document_statistics(t or "") for t in text]).reshape(-1, len(STATISTICS)), columns=STATISTICS)
+        return pd.Series(model.score(rows) >= 0.5)
+
+    return docs.where(is_good(text_or_empty(docs, "text")))
+
+
 def score_quality(
     docs: DataFrame, labels: DataFrame, *, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text", folds: int = 3, held_out: int = 1, train_rows: int = TRAIN_ROWS
 ) -> DataFrame:
@@ -194,9 +221,7 @@ def score_quality(
     Other columns of either table are ignored.
     """
     stats = durable(statistics(docs, id_column=id_column, text_column=text_column).withColumn("held_out", in_fold(F.col("doc_id"), folds, held_out)))
-    known = labels.select(labels["doc_id"].alias("doc_id"), labels[label_column].cast("double").alias("label")).where("label is not null and doc_id is not null")
-    known = known.groupBy("doc_id").agg(F.avg("label").alias("label"))
-    model = fit(durable(stats.where(~F.col("held_out")).join(known, "doc_id")), train_rows=train_rows)
+    model = fit(durable(stats.where(~F.col("held_out")).join(_known(labels, label_column), "doc_id")), train_rows=train_rows)
     if model is None:
         return stats.select("doc_id", "held_out", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
     kind = docs.schema[id_column].dataType.simpleString()
