@@ -28,7 +28,7 @@ START = np.uint64(0)
 #: context keeps something for words that never followed it.
 DISCOUNTED, LEAST_LOSS = 5, 0.01
 #: Buckets of last words at least, tokens of a bucket beyond which there are more, and bytes of text in a block.
-BUCKETS, BUCKET_TOKENS, BLOCK_BYTES = 64, 4_000_000, 1 << 25
+BUCKETS, BUCKET_TOKENS, BLOCK_BYTES = 128, 4_000_000, 1 << 24
 #: A word with more than this share of a bucket's tokens is spread over all buckets by its context.
 HOT_SHARE = 0.25
 ROW = "kind string, bucket int, block long, context long, payload binary, n1 long, n2 long, n3 long, n4 long, n5 long, n6 long, value double"
@@ -128,7 +128,7 @@ class _Block:
         self.ids.append(doc_id)
         self.keys.append(xxhash.xxh64_intdigest(f"{doc_id}:{text}".encode("utf-8", "replace")))
         self.trains.append(train)
-        self.stream.append(np.fromiter((places.setdefault(w, len(places)) for w in words), dtype=np.int64, count=len(words)))
+        self.stream.append(np.fromiter((places.setdefault(w, len(places)) for w in words), dtype=np.int32, count=len(words)))
 
     def rows_for_buckets(self, hot: frozenset[bytes], buckets: int) -> Iterator[pd.DataFrame]:
         words = list(self.places)
@@ -137,10 +137,11 @@ class _Block:
         last = np.concatenate(self.stream)
         lengths = np.fromiter(map(len, self.stream), dtype=np.int64, count=len(self.stream))
         first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        self.stream, self.places = [], {}
         context = np.empty(len(last), dtype=np.uint64)
         context[1:] = hashes[last[:-1]]
         context[first] = START
-        document = np.repeat(np.arange(len(lengths)), lengths)
+        document = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         home = _mix(np.where(is_hot[last], context, hashes[last])) % np.uint64(buckets)
         order = np.argsort(home, kind="stable")
         bounds = np.searchsorted(home[order], np.arange(buckets + 1, dtype=np.uint64))
@@ -203,11 +204,13 @@ def _bucket_results(payloads: list[bytes], bucket: int, model: dict) -> Iterator
         if w in words:
             word_count[words[w]] = c
     group_word, group_context = pair_word[order][new], pair_context[order][new]
+    del pair_context
     total, distinct, d1 = model["total"], model["distinct"], model["d1"]
     base = np.log10((word_count + 0.1) / (total + 0.1 * (distinct + 1)))
     p1 = np.where(word_count > 0, kept(word_count, d1) / total, model["unknown"])
     log_p1 = np.log10(p1)
 
+    del order, new
     seen = count[token_group] > 0
     value = np.where(seen, np.log10(np.maximum(np.where(count > DISCOUNTED, count - LEAST_LOSS, count), 1))[token_group], log_p1[pair_word[pair_of]])
     # As the context of what follows, a word divides by its count; of the unseen that is taken back in the context's own sum.
