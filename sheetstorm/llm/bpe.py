@@ -18,7 +18,7 @@ from .common import text_or_empty
 from .tokens import PATTERN, encoder, read_ranks
 
 #: Bytes of text after which a block ends. Its list of words is all that a task holds of it.
-BLOCK_BYTES = 1 << 25
+BLOCK_BYTES = 1 << 23
 
 
 class Block:
@@ -148,7 +148,7 @@ def decode_bpe(encoded: DataFrame, ranks: str) -> DataFrame:
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         token_bytes = {rank: token for token, rank in read_ranks(ranks).items()}
-        for batch in batches:
+        for batch in (whole.iloc[at : at + 200].copy() for whole in batches for at in range(0, len(whole), 200)):
             batch["decoded"] = [b"".join([token_bytes[i] for i in ids.tolist()]) if ids is not None else b"" for ids in batch["ids"]]
             yield batch.astype({"doc_id": "Int64"}) if pd.api.types.is_numeric_dtype(batch["doc_id"]) else batch
 
