@@ -18,7 +18,12 @@ from .common import text_or_empty
 from .tokens import PATTERN, encoder, read_ranks
 
 #: Bytes of text after which a block ends. Its list of words is all that a task holds of it.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 24
+#: Words whose ids a task packs for their blocks at a time.
+PACKED_WORDS = 300_000
+
+
+OTHER_ROWS = "the input gave other rows when it was read again: write it to a table first"
 
 
 class Block:
@@ -85,45 +90,82 @@ def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_c
                 yield pd.DataFrame({"block": name, "place": np.arange(at, at + len(part), dtype="int32"), "word": part})
 
     def streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3).compress
         for block in _blocks(batches, block_bytes):
             places = np.concatenate(block.stream) if block.stream else np.zeros(0, dtype="<u4")
-            planes = np.ascontiguousarray(places.view(np.uint8).reshape(-1, 4).T)
-            yield pd.DataFrame({"block": [block.name()], "ids": [block.ids], "counts": [block.counts], "stream": [pack(planes.tobytes())]})
+            yield pd.DataFrame({"block": [block.name()], "ids": [block.ids], "counts": [block.counts], "stream": [_planes(places)]})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = encoder(ranks).encode_to_numpy
-        last, ids = None, b""
+        last, ids = None, np.zeros(0, dtype="<u4")
+        blocks, places, found, held = [], [], [], 0
         for batch in batches:
-            out = []
             for word in batch["word"]:
                 if word != last:  # sorted: equal words follow each other
-                    last, ids = word, of(word, disallowed_special=()).astype("<u4").tobytes()
-                out.append(ids)
-            yield pd.DataFrame({"block": batch["block"], "place": batch["place"], "ids": out})
-
-    encoded = rows.mapInPandas(words, "block long, place int, word string").repartition("word").sortWithinPartitions("word").mapInPandas(encode, "block long, place int, ids binary")
+                    last, ids = word, of(word, disallowed_special=())
+                found.append(ids)
+            blocks.append(batch["block"].to_numpy())
+            places.append(batch["place"].to_numpy())
+            held += len(batch)
+            if held >= PACKED_WORDS:
+                yield _pack_ids(np.concatenate(blocks), np.concatenate(places), found)
+                blocks, places, found, held = [], [], [], 0
+        if held:
+            yield _pack_ids(np.concatenate(blocks), np.concatenate(places), found)
+
+    encoded = rows.mapInPandas(words, "block long, place int, word string").repartition("word").sortWithinPartitions("word").mapInPandas(encode, "block long, words int, ids binary")
     placed = rows.mapInPandas(streams, f"block long, ids array<{kind}>, counts array<int>, stream binary")
     together = encoded.groupBy("block").cogroup(placed.groupBy("block"))
     return together.applyInPandas(_assemble, f"doc_id {kind}, ids array<int>")
 
 
-def _assemble(listed: pd.DataFrame, streams: pd.DataFrame) -> pd.DataFrame:
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of equal weight together: small numbers compress well so."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
     import zstandard
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    listed = listed.drop_duplicates("place").sort_values("place")
-    sizes = listed["ids"].map(len).to_numpy(dtype=np.int64) // 4
-    flat = np.frombuffer(b"".join(listed["ids"]), dtype="<u4").astype("int32")
-    begins = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _pack_ids(blocks: np.ndarray, places: np.ndarray, found: list[np.ndarray]) -> pd.DataFrame:
+    """A row per block: how many words, and their places, numbers of ids and ids in one packed array."""
+    order = np.lexsort((places, blocks))
+    bounds = np.flatnonzero(np.concatenate([[True], blocks[order][1:] != blocks[order][:-1], [True]]))
+    rows = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        own = order[a:b]
+        ids = [found[i] for i in own.tolist()]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        steps = np.diff(places[own], prepend=0)
+        rows.append((blocks[own[0]], len(own), _planes(np.concatenate([steps, sizes, *ids]))))
+    return pd.DataFrame(rows, columns=["block", "words", "ids"]).astype({"block": "int64", "words": "int32"})
+
+
+def _assemble(listed: pd.DataFrame, streams: pd.DataFrame) -> pd.DataFrame:
+    places, sizes, flat = [], [], []
+    for n, packed in zip(listed["words"].tolist(), listed["ids"], strict=True):
+        whole = _from_planes(packed).astype(np.int64)
+        places.append(np.cumsum(whole[:n]))
+        sizes.append(whole[n : 2 * n])
+        flat.append(whole[2 * n :].astype("int32"))
+    if len(listed) and not len(streams):
+        raise ValueError(OTHER_ROWS)
+    if len(listed):
+        flat, found, places = np.concatenate(flat), np.concatenate(sizes), np.concatenate(places)
+        starts = np.cumsum(found) - found
+        sizes, begins = np.zeros(places.max() + 1, dtype=np.int64), np.full(places.max() + 1, -1, dtype=np.int64)
+        sizes[places], begins[places] = found, starts  # a block that was read twice lists its words twice, alike
+    else:
+        flat, sizes, begins = (np.zeros(0, dtype=t) for t in ("int32", np.int64, np.int64))
     doc_ids, out = [], []
     for ids, counts, stream in zip(streams["ids"], streams["counts"], streams["stream"], strict=True):
-        planes = np.frombuffer(unpack(stream), dtype=np.uint8).reshape(4, -1)
-        places = np.ascontiguousarray(planes.T).view("<u4").ravel()
-        if len(places) and (places.max() >= len(sizes) or listed["place"].iloc[-1] != len(sizes) - 1):
-            raise ValueError("the input gave other rows when it was read again: write it to a table first")
+        places = _from_planes(stream)
+        if len(places) and (places.max() >= len(sizes) or (begins < 0).any()):
+            raise ValueError(OTHER_ROWS)
         at = 0
         for doc_id, n in zip(ids, counts, strict=True):
             own = places[at : at + n]
@@ -133,8 +175,6 @@ def _assemble(listed: pd.DataFrame, streams: pd.DataFrame) -> pd.DataFrame:
             shift = np.repeat(begins[own] - (np.cumsum(length) - length), length)
             doc_ids.append(doc_id)
             out.append(flat[shift + np.arange(total)])
-    if len(listed) and not len(streams):
-        raise ValueError("the input gave other rows when it was read again: write it to a table first")
     frame = pd.DataFrame({"doc_id": doc_ids, "ids": out})
     return frame.astype({"doc_id": "Int64"}) if all(isinstance(x, (int, np.integer)) or x is None for x in doc_ids) else frame
 
