@@ -1 +1 @@
-
+"""Operators over samples and tables: simulation, summaries, histograms, lookups, scenarios."""

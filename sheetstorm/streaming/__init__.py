@@ -1 +1 @@
-
+"""Progressive runs."""
