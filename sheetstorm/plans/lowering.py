@@ -6,7 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,10 +121,11 @@ def interpret(df: DataFrame, program: Program, outputs: dict[str, int], *, seed:
     """As lower, but in Arrow batches: for programs too wide for generated code, and to check lower by."""
     inputs = sorted({program.ops[r][1] for r in program.needs(list(outputs.values())) if program.ops[r][0] == "input"})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = evaluate(program, outputs, {c: batch[c].to_numpy(dtype=float) for c in inputs}, batch[iteration].to_numpy(), seed)
-            yield pd.DataFrame({iteration: batch[iteration], **found})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # not through pandas, which would turn NaN into null
+            columns = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in inputs}
+            found = evaluate(program, outputs, columns, batch.column(iteration).to_numpy(zero_copy_only=False), seed)
+            yield pa.RecordBatch.from_arrays([batch.column(iteration), *(pa.array(found[name]) for name in outputs)], [iteration, *outputs])
 
     schema = f"`{iteration}` long, " + ", ".join(f"`{name}` double" for name in outputs)
-    return df.select(F.col(iteration).cast("long").alias(iteration), *(F.col(c).cast("double").alias(c) for c in inputs if c != iteration)).mapInPandas(run, schema)
+    return df.select(F.col(iteration).cast("long").alias(iteration), *(F.col(c).cast("double").alias(c) for c in inputs if c != iteration)).mapInArrow(run, schema)
