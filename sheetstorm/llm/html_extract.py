@@ -73,6 +73,8 @@ class Page:
             if not closes and m[3]:
                 marks = sorted({w.lower() for x in ATTRIBUTE.finditer(m[3]) for w in WORD.findall(x[2] or x[3] or x[4] or "")})
                 mark = f"{name}.{'.'.join(marks)}" if marks else name
+            if name == "br" and hidden is None:
+                self._text(" ", block, stack, link)
             if name not in INLINE:
                 block += 1
             if name not in EMPTY and name not in INLINE and name not in HIDDEN:
