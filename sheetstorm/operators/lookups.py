@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import ieee
 from ..functions.calendar import convert
 from ..plans.periods import GRANULARITIES
+from .storage import kept
+
+#: Rows of a table that is broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def exact_lookup(rows: DataFrame, table: DataFrame, key: str, table_key: str, value: str, to: str) -> DataFrame:
@@ -20,21 +24,41 @@ def exact_lookup(rows: DataFrame, table: DataFrame, key: str, table_key: str, va
     return found.withColumn(to, F.coalesce("__value", ieee.nan())).drop("__key", "__value")
 
 
-def nearest_lookup(rows: DataFrame, table: DataFrame, key: str, table_key: str, value: str, to: str, *, descending: bool = False) -> DataFrame:
+def nearest_lookup(
+    rows: DataFrame, table: DataFrame, key: str, table_key: str, value: str, to: str, *, descending: bool = False, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """The value at the last table row (by `position`) whose key is at most the row's key (or at least, if descending).
 
-    Rows and table meet in one sort by key: the running last position does the work of a range join, so
-    that no row is compared with every table row. Keys are spread over ranges by a sample of them; what
-    lies in earlier ranges reaches a range as one row.
+    Of the table rows up to a key the one with the greatest position counts, sorted table or not. A table of
+    up to broadcast_rows rows becomes steps that are broadcast and joined by their interval. A larger one
+    is sorted together with the rows, range by range: a running maximum does the join, and what lies in
+    earlier ranges reaches a range as one row.
     """
     sign = -1 if descending else 1
     steps = table.select((F.col(table_key).cast("double") * sign).alias("__key"), F.struct("position", F.col(value).cast("double").alias("value")).alias("__step")).where("__key is not null and not isnan(__key)")
-    # Of the rows up to a key the one with the greatest position counts, sorted table or not.
+    keyed = rows.withColumn("__row_key", F.col(key).cast("double") * sign)
+    if table.count() > broadcast_rows:
+        return _nearest_by_sorting(keyed, steps, to)
     best = steps.groupBy("__key").agg(F.max("__step").alias("__step"))
-    grid = best.withColumn("__until", F.lead("__key").over(Window.orderBy("__key"))).withColumn("__step", F.max("__step").over(Window.orderBy("__key")))
-    numbered = rows.withColumn("__row_key", F.col(key).cast("double") * sign)
+    order = Window.orderBy("__key")  # over at most broadcast_rows rows
+    grid = best.withColumn("__until", F.lead("__key").over(order)).withColumn("__step", F.max("__step").over(order))
     inside = (F.col("__row_key") >= F.col("__key")) & (F.col("__until").isNull() | (F.col("__row_key") < F.col("__until"))) & ~F.isnan("__row_key")
-    return numbered.join(F.broadcast(grid), inside, "left").withColumn(to, F.coalesce("__step.value", ieee.nan())).drop("__key", "__until", "__step", "__row_key")
+    return keyed.join(F.broadcast(grid), inside, "left").withColumn(to, F.coalesce("__step.value", ieee.nan())).drop("__key", "__until", "__step", "__row_key")
+
+
+def _nearest_by_sorting(keyed: DataFrame, steps: DataFrame, to: str) -> DataFrame:
+    columns = [c for c in keyed.columns if c != "__row_key"]
+    usable = F.col("__row_key").isNotNull() & ~F.isnan("__row_key")
+    asked = keyed.where(usable).select(F.col("__row_key").alias("__key"), F.struct(*columns).alias("__row"))
+    both = steps.unionByName(asked, allowMissingColumns=True).repartitionByRange(F.col("__key"))
+    dealt = kept(both.withColumn("__part", F.spark_partition_id()))
+    # A table row comes before the rows with an equal key.
+    running = Window.partitionBy("__part").orderBy("__key", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    parts = dealt.groupBy("__part").agg(F.max("__step").alias("__last"))  # a row per partition
+    earlier = parts.select("__part", F.max("__last").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))
+    found = dealt.withColumn("__found", F.max("__step").over(running)).where(F.col("__row").isNotNull()).join(F.broadcast(earlier), "__part")
+    best = found.select("__row.*", F.coalesce(F.greatest("__found", "__earlier")["value"], ieee.nan()).alias(to))
+    return best.unionByName(keyed.where(~usable | F.col("__row_key").isNull()).select(*columns, ieee.nan().alias(to)))
 
 
 def at_position(values: list[float | None], position: Column) -> Column:

@@ -136,6 +136,11 @@ def test_tables_of_lookups(spark):
     table = spark.createDataFrame([(1, 0.0, 10.0), (2, 7.0, 20.0), (3, 3.0, 30.0)], "position int, low double, v double")
     found = {r.k: r.y for r in lookups.nearest_lookup(rows, table, "x", "low", "v", "y").collect()}
     assert found[1] == 30.0 and math.isnan(found[2]) and math.isnan(found[3])
+    large = spark.range(3000).select(F.col("id").alias("position"), (F.pmod(F.col("id") * 7919, F.lit(3001)) / 3).alias("low"), F.col("id").cast("double").alias("v"))
+    many = spark.range(2000).select(F.col("id").alias("k"), F.when(F.col("id") % 50 != 0, F.col("id") / 2.0 - 10).alias("x"))
+    for descending in (False, True):
+        a, b = ({r.k: r.y for r in lookups.nearest_lookup(many, large, "x", "low", "v", "y", descending=descending, broadcast_rows=n).collect()} for n in (10, 10_000))
+        assert a.keys() == b.keys() and len(a) == 2000 and [a[k] for k in sorted(a)] == pytest.approx([b[k] for k in sorted(b)], nan_ok=True)
     assert apply_formulas(rows, {"y": "=IFERROR(x*2,-1)"}, iteration="k").orderBy("k").first().y == 10.0
 
 
