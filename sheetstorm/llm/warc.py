@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, scratch
+from .common import durable, scratch, short_lived_shuffles
 
 #: Payload bytes after which a task starts a new archive file.
 FILE_BYTES = 1 << 28
@@ -117,7 +117,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_column: str = "page_id",
             number += 1
             yield pd.DataFrame({"file": [name], "records": [records], "payload_bytes": [total]})
 
-    return durable(joined.select("page_id", "url", "payload", refers.alias("original")).mapInPandas(write, "file string, records long, payload_bytes long"))
+    with short_lived_shuffles(pages.sparkSession):
+        return durable(joined.select("page_id", "url", "payload", refers.alias("original")).mapInPandas(write, "file string, records long, payload_bytes long"))
 
 
 def _records(batches: Iterator[pd.DataFrame], date: str) -> Iterator[tuple[bytes, int]]:
