@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, with_text_ids
 from .tokens import PATTERN, encoder, read_ranks
 
 #: Bytes of text after which a block ends. Its list of words is all that a task holds of it.
@@ -60,8 +60,7 @@ def _blocks(batches: Iterator[pd.DataFrame], block_bytes: int) -> Iterator[Block
     find = regex.compile(PATTERN).findall
     block = Block()
     for batch in batches:
-        ids = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None)
-        for doc_id, text in zip(ids, batch["text"], strict=True):
+        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
             block.add(doc_id, text, find(text))
             if block.bytes >= block_bytes:
                 yield block
@@ -79,8 +78,8 @@ def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_c
     are missing is an error, never a wrong result. Repeated rows are returned as often as they occur;
     rows without an id like any other. Other columns of docs are ignored.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs, text_column).alias("text"))
+    kind = docs.schema[id_column].dataType
+    rows = with_text_ids(docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs, text_column).alias("text")))
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in _blocks(batches, block_bytes):
@@ -113,9 +112,9 @@ def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_c
             yield _pack_ids(np.concatenate(blocks), np.concatenate(places), found)
 
     encoded = rows.mapInPandas(words, "block long, place int, word string").repartition("word").sortWithinPartitions("word").mapInPandas(encode, "block long, words int, ids binary")
-    placed = rows.mapInPandas(streams, f"block long, ids array<{kind}>, counts array<int>, stream binary")
+    placed = rows.mapInPandas(streams, "block long, ids array<string>, counts array<int>, stream binary")
     together = encoded.groupBy("block").cogroup(placed.groupBy("block"))
-    return together.applyInPandas(_assemble, f"doc_id {kind}, ids array<int>")
+    return together.applyInPandas(_assemble, "doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -175,8 +174,7 @@ def _assemble(listed: pd.DataFrame, streams: pd.DataFrame) -> pd.DataFrame:
             shift = np.repeat(begins[own] - (np.cumsum(length) - length), length)
             doc_ids.append(doc_id)
             out.append(flat[shift + np.arange(total)])
-    frame = pd.DataFrame({"doc_id": doc_ids, "ids": out})
-    return frame.astype({"doc_id": "Int64"}) if all(isinstance(x, (int, np.integer)) or x is None for x in doc_ids) else frame
+    return pd.DataFrame({"doc_id": doc_ids, "ids": out})
 
 
 def decode_bpe(encoded: DataFrame, ranks: str) -> DataFrame:
@@ -190,10 +188,11 @@ def decode_bpe(encoded: DataFrame, ranks: str) -> DataFrame:
         token_bytes = {rank: token for token, rank in read_ranks(ranks).items()}
         for batch in (whole.iloc[at : at + 200].copy() for whole in batches for at in range(0, len(whole), 200)):
             batch["decoded"] = [b"".join([token_bytes[i] for i in ids.tolist()]) if ids is not None else b"" for ids in batch["ids"]]
-            yield batch.astype({"doc_id": "Int64"}) if pd.api.types.is_numeric_dtype(batch["doc_id"]) else batch
+            yield batch
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInPandas(decode, f"{fields}, decoded binary")
+    texts = with_text_ids(encoded)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
+    return texts.mapInPandas(decode, f"{fields}, decoded binary").withColumn("doc_id", F.col("doc_id").cast(encoded.schema["doc_id"].dataType))
 
 
 def encode_and_decode(docs: DataFrame, ranks: str, **columns: str) -> DataFrame:

@@ -47,6 +47,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def with_text_ids(df: DataFrame, *columns: str) -> DataFrame:
+    """Ids as text on their way into pandas, which would make floats of whole numbers beside nulls."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns or ("doc_id",)})
+
+
 def repeat_rows(df: DataFrame, times: str) -> DataFrame:
     """Each row as often as its column `times` says, numbered from 1 in `copy`."""
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))))

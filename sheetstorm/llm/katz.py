@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import repeat_rows, scratch, short_lived_shuffles, text_or_empty
+from .common import repeat_rows, scratch, short_lived_shuffles, text_or_empty, with_text_ids
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The end of a text as a word; no word is empty.
@@ -310,7 +310,7 @@ def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column:
         block, spread = _Block(), frozenset(hot)
         for batch in batches:
             for doc_id, test, text in zip(batch["doc_id"], batch["held_out"], batch["text"], strict=True):
-                block.add(None if pd.isna(doc_id) else int(doc_id), not test, text)
+                block.add(None if doc_id is None else int(doc_id), not test, text)
                 if block.bytes >= block_bytes:
                     yield from block.rows_for_buckets(spread, buckets)
                     block = _Block()
@@ -320,7 +320,7 @@ def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     def gather(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         return pd.concat(list(_bucket_results(parts["payload"].tolist(), int(key[0]), model)), ignore_index=True)
 
-    dealt = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text").mapInPandas(deal, "bucket int, payload binary")
+    dealt = with_text_ids(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")).mapInPandas(deal, "bucket int, payload binary")
     with short_lived_shuffles(spark):
         dealt.groupBy("bucket").applyInPandas(gather, ROW).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/bigrams")
     tables = spark.read.schema(ROW).parquet(f"{folder}/bigrams")

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import text_or_empty, with_text_ids
 from .tokens import encoder
 
 #: Open bins of one packer. With longer pieces first, a packer of up to this many bins closes none early.
@@ -66,21 +66,22 @@ def token_pieces(
     A document is the ids of its text and end_id. Texts are tokenised where they are read, a batch at a
     time, and leave the task as pieces only. Null counts as empty: such a document is end_id alone.
     """
-    schema = f"doc_id {docs.schema[id_column].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    kind = docs.schema[id_column].dataType
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(vocabulary).encode_to_numpy
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].tolist() if batch["doc_id"].notna().all() else batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), batch["text"], strict=True):
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = np.append(encode(text, disallowed_special=()), end_id).astype("<u4")
                 for k, (start, size) in enumerate(cut(len(ids), length)):
                     own = ids[start : start + size]
                     rows.append((doc_id, k, start, size, zlib.crc32(own.tobytes()), *([own.astype("int32")] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            yield out.astype({"doc_id": "Int64"}) if pd.api.types.is_numeric_dtype(batch["doc_id"]) else out
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs, text_column).alias("text")).mapInPandas(pieces, schema)
+    rows = with_text_ids(docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs, text_column).alias("text")))
+    return rows.mapInPandas(pieces, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def pack_pieces(pieces: DataFrame, *, length: int = 1024, open_bins: int = OPEN_BINS) -> DataFrame:
@@ -101,9 +102,10 @@ def pack_pieces(pieces: DataFrame, *, length: int = 1024, open_bins: int = OPEN_
             batch["offset"] = np.array([at for _, at in placed], dtype="int64")
             yield batch
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    dealt = pieces.repartition(*key).sortWithinPartitions(F.desc("length"), *key)
-    return dealt.mapInPandas(pack, f"{fields}, sequence_id long, offset long")
+    dealt = with_text_ids(pieces.repartition(*key).sortWithinPartitions(F.desc("length"), *key))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    packed = dealt.mapInPandas(pack, f"{fields}, sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast(pieces.schema["doc_id"].dataType))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, *, length: int = 1024, end_id: int = 2, open_bins: int = OPEN_BINS, **columns: str) -> DataFrame:

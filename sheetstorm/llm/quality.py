@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_or_empty
+from .common import durable, text_or_empty, with_text_ids
 
 STATISTICS = [
     "log_bytes", "log_words", "word_bytes", "longest_word", "short_words", "distinct_words", "top_word",
@@ -73,16 +73,16 @@ def document_statistics(text: str) -> list[float]:
 def statistics(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and one double column for each of STATISTICS, computed where the texts are read."""
     names = ", ".join(f"{x} double" for x in STATISTICS)
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind = docs.schema[id_column].dataType
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = pd.DataFrame(np.array([document_statistics(t) for t in batch["text"]]).reshape(-1, len(STATISTICS)), columns=STATISTICS)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out.astype({"doc_id": "Int64"}) if pd.api.types.is_numeric_dtype(batch["doc_id"]) else out
+            yield out
 
     rows = docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs, text_column).alias("text"))
-    return rows.mapInPandas(compute, f"doc_id {kind}, {names}")
+    return with_text_ids(rows).mapInPandas(compute, f"doc_id string, {names}").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 @dataclass(frozen=True)
@@ -224,11 +224,12 @@ def score_quality(
     model = fit(durable(stats.where(~F.col("held_out")).join(_known(labels, label_column), "doc_id")), train_rows=train_rows)
     if model is None:
         return stats.select("doc_id", "held_out", F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind = docs.schema[id_column].dataType
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             scores = model.score(batch)
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": scores, "predicted": (scores >= 0.5).astype("int32")})
 
-    return stats.mapInPandas(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    scored = with_text_ids(stats).mapInPandas(score, "doc_id string, held_out boolean, score double, predicted int")
+    return scored.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, short_lived_shuffles, text_or_empty
+from .common import durable, short_lived_shuffles, text_or_empty, with_text_ids
 from .components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -52,7 +52,7 @@ def simhash(features: list[bytes], seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, *, words: int = 4, seeds: tuple[int, ...] = (42,), distinct: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and one 64-bit fingerprint for each seed: f0, f1, ... (long, the bits of the unsigned number)."""
     names = [f"f{i}" for i in range(len(seeds))]
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind = docs.schema[id_column].dataType
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -64,10 +64,11 @@ def fingerprints(docs: DataFrame, *, words: int = 4, seeds: tuple[int, ...] = (4
                 rows.append([simhash(features, seed) for seed in seeds])
             out = pd.DataFrame(np.array(rows, dtype=np.uint64).reshape(-1, len(seeds)).view(np.int64), columns=names)
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out.astype({"doc_id": "Int64"}) if pd.api.types.is_numeric_dtype(batch["doc_id"]) else out
+            yield out
 
     rows = docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs, text_column).alias("text"))
-    return rows.mapInPandas(compute, f"doc_id {kind}, " + ", ".join(f"{n} long" for n in names))
+    found = with_text_ids(rows).mapInPandas(compute, "doc_id string, " + ", ".join(f"{n} long" for n in names))
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def ball(radius: int) -> np.ndarray:
@@ -94,8 +95,8 @@ def _class_column(value: Column, rows: np.ndarray) -> Column:
     return out
 
 
-def _collisions(values: np.ndarray, owners: np.ndarray, neighbours: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of owners that share a value: each with the smallest position there and the next few ones."""
+def _collisions(values: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of owners that share a value with another: each paired with the smallest position there."""
     order = np.argsort(values)
     ordered = values[order]
     same = np.flatnonzero(ordered[1:] == ordered[:-1])
@@ -104,16 +105,10 @@ def _collisions(values: np.ndarray, owners: np.ndarray, neighbours: int) -> tupl
     in_run = np.unique(np.concatenate([same, same + 1]))
     begins = np.flatnonzero(np.concatenate([[True], ordered[in_run[1:]] != ordered[in_run[:-1]]]))
     members = owners[order[in_run]]
-    run = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(members))))
-    first, second = [np.minimum.reduceat(members, begins)[run]], [members]
-    for k in range(1, neighbours + 1):
-        close = run[k:] == run[:-k]
-        first.append(members[:-k][close])
-        second.append(members[k:][close])
-    return np.concatenate(first), np.concatenate(second)
+    return np.repeat(np.minimum.reduceat(members, begins), np.diff(np.append(begins, len(members)))), members
 
 
-def linked_fingerprints(values: DataFrame, *, radius: int = 4, neighbours: int = 0) -> DataFrame:
+def linked_fingerprints(values: DataFrame, *, radius: int = 4) -> DataFrame:
     """Pairs a < b of fingerprints that link everything within `radius` bits: verified, and enough for components.
 
     values has one long column, fingerprint, without repeats. Two fingerprints within the radius share a
@@ -126,7 +121,6 @@ def linked_fingerprints(values: DataFrame, *, radius: int = 4, neighbours: int =
 
     All fingerprints that share a variant are within the radius of each other, so that each is paired
     with the smallest of them only: a group of n copies gives about n pairs a variant, not n squared.
-    `neighbours` adds pairs with as many further sharers, for callers that verify pairs by more.
     """
     flips = ball((radius + 1) // 2)
     count = values.count()
@@ -163,9 +157,9 @@ def linked_fingerprints(values: DataFrame, *, radius: int = 4, neighbours: int =
                     made.append((own[at][:, None] ^ flip[None, :]).ravel())
                     owners.append(np.repeat(at, len(flip)))
             if made:
-                least, members = _collisions(np.concatenate(made), np.concatenate(owners), neighbours)
+                least, members = _collisions(np.concatenate(made), np.concatenate(owners))
                 keep = least != members
-                found.append(np.unique(np.minimum(least, members)[keep] * len(own) + np.maximum(least, members)[keep]))
+                found.append(np.unique(least[keep] * len(own) + members[keep]))
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
         signed = own.view(np.int64)
         return pd.DataFrame({"a": signed[pairs // max(1, len(own))], "b": signed[pairs % max(1, len(own))]})
@@ -232,7 +226,7 @@ def near_duplicate_groups(
         least = durable(rows.groupBy(F.col(f"f{i}").alias("fingerprint")).agg(F.min("doc_id").alias("least_id")))
         same = rows.select("doc_id", F.col(f"f{i}").alias("fingerprint")).join(least, "fingerprint").where("doc_id > least_id").select(F.col("least_id").alias("a"), F.col("doc_id").alias("b"))
         with short_lived_shuffles(spark):
-            pairs = durable(linked_fingerprints(least.select("fingerprint"), radius=radius, neighbours=4))
+            pairs = durable(linked_fingerprints(least.select("fingerprint"), radius=radius))
         of_a, of_b = (least.select(F.col("fingerprint").alias(x), F.col("least_id").alias(f"id_{x}")) for x in "ab")
         near = pairs.join(of_a, "a").join(of_b, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
         found = same.unionByName(near)

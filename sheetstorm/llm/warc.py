@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, scratch, short_lived_shuffles
+from .common import durable, scratch, short_lived_shuffles, with_text_ids
 
 #: Payload bytes after which a task starts a new archive file.
 FILE_BYTES = 1 << 28
@@ -53,7 +53,7 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, original: int | None, date: str) -> bytes:
+def record_bytes(page_id: int | str | None, url: str | None, payload: bytes, original: int | str | None, date: str) -> bytes:
     """A response record, or a revisit of `original`; its HTTP headers keep the length of the full payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if original is not None else http + payload
@@ -118,14 +118,13 @@ def write_archives(pages: DataFrame, folder: str, *, id_column: str = "page_id",
             yield pd.DataFrame({"file": [name], "records": [records], "payload_bytes": [total]})
 
     with short_lived_shuffles(pages.sparkSession):
-        return durable(joined.select("page_id", "url", "payload", refers.alias("original")).mapInPandas(write, "file string, records long, payload_bytes long"))
+        return durable(with_text_ids(joined.select("page_id", "url", "payload", refers.alias("original")), "page_id", "original").mapInPandas(write, "file string, records long, payload_bytes long"))
 
 
 def _records(batches: Iterator[pd.DataFrame], date: str) -> Iterator[tuple[bytes, int]]:
     for batch in batches:
         for page_id, url, payload, original in zip(batch["page_id"], batch["url"], batch["payload"], batch["original"], strict=True):
-            ids = [None if pd.isna(x) else int(x) for x in (page_id, original)]
-            yield record_bytes(ids[0], url, bytes(payload), ids[1], date), len(payload)
+            yield record_bytes(page_id, url, bytes(payload), original, date), len(payload)
 
 
 def normalise_archives(files: DataFrame, folder: str, target: str) -> DataFrame:
@@ -202,7 +201,8 @@ def read_records(index: DataFrame, folder: str, *, with_payload: bool = False) -
 
 def _frame(rows: list[tuple], with_payload: bool) -> pd.DataFrame:
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if with_payload else [])]
-    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+    columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: () for n in names}
+    return pd.DataFrame({n: pd.array(list(v), dtype="Int64") if n in ("page_id", "refers_to") else list(v) for n, v in columns.items()})
 
 
 def _parse(member: bytes, with_payload: bool) -> tuple:
