@@ -1,7 +1,8 @@
-"""SimHash near-duplicates: fingerprints, meet-in-the-middle ball hashing, components, verified groups."""
+"""Near-duplicates: SimHash fingerprints, meet-in-the-middle ball hashing, components; verified groups by prefix filter."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -23,6 +24,11 @@ BUCKET_ROWS = 32_000_000
 BROADCAST_NODES = 1_000_000
 #: Variants that a task holds at once (about 20 bytes each).
 HELD_VARIANTS = 3_000_000
+#: Documents by which common shingles are found, and how many of these; neither changes a result.
+SAMPLED_DOCS = 10_000
+COMMON_SHINGLES = 20_000
+#: Columns of a document and their names for the one that it meets.
+OTHER = {"doc_id": "other_id", "n": "other_n", "component": "other_component"}
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -202,41 +208,81 @@ def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(compute, "doc_id long, shingles array<long>")
 
 
-def near_duplicate_groups(
-    docs: DataFrame, *, words: int = 5, similarity: float = 0.8, radius: int = 4, seeds: tuple[int, ...] = (1, 2, 3, 4, 5, 6), id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
+def _labelled(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """token, doc_id, n and the component of each doc_id, itself where groups have none."""
+    found = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("found"))
+    return durable(met.join(found, "doc_id", "left").select("token", "doc_id", "n", F.coalesce("found", "doc_id").alias("component")))
+
+
+def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
+    """Hashes of the commonest shingles of about SAMPLED_DOCS documents, the commonest last.
+
+    They only order what `_prefixes` takes: any list gives the same groups, a good one fewer candidates.
+    """
+    every = max(1, docs.count() // SAMPLED_DOCS)
+    sets = _shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), words)
+    counts = sets.select(F.explode("shingles").alias("token")).groupBy("token").count().where("count > 1")
+    rows = counts.orderBy(F.desc("count"), "token").limit(COMMON_SHINGLES).collect()
+    return np.array([r["token"] for r in reversed(rows)], dtype=np.int64)
+
+
+def _prefixes(docs: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """token, doc_id and n (shingles of the text): of each text so many of its rarest shingles that similar texts share one.
+
+    Sets of n and m shingles at the similarity share that part of both n and m; whatever the order, one
+    of these is then among the first n - ceil(similarity * n) + 1 of the one set and the like of the
+    other. Texts without words have the token 0.
+    """
+    order = np.argsort(common)
+    ordered = common[order]
+
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                tokens, ids, sizes = [], [], []
+                for doc_id, text in zip(batch["doc_id"].iloc[at : at + 1000], batch["text"].iloc[at : at + 1000], strict=True):
+                    found = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, words)), dtype=np.uint64)).view(np.int64)
+                    n = len(found)
+                    rank = np.zeros(n, dtype=np.int64)
+                    if len(ordered):
+                        place = np.minimum(np.searchsorted(ordered, found), len(ordered) - 1)
+                        rank = np.where(ordered[place] == found, order[place] + 1, 0)
+                    found = found[np.lexsort((found, rank))][: n - math.ceil(similarity * n - 1e-6) + 1] if n else np.zeros(1, dtype=np.int64)
+                    tokens.append(found)
+                    ids += [doc_id] * len(found)
+                    sizes += [n] * len(found)
+                yield pd.DataFrame({"token": np.concatenate(tokens), "doc_id": ids, "n": sizes})
+
+    return docs.mapInPandas(compute, "token long, doc_id long, n int")
+
+
+def near_duplicate_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id and group (its smallest doc_id) of every document that is a near-duplicate of another.
 
-    Candidates have SimHash fingerprints of their distinct words within `radius` bits for one of the
-    seeds; they are near-duplicates if their sets of `words`-word shingles have a Jaccard similarity of
-    `similarity` or more, and groups are what such links connect. SimHash of the shingles themselves
-    would not do: at similarity 0.8 it differs in about ten of its 64 bits, where the words' differs in
-    about three. Each seed alone finds about two thirds of the pairs.
+    Documents are near-duplicates if their sets of `words`-word shingles have a Jaccard similarity of
+    `similarity` or more, and groups are what such links connect. This is exact: candidates share one of
+    the shingles of `_prefixes`, which all such pairs do, and are verified on their whole sets.
 
-    First every document is compared with its smallest candidate; then candidates that this leaves in
-    different groups are compared, so that a group of n copies costs about n comparisons. Documents
-    without an id are never grouped; repeated ids count once, by one of their texts. Texts without words
-    have equal, empty sets and are near-duplicates of each other.
+    One sharer of a shingle is compared with the others that are not in its group. Then all that share
+    a shingle and are still in different groups are compared. Documents without an id are never grouped;
+    repeated ids count once, by one of their texts. Texts without words have equal, empty sets and are
+    near-duplicates of each other.
     """
     spark = docs.sparkSession
     known = docs.select(docs[id_column].cast("long").alias("doc_id"), text_or_empty(docs, text_column).alias("text")).where("doc_id is not null")
-    rows = durable(fingerprints(known, words=1, seeds=seeds, distinct=True))
-    edges = None
-    for i in range(len(seeds)):
-        least = durable(rows.groupBy(F.col(f"f{i}").alias("fingerprint")).agg(F.min("doc_id").alias("least_id")))
-        same = rows.select("doc_id", F.col(f"f{i}").alias("fingerprint")).join(least, "fingerprint").where("doc_id > least_id").select(F.col("least_id").alias("a"), F.col("doc_id").alias("b"))
-        with short_lived_shuffles(spark):
-            pairs = durable(linked_fingerprints(least.select("fingerprint"), radius=radius))
-        of_a, of_b = (least.select(F.col("fingerprint").alias(x), F.col("least_id").alias(f"id_{x}")) for x in "ab")
-        near = pairs.join(of_a, "a").join(of_b, "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
-        found = same.unionByName(near)
-        edges = found if edges is None else edges.unionByName(found)
-    edges = durable(edges.distinct())
-    nodes = durable(edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    wanted = known.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "doc_id", "left_semi")
-    sets = durable(_shingle_sets(wanted, words).dropDuplicates(["doc_id"]))
+    version = F.xxhash64("text")
+    repeated = durable(known.groupBy("doc_id").agg(F.min(version).alias("version"), F.max(version).alias("other")).where("version <> other").select("doc_id", "version"))
+    if not repeated.isEmpty():
+        few = repeated.count() <= BROADCAST_NODES
+        known = known.join(F.broadcast(repeated) if few else repeated, "doc_id", "left").where(F.coalesce(F.col("version") == version, F.lit(True))).drop("version")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        wanted = known.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "doc_id", "left_semi")
+        with short_lived_shuffles(spark):
+            sets = durable(_shingle_sets(wanted, words).dropDuplicates(["doc_id"]))
         of_a, of_b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         common = F.size(F.array_intersect("set_a", "set_b"))
         either = F.size("set_a") + F.size("set_b") - common
@@ -244,12 +290,24 @@ def near_duplicate_groups(
         with short_lived_shuffles(spark):
             return durable(pairs.join(of_a, "a").join(of_b, "b").where(close).select("a", "b"))
 
-    first = verified(edges.groupBy("b").agg(F.min("a").alias("a")))
-    groups = connected_components(first)
-    of_a, of_b = (groups.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}")) for x in "ab")
-    apart = edges.join(of_a, "a", "left").join(of_b, "b", "left").where(F.coalesce("in_a", "a") != F.coalesce("in_b", "b")).select("a", "b")
-    return connected_components(first.unionByName(verified(apart))).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
-
+    def candidates(met: DataFrame) -> DataFrame:
+        """met: doc_id, n and component of two that share a shingle (the other's named other_id, ...)."""
+        able = F.least("n", "other_n") >= similarity * F.greatest("n", "other_n") - 1e-6
+        apart = met.where((F.col("component") != F.col("other_component")) & able)
+        with short_lived_shuffles(spark):
+            return durable(apart.select(F.least("doc_id", "other_id").alias("a"), F.greatest("doc_id", "other_id").alias("b")).distinct())
+
+    with short_lived_shuffles(spark):
+        live = durable(_prefixes(known, words, similarity, _common_shingles(known, words)).withColumn("component", F.col("doc_id")))
+    chosen = live.groupBy("token").agg(F.min(F.struct("doc_id", "n", "component")).alias("chosen"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    others = chosen.select("token", *(F.col(f"chosen.{x}").alias(y) for x, y in OTHER.items()))
+    with short_lived_shuffles(spark):
+        met = durable(live.join(others, "token").where("doc_id <> other_id"))
+    edges = verified(candidates(met))
+    live = _labelled(met, connected_components(edges))
+    more = live.select("token", *(F.col(x).alias(y) for x, y in OTHER.items()))
+    edges = edges.unionByName(verified(candidates(live.join(more, "token").where("doc_id < other_id"))))
+    return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group of near_duplicate_groups, the one with the smallest id.

@@ -53,6 +53,39 @@ def test_near_duplicates_against_brute_force(spark):
     assert smallest_linked([1, 1], [5, 3]) == [3, 3]
 
 
+def grouped(rows):
+    """The smallest id that links by brute force reach, for each row."""
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_appended_cut_and_replaced_passages(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for at in range(45):
+        words = rng.choices(vocabulary, k=rng.randint(100, 300))
+        n = int(len(words) * rng.uniform(0.05, 0.16))
+        fresh = rng.choices(vocabulary, k=n)
+        texts += [words, [words + fresh, words[:-n], words[:40] + fresh[: n // 2] + words[40 + n // 2 :]][at % 3]]
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    wanted = grouped(rows)
+    assert sum(i != g for i, g in wanted.items()) > 35
+    got = {r.doc_id: r.group for r in near_duplicate_groups(odd_documents(spark, rows)).collect()}
+    assert {i: got.get(i, i) for i in wanted} == wanted
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     once = drop_copies(docs, keep="largest").collect()
