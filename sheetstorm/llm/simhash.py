@@ -27,6 +27,9 @@ HELD_VARIANTS = 3_000_000
 #: Documents by which common shingles are found, and how many of these; neither changes a result.
 SAMPLED_DOCS = 10_000
 COMMON_SHINGLES = 20_000
+#: Sharers of a shingle that are compared with the others one after another before all pairs are, and the pairs for each row that need no further turn.
+TURNS = 8
+PAIRS_A_ROW = 2
 #: Columns of a document and their names for the one that it meets.
 OTHER = {"doc_id": "other_id", "n": "other_n", "component": "other_component"}
 
@@ -265,10 +268,13 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, similarity: float
     `similarity` or more, and groups are what such links connect. This is exact: candidates share one of
     the shingles of `_prefixes`, which all such pairs do, and are verified on their whole sets.
 
-    One sharer of a shingle is compared with the others that are not in its group. Then all that share
-    a shingle and are still in different groups are compared. Documents without an id are never grouped;
-    repeated ids count once, by one of their texts. Texts without words have equal, empty sets and are
-    near-duplicates of each other.
+    One sharer of each shingle, chosen by hash, is compared with the others that are not in its group
+    and then leaves; those of them that are still in different groups hand on to another, so that an
+    outsider hides nothing. When at most PAIRS_A_ROW pairs a row are left, or after TURNS, all pairs of
+    different groups that still share a shingle are compared: a dense group of n copies costs about n
+    comparisons a turn, while dissimilar texts that share a rarest shingle cost each of their pairs.
+    Documents without an id are never grouped; repeated ids count once, by one of their texts. Texts
+    without words have equal, empty sets and are near-duplicates of each other.
     """
     spark = docs.sparkSession
     known = docs.select(docs[id_column].cast("long").alias("doc_id"), text_or_empty(docs, text_column).alias("text")).where("doc_id is not null")
@@ -299,16 +305,26 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, similarity: float
 
     with short_lived_shuffles(spark):
         live = durable(_prefixes(known, words, similarity, _common_shingles(known, words)).withColumn("component", F.col("doc_id")))
-    chosen = live.groupBy("token").agg(F.min(F.struct("doc_id", "n", "component")).alias("chosen"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    others = chosen.select("token", *(F.col(f"chosen.{x}").alias(y) for x, y in OTHER.items()))
-    with short_lived_shuffles(spark):
-        met = durable(live.join(others, "token").where("doc_id <> other_id"))
-    edges = verified(candidates(met))
-    live = _labelled(met, connected_components(edges))
-    more = live.select("token", *(F.col(x).alias(y) for x, y in OTHER.items()))
-    edges = edges.unionByName(verified(candidates(live.join(more, "token").where("doc_id < other_id"))))
+    edges = None
+    for turn in range(TURNS):
+        order = F.xxhash64("doc_id", F.lit(turn))
+        chosen = live.groupBy("token").agg(F.min(F.struct(order, "doc_id", "n", "component")).alias("chosen"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        others = chosen.select("token", *(F.col(f"chosen.{x}").alias(y) for x, y in OTHER.items()))
+        with short_lived_shuffles(spark):
+            met = durable(live.join(others, "token").where("doc_id <> other_id"))
+        found = verified(candidates(met))
+        edges = found if edges is None else edges.unionByName(found)
+        live = _labelled(met, connected_components(edges))
+        parts = live.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("inside"))
+        rows, left = parts.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2)).first()
+        if (left or 0) <= PAIRS_A_ROW * (rows or 0):
+            break
+    if left:
+        more = live.select("token", *(F.col(x).alias(y) for x, y in OTHER.items()))
+        edges = edges.unionByName(verified(candidates(live.join(more, "token").where("doc_id < other_id and component <> other_component"))))
     return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
 
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group of near_duplicate_groups, the one with the smallest id.
 

@@ -86,6 +86,21 @@ def test_appended_cut_and_replaced_passages(spark):
     assert {i: got.get(i, i) for i in wanted} == wanted
 
 
+def test_outsiders_with_the_smallest_id_hide_nothing(spark):
+    rng = random.Random(9)
+    rows = []
+    for _ in range(3):
+        words = [f"w{x}" for x in rng.sample(range(10**6), 120)]
+        texts = [rng.sample(words, len(words)), words]
+        for at in (20, 60, 90):
+            texts.append([*words[:at], words[at + 1], words[at], *words[at + 2 :]])
+        texts.append(words[:5] + [f"x{x}" for x in rng.sample(range(10**6), 100)])
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.group for r in near_duplicate_groups(odd_documents(spark, rows)).collect()}
+    wanted = grouped(rows)
+    assert {i: got.get(i, i) for i, _ in rows} == wanted and wanted[0] == 0 and wanted[2] == wanted[4] == 1
+
+
 def test_odd_rows(spark):
     docs = odd_documents(spark)
     once = drop_copies(docs, keep="largest").collect()
