@@ -1,8 +1,9 @@
 """Document fingerprints from closed syncmers.
 
-A text is cut into pieces of up to four characters that restart at every word. A run of k pieces is a
-closed syncmer if the smallest of its pieces' hashes stands at one of its two ends. Whether a run is
-chosen depends on nothing but the run, so that equal passages give equal anchors wherever they stand.
+A piece is four characters with the white space between them, and one begins at every character that
+is no white space. A run of k pieces is a closed syncmer if the smallest of its pieces' hashes stands at
+one of its two ends. Whether a run is chosen depends on nothing but the run, so that equal passages give
+equal anchors wherever they stand, in scripts without spaces and long tokens too.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import durable, text_or_empty
 
+#: Characters in a piece.
+PIECE = 4
 #: Pieces in a run. About 2 / RUN of all runs are anchors.
 RUN = 8
 #: A group of neighbouring ids spans 2 ** ID_BITS ids.
@@ -22,8 +25,15 @@ ID_BITS = 11
 BROADCAST_ROWS = 200_000
 
 
-def _hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"\S{1,4}\s*"), F.lit(0)), lambda piece: F.xxhash64(piece))
+def _hashes(marks: str) -> Column:
+    """Hashes of the pieces; marks are the characters, each with the white space after it. Fewer than PIECE are one piece."""
+    found, n = F.col(marks), F.size(marks)
+
+    def piece(i: Column) -> Column:
+        return F.xxhash64(*(F.get(found, i + j) for j in range(PIECE - 1)), F.left(F.get(found, i + PIECE - 1), F.lit(1)))
+
+    pieces = F.transform(F.sequence(F.lit(0), n - PIECE), piece)
+    return F.when(n >= PIECE, pieces).when(n > 0, F.array(F.xxhash64(F.array_join(found, "")))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _anchors(hashes: str, run: int, with_positions: bool) -> Column:
@@ -53,11 +63,12 @@ def with_anchors(docs: DataFrame, text: str, to: str, *, run: int = RUN, with_po
     A text of fewer than `run` pieces has one anchor, the whole text; one without any piece (null, empty
     or white space) has none.
     """
-    hashes = f"{to}_hashes"
+    marks, hashes = f"{to}_marks", f"{to}_hashes"
     return (
-        docs.withColumn(hashes, _hashes(F.coalesce(F.col(text), F.lit(""))))
+        docs.withColumn(marks, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S\s*"), F.lit(0)))
+        .withColumn(hashes, _hashes(marks))
         .withColumn(to, _anchors(hashes, run, with_positions))
-        .drop(hashes)
+        .drop(marks, hashes)
     )
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ def test_anchors_do_not_depend_on_context(spark):
     assert len(shift) == 1
 
 
+def test_shifted_passages_without_spaces(spark):
+    rng = random.Random(6)
+    for letters in ([chr(0x4E00 + i) for i in range(2000)], [chr(0x0E01 + i) for i in range(40)], list("abcdefghij0123456789"), [chr(0x20000 + i) for i in range(500)]):
+        passage = "".join(rng.choices(letters, k=120))
+        docs = spark.createDataFrame([(i, letters[i] * i + passage) for i in range(4)] + [(4, passage[:60] + letters[0] + passage[60:])], "doc_id long, text string")
+        first, *shifted, inserted = ({a.hash for a in r.anchors} for r in fingerprint(docs).orderBy("doc_id").collect())
+        assert len(first) > 10 and all(first <= other for other in shifted)
+        assert len(first & inserted) > 0.6 * len(first)
+
+
 def test_odd_rows(spark):
     rows = compare_with_edits(odd_documents(spark)).collect()
     assert len(rows) == 12
