@@ -119,7 +119,7 @@ def template(pages: list[Page]) -> list[list[str]]:
                 own[k] = own.get(k, 0) + 1
     classes: dict[tuple, list[str]] = defaultdict(list)
     for token, own in vectors.items():
-        if len(own) >= max(2, len(pages) // 2):
+        if len(own) >= max(3, len(pages) // 2):
             classes[tuple(sorted(own.items()))].append(token)
     once = tuple((k, 1) for k in range(len(pages)))
     root = _in_one_order(classes.pop(once, []), pages)
@@ -174,11 +174,25 @@ def _class_of_place(around: tuple[str, ...]) -> int:
     return 2 if inside else 1
 
 
+def _bodies(pages: list[Page]) -> list[Page]:
+    """One page of each body: of pages that share half of the letters of their long texts, the first.
+
+    Near copies of a page would otherwise make their article a template. Where a notice is longer than
+    the articles, different pages count as one too; their texts then stay.
+    """
+    kept: list[tuple[Page, dict[str, int]]] = []
+    for page in pages:
+        own = {page.tokens[i]: len(page.tokens[i]) for i in page.texts if len(page.tokens[i]) > SHORT and _class_of_place(page.around[i])}
+        if not any(own and 2 * sum(n for t, n in own.items() if t in other) >= min(sum(own.values()), sum(other.values())) for _, other in kept if other):
+            kept.append((page, own))
+    return [page for page, _ in kept]
+
+
 def extract_group(sources: list[str]) -> list[str]:
     """The main text of each page of a group of same-host pages.
 
     What stands beside the article by its elements or their class is dropped, and so are texts of the
-    template (of at least three different pages); inside an article only those of up to SHORT letters,
+    template (of at least three pages with different bodies); inside an article only those of up to SHORT letters,
     as articles of one host may share a passage. Of the template's remaining slots those inside an
     article element are taken; without one, the slots whose texts are long and hardly links.
     """
@@ -186,7 +200,8 @@ def extract_group(sources: list[str]) -> list[str]:
     if len(distinct) < len(sources):
         return [*map(dict(zip(distinct, extract_group(distinct), strict=True)).get, sources)]
     pages = [Page(s) for s in sources]
-    classes = template(pages) if len(pages) > 2 else [[]]
+    bodies = _bodies(pages)
+    classes = template(bodies) if len(bodies) > 2 else [[]]
     fixed = {t for members in classes for t in members if t.startswith("=")}
     root = classes[0]
     slots = [_slots(root, page) for page in pages]
@@ -207,6 +222,8 @@ def _main_text(page: Page, places: list[int], wordy: set[int], fixed: set[str])
         chosen = [i for i, k in kinds.items() if k == 2 and (len(page.tokens[i]) > SHORT or page.tokens[i] not in fixed)]
     else:
         chosen = [i for i, k in kinds.items() if k == 1 and places[i] in wordy and page.tokens[i] not in fixed]
+    if not any(page.texts[i].strip() for i in chosen):  # the remaining slots hold nothing
+        chosen = [i for i, k in kinds.items() if k == max(kinds.values()) and k]
     blocks: dict[int, list[str]] = defaultdict(list)
     for i in chosen:
         blocks[page.blocks[i]].append(page.texts[i])

@@ -34,6 +34,15 @@ def test_made_pages(spark):
         assert extract_group([pages[0][0]] * 5 + [pages[1][0]]) == [pages[0][1]] * 5 + [pages[1][1]]
 
 
+def test_near_copies_are_no_template():
+    rng = random.Random(7)
+    for inner in ("article", "div"):
+        texts = ["A short heading", sentence(rng, 30), "Short words", sentence(rng, 40)]
+        body = "".join(f"<p>{t}</p>" for t in texts)
+        pages = [f"<html><body><div class='ad'>{sentence(rng)}</div><{inner}>{body}</{inner}><footer>{i}</footer></body></html>" for i in range(5)]
+        assert extract_group(pages) == ["\n\n".join(texts)] * 5
+
+
 def test_table(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = extract_main_text(spark.read.parquet(f"{SF}/pages.parquet")).collect()
