@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,20 +19,19 @@ from .components import connected_components
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Variants are dealt to 2 ** BUCKET_BITS buckets or more.
 BUCKET_BITS = 7
-#: Fingerprints that one bucket takes at most (8 bytes each).
-BUCKET_ROWS = 32_000_000
-#: Ids (8 bytes each) that are broadcast; more are joined by shuffling.
+#: Fingerprints that one bucket takes at most; a task holds about 30 bytes of each.
+BUCKET_ROWS = 16_000_000
+#: Rows of ids (16 bytes each) that are broadcast; more are joined by shuffling.
 BROADCAST_NODES = 1_000_000
 #: Variants that a task holds at once (about 20 bytes each).
 HELD_VARIANTS = 3_000_000
 #: Documents by which common shingles are found, and how many of these; neither changes a result.
 SAMPLED_DOCS = 10_000
 COMMON_SHINGLES = 20_000
-#: Sharers of a shingle that are compared with the others one after another before all pairs are, and the pairs for each row that need no further turn.
-TURNS = 8
-PAIRS_A_ROW = 2
-#: Columns of a document and their names for the one that it meets.
-OTHER = {"doc_id": "other_id", "n": "other_n", "component": "other_component"}
+#: Parts of the hash space in which a text's shingles are counted.
+COUNTS = 256
+#: Sharers of a shingle that are compared in one task at a time.
+SHARERS = 2048
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -51,7 +51,11 @@ def simhash(features: list[bytes], seed: int = 42) -> int:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(x, seed) for x in features), dtype="<u8", count=len(features))
+    return majority(np.fromiter((digest(x, seed) for x in features), dtype="<u8", count=len(features)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 100_000):
         counts += np.unpackbits(hashes[at : at + 100_000].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
@@ -82,7 +86,7 @@ def fingerprints(docs: DataFrame, *, words: int = 4, seeds: tuple[int, ...] = (4
 
 def ball(radius: int) -> np.ndarray:
     """All 64-bit masks of at most `radius` bits."""
-    return np.array([sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)], dtype=np.uint64)
+    return np.array([sum(1 << b for b in bits) for r in range(radius + 1) for bits in itertools.combinations(range(64), r)], dtype=np.uint64)
 
 
 def _parity_rows(bits: int, seed: int) -> np.ndarray:
@@ -125,8 +129,10 @@ def linked_fingerprints(values: DataFrame, *, radius: int = 4) -> DataFrame:
     is the hash of the fingerprint xor the hash of the flipped bits, a fingerprint goes to a bucket once,
     together with the class of flips that lead there, and the bucket makes just these variants. That
     ships all 2,081 variants of a fingerprint as 128 rows. A bucket works through its variants by further
-    bits of the hash, at most about HELD_VARIANTS at a time; above BUCKET_ROWS fingerprints there are more
-    buckets, which then see only part of them.
+    bits of the hash, at most about HELD_VARIANTS at a time. It gets its fingerprints sorted and as a
+    stream, and holds about 30 bytes of each: up to BUCKET_ROWS fingerprints every bucket sees all of
+    them; above there are more buckets, which then see only part, and a fingerprint travels up to 2,081
+    times, as the method has it.
 
     All fingerprints that share a variant are within the radius of each other, so that each is paired
     with the smallest of them only: a group of n copies gives about n pairs a variant, not n squared.
@@ -145,10 +151,7 @@ def linked_fingerprints(values: DataFrame, *, radius: int = 4) -> DataFrame:
         "bucket", _class_column(F.col("fingerprint"), rows).bitwiseXOR(F.col("flips"))
     )
 
-    def collide(bucket: pd.DataFrame) -> pd.DataFrame:
-        bucket = bucket.sort_values("fingerprint")
-        own = bucket["fingerprint"].to_numpy().view(np.uint64)
-        kinds = bucket["flips"].to_numpy()
+    def collide(own: np.ndarray, kinds: np.ndarray) -> pa.RecordBatch:
         parts = 0
         while len(own) * len(flips) / len(classes) / (1 << parts) > HELD_VARIANTS:
             parts += 1
@@ -171,9 +174,23 @@ def linked_fingerprints(values: DataFrame, *, radius: int = 4) -> DataFrame:
                 found.append(np.unique(least[keep] * len(own) + members[keep]))
         pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
         signed = own.view(np.int64)
-        return pd.DataFrame({"a": signed[pairs // max(1, len(own))], "b": signed[pairs % max(1, len(own))]})
+        return pa.RecordBatch.from_arrays([pa.array(signed[pairs // max(1, len(own))]), pa.array(signed[pairs % max(1, len(own))])], ["a", "b"])
 
-    pairs = dealt.groupBy("bucket").applyInPandas(collide, "a long, b long")
+    def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            numbers, own, kinds = (batch[c].to_numpy() for c in ("bucket", "fingerprint", "flips"))
+            bounds = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1], [True]]))
+            for x, y in itertools.pairwise(bounds.tolist()):
+                if numbers[x] != bucket and held:
+                    yield collide(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+                bucket = numbers[x]
+                held.append((own[x:y].view(np.uint64), kinds[x:y].astype(np.uint16)))
+        if held:
+            yield collide(*map(np.concatenate, zip(*held, strict=True)))
+
+    pairs = dealt.repartition("bucket").sortWithinPartitions("bucket", "fingerprint").mapInArrow(by_bucket, "a long, b long")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
@@ -198,140 +215,235 @@ def simhash_components(docs: DataFrame, *, words: int = 4, radius: int = 4, seed
     return rows.join(ids, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id and the distinct hashes of the text's word shingles."""
+def _hashes(text: str, words: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, in order."""
+    import xxhash
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+    found = shingles(text, words)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found), dtype=np.uint64, count=len(found)))
 
-        for batch in batches:
-            sets = [np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(t, words)), dtype=np.uint64)).view(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": sets})
 
-    return docs.mapInPandas(compute, "doc_id long, shingles array<long>")
+def _shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """node and the distinct hashes of the text's word shingles."""
 
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in (batch.iloc[at : at + 500] for at in range(0, len(batch), 500)):
+                yield pd.DataFrame({"node": part["node"], "shingles": [_hashes(t, words).view(np.int64) for t in part["text"]]})
 
-def _labelled(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """token, doc_id, n and the component of each doc_id, itself where groups have none."""
-    found = groups.select(F.col("node").alias("doc_id"), F.col("component").alias("found"))
-    return durable(met.join(found, "doc_id", "left").select("token", "doc_id", "n", F.coalesce("found", "doc_id").alias("component")))
+    return docs.mapInPandas(compute, "node long, shingles array<long>")
 
 
 def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     """Hashes of the commonest shingles of about SAMPLED_DOCS documents, the commonest last.
 
-    They only order what `_prefixes` takes: any list gives the same groups, a good one fewer candidates.
+    They only order what `_sketches` takes: any list gives the same groups, a good one fewer candidates.
     """
     every = max(1, docs.count() // SAMPLED_DOCS)
-    sets = _shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0), words)
+    sets = _shingle_sets(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select(F.col("doc_id").alias("node"), "text"), words)
     counts = sets.select(F.explode("shingles").alias("token")).groupBy("token").count().where("count > 1")
     rows = counts.orderBy(F.desc("count"), "token").limit(COMMON_SHINGLES).collect()
     return np.array([r["token"] for r in reversed(rows)], dtype=np.int64)
 
 
-def _prefixes(docs: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """token, doc_id and n (shingles of the text): of each text so many of its rarest shingles that similar texts share one.
+def _sketches(docs: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """What is kept of each text: node (a number), n (its distinct shingles), fingerprint, counts and prefix.
 
-    Sets of n and m shingles at the similarity share that part of both n and m; whatever the order, one
-    of these is then among the first n - ceil(similarity * n) + 1 of the one set and the like of the
-    other. Texts without words have the token 0.
+    counts has the number of its shingle hashes in each of COUNTS parts: what two texts have in common is
+    at most the sum of the lesser counts. prefix has so many of its rarest shingles that similar texts
+    share one: sets of n and m shingles at the similarity share that part of both n and m; whatever the
+    order, one of these is then among the first n - ceil(similarity * n) + 1 of the one set and the like
+    of the other. Texts without words have the prefix 0.
     """
     order = np.argsort(common)
     ordered = common[order]
 
-    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+    def sketch(text: str) -> tuple[int, int, bytes, np.ndarray]:
+        found = _hashes(text, words)
+        n = len(found)
+        counts = np.bincount((found % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+        packed = counts.astype("<u1" if not n or counts.max() < 256 else "<u4").tobytes()
+        signed = found.view(np.int64)
+        rank = np.zeros(n, dtype=np.int64)
+        if len(ordered):
+            place = np.minimum(np.searchsorted(ordered, signed), len(ordered) - 1)
+            rank = np.where(ordered[place] == signed, order[place] + 1, 0)
+        prefix = signed[np.lexsort((signed, rank))][: n - math.ceil(similarity * n - 1e-6) + 1] if n else np.zeros(1, dtype=np.int64)
+        return n, majority(found), packed, prefix
 
+    def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                tokens, ids, sizes = [], [], []
-                for doc_id, text in zip(batch["doc_id"].iloc[at : at + 1000], batch["text"].iloc[at : at + 1000], strict=True):
-                    found = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(text, words)), dtype=np.uint64)).view(np.int64)
-                    n = len(found)
-                    rank = np.zeros(n, dtype=np.int64)
-                    if len(ordered):
-                        place = np.minimum(np.searchsorted(ordered, found), len(ordered) - 1)
-                        rank = np.where(ordered[place] == found, order[place] + 1, 0)
-                    found = found[np.lexsort((found, rank))][: n - math.ceil(similarity * n - 1e-6) + 1] if n else np.zeros(1, dtype=np.int64)
-                    tokens.append(found)
-                    ids += [doc_id] * len(found)
-                    sizes += [n] * len(found)
-                yield pd.DataFrame({"token": np.concatenate(tokens), "doc_id": ids, "n": sizes})
-
-    return docs.mapInPandas(compute, "token long, doc_id long, n int")
-
-
-def near_duplicate_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id and group (its smallest doc_id) of every document that is a near-duplicate of another.
+            for part in (batch.iloc[at : at + 500] for at in range(0, len(batch), 500)):
+                n, fingerprint, counts, prefix = zip(*map(sketch, part["text"]), strict=True)
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"], "version": part["version"], "n": np.array(n, dtype="int32"), "fingerprint": np.array(fingerprint, dtype=np.uint64).view(np.int64), "counts": counts, "prefix": prefix,
+                })
+
+    made = docs.mapInPandas(compute, "doc_id long, version long, n int, fingerprint long, counts binary, prefix array<long>")
+    return made.withColumn("node", F.monotonically_increasing_id())
+
+
+def _groups_of(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each key, of batches sorted by it; one key's rows are held at a time."""
+    last, held = None, []
+    for batch in batches:
+        columns = [batch[k].to_numpy() for k in keys]
+        changes = np.any([c[1:] != c[:-1] for c in columns], axis=0) if batch.num_rows > 1 else np.zeros(0, dtype=bool)
+        for x, y in itertools.pairwise([0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]):
+            key = tuple(c[x] for c in columns) if y > x else last
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(x, y - x))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _counts_of(group: pa.Table) -> np.ndarray:
+    return np.stack([np.frombuffer(x, dtype="<u1" if len(x) == COUNTS else "<u4").astype(np.uint32) for x in group["counts"].to_pylist()])
+
+
+def _likely(counts: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int, similarity: float) -> np.ndarray:
+    """The similarity that each text can have with another one at most; -1 where that is too little."""
+    common = np.minimum(counts, own).sum(axis=1, dtype=np.int64)
+    either = sizes + size - common
+    return np.where(common >= similarity * either - 1e-6, common / np.maximum(either, 1), -1.0)
+
+
+def _likely_forest(group: pa.Table, similarity: float) -> list[tuple[int, int]]:
+    """Pairs that connect all sharers which can be similar, the likeliest first."""
+    nodes, sizes, counts = group["node"].to_numpy(), group["n"].to_numpy().astype(np.int64), _counts_of(group)
+    left = np.ones(len(nodes), dtype=bool)
+    best, to, at, pairs = np.full(len(nodes), -1.0), np.zeros(len(nodes), dtype=np.int64), 0, []
+    left[0] = False
+    for _ in range(len(nodes) - 1):
+        near = _likely(counts, sizes, counts[at], sizes[at], similarity)
+        better = left & (near > best)
+        best[better], to[better] = near[better], at
+        at = int(np.where(left, best, -2.0).argmax())
+        left[at] = False
+        if best[at] >= 0:
+            pairs.append((int(nodes[to[at]]), int(nodes[at])))
+    return pairs
+
+
+def _likely_pairs(group: pa.Table, similarity: float) -> Iterator[tuple[int, int]]:
+    """Pairs of different components that can be similar, each at the smallest token that its two texts share."""
+    token, low, high = (group[c][0].as_py() for c in ("token", "low", "high"))
+    nodes, sizes, counts = group["node"].to_numpy(), group["n"].to_numpy().astype(np.int64), _counts_of(group)
+    components, parts = group["component"].to_numpy(), group["part"].to_numpy()
+    tokens = [frozenset(x) for x in group["tokens"].to_pylist()]
+    for at in range(len(nodes)):
+        met = components != components[at]
+        met &= (np.arange(len(nodes)) > at) if low == high else (parts == high) & (parts[at] == low)
+        others = np.flatnonzero(met)
+        if len(others):
+            near = others[_likely(counts[others], sizes[others], counts[at], sizes[at], similarity) >= 0]
+            for other in near.tolist():
+                if min(tokens[at] & tokens[other]) == token:
+                    yield int(nodes[at]), int(nodes[other])
+
+
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def near_duplicate_groups(docs: DataFrame, *, words: int = 5, similarity: float = 0.8, radius: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, version (a hash of the text), group and group_version of every document that is a near-duplicate of another.
 
     Documents are near-duplicates if their sets of `words`-word shingles have a Jaccard similarity of
-    `similarity` or more, and groups are what such links connect. This is exact: candidates share one of
-    the shingles of `_prefixes`, which all such pairs do, and are verified on their whole sets.
-
-    One sharer of each shingle, chosen by hash, is compared with the others that are not in its group
-    and then leaves; those of them that are still in different groups hand on to another, so that an
-    outsider hides nothing. When at most PAIRS_A_ROW pairs a row are left, or after TURNS, all pairs of
-    different groups that still share a shingle are compared: a dense group of n copies costs about n
-    comparisons a turn, while dissimilar texts that share a rarest shingle cost each of their pairs.
-    Documents without an id are never grouped; repeated ids count once, by one of their texts. Texts
-    without words have equal, empty sets and are near-duplicates of each other.
+    `similarity` or more, and groups are what such links connect; group and group_version name the
+    smallest document. Every link that counts is verified on the whole sets.
+
+    Candidates first come from SimHash: equal fingerprints, and those within `radius` bits by ball
+    hashing. At a similarity of 0.8 fingerprints differ in about ten bits, which no ball of that kind
+    reaches; what it misses comes from a prefix filter, which makes the result exact: similar texts share
+    a shingle of their prefixes (`_sketches`). Sharers of a shingle meet in tasks, at most SHARERS of a
+    kind at a time, and are compared by their counts, a bound that no similar pair falls below. First only a
+    forest of the pairs that can be similar is verified, which joins dense groups; then every such pair
+    that is still apart. Shingles with the same sharers meet once, and a pair is given at one shingle.
+
+    Documents without an id are never grouped. A repeated id counts once for each of its texts, a row
+    that repeats both once. Texts without words have equal, empty sets and are near-duplicates.
     """
     spark = docs.sparkSession
-    known = docs.select(docs[id_column].cast("long").alias("doc_id"), text_or_empty(docs, text_column).alias("text")).where("doc_id is not null")
-    version = F.xxhash64("text")
-    repeated = durable(known.groupBy("doc_id").agg(F.min(version).alias("version"), F.max(version).alias("other")).where("version <> other").select("doc_id", "version"))
-    if not repeated.isEmpty():
-        few = repeated.count() <= BROADCAST_NODES
-        known = known.join(F.broadcast(repeated) if few else repeated, "doc_id", "left").where(F.coalesce(F.col("version") == version, F.lit(True))).drop("version")
+    text = text_or_empty(docs, text_column)
+    known = docs.select(docs[id_column].cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).where("doc_id is not null")
+    sketches = durable(_sketches(known, words, similarity, _common_shingles(known, words)))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
 
     def verified(pairs: DataFrame) -> DataFrame:
-        nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        wanted = known.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "doc_id", "left_semi")
+        nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        wanted = durable(sketches.select("node", "doc_id", "version").join(small(nodes), "node", "left_semi"))
         with short_lived_shuffles(spark):
-            sets = durable(_shingle_sets(wanted, words).dropDuplicates(["doc_id"]))
-        of_a, of_b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+            sets = durable(_shingle_sets(known.join(small(wanted), ["doc_id", "version"]).select("node", "text"), words).dropDuplicates(["node"]))
+        of_a, of_b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         common = F.size(F.array_intersect("set_a", "set_b"))
         either = F.size("set_a") + F.size("set_b") - common
         close = (either == 0) | (common >= similarity * either)
         with short_lived_shuffles(spark):
             return durable(pairs.join(of_a, "a").join(of_b, "b").where(close).select("a", "b"))
 
-    def candidates(met: DataFrame) -> DataFrame:
-        """met: doc_id, n and component of two that share a shingle (the other's named other_id, ...)."""
-        able = F.least("n", "other_n") >= similarity * F.greatest("n", "other_n") - 1e-6
-        apart = met.where((F.col("component") != F.col("other_component")) & able)
-        with short_lived_shuffles(spark):
-            return durable(apart.select(F.least("doc_id", "other_id").alias("a"), F.greatest("doc_id", "other_id").alias("b")).distinct())
+    with short_lived_shuffles(spark):
+        heads = durable(sketches.groupBy("fingerprint").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("copies")))
+        same = sketches.select("fingerprint", "node").join(heads.where("copies > 1"), "fingerprint").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+        linked = linked_fingerprints(heads.select("fingerprint"), radius=radius)
+        of_a, of_b = (heads.select(F.col("fingerprint").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab")
+        balls = durable(linked.join(of_a, "a").join(of_b, "b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).unionByName(same))
+
+        tokens = sketches.select("node", F.explode("prefix").alias("token"))
+        sharers = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sharers"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("who")).where("sharers > 1")
+        kept = durable(sharers.groupBy("sharers", "least", "who").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("sharers") / SHARERS).alias("parts")))
+        met = durable(tokens.join(small(kept), "token"))
+        lists = met.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+        rows = met.join(lists.join(sketches.select("node", "n", "counts"), "node"), "node")
+        rows = durable(rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))))
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups_of(batches, "token", "part"):
+            if pairs := _likely_forest(group, similarity):
+                yield _pairs_batch(pairs)
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups_of(batches, "token", "low", "high"):
+            pairs = _likely_pairs(group, similarity)
+            while chunk := list(itertools.islice(pairs, 100_000)):
+                yield _pairs_batch(chunk)
 
     with short_lived_shuffles(spark):
-        live = durable(_prefixes(known, words, similarity, _common_shingles(known, words)).withColumn("component", F.col("doc_id")))
-    edges = None
-    for turn in range(TURNS):
-        order = F.xxhash64("doc_id", F.lit(turn))
-        chosen = live.groupBy("token").agg(F.min(F.struct(order, "doc_id", "n", "component")).alias("chosen"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        others = chosen.select("token", *(F.col(f"chosen.{x}").alias(y) for x, y in OTHER.items()))
-        with short_lived_shuffles(spark):
-            met = durable(live.join(others, "token").where("doc_id <> other_id"))
-        found = verified(candidates(met))
-        edges = found if edges is None else edges.unionByName(found)
-        live = _labelled(met, connected_components(edges))
-        parts = live.groupBy("token", "component").count().groupBy("token").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("inside"))
-        rows, left = parts.agg(F.sum("all"), F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2)).first()
-        if (left or 0) <= PAIRS_A_ROW * (rows or 0):
-            break
-    if left:
-        more = live.select("token", *(F.col(x).alias(y) for x, y in OTHER.items()))
-        edges = edges.unionByName(verified(candidates(live.join(more, "token").where("doc_id < other_id and component <> other_component"))))
-    return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("group"))
+        trees = rows.select("token", "part", "node", "n", "counts").repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(forest, "a long, b long")
+        first = durable(trees.unionByName(balls).distinct())
+    edges = verified(first)
+    components = connected_components(edges).select("node", "component")
+    with short_lived_shuffles(spark):
+        labelled = durable(rows.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        live = labelled.groupBy("token").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("token")
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        blocks = labelled.join(live, "token", "left_semi").withColumn("with", other).withColumns({"low": F.least("part", "with"), "high": F.greatest("part", "with")})
+        rest = durable(blocks.drop("with", "parts").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(apart, "a long, b long"))
+    if not rest.isEmpty():
+        more = verified(rest)
+        if not more.isEmpty():
+            components = connected_components(edges.unionByName(more)).select("node", "component")
+    named = durable(components.join(sketches.select("node", "doc_id", "version"), "node").select("component", F.struct("doc_id", "version").alias("name")).distinct())
+    smallest = named.groupBy("component").agg(F.min("name").alias("group"))
+    return named.join(smallest, "component").select("name.doc_id", "name.version", F.col("group.doc_id").alias("group"), F.col("group.version").alias("group_version"))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one document of each group of near_duplicate_groups, the one with the smallest id.
 
-    All columns stay. The ids to drop are broadcast up to BROADCAST_NODES of them, and joined by
-    shuffling beyond. Other documents are untouched, those without an id too.
+    All columns stay. A document goes by its id and its text, so that another text of the same id is
+    judged by itself; rows that repeat both stay or go together. What is to be dropped is broadcast up
+    to BROADCAST_NODES rows, and joined by shuffling beyond. Other documents are untouched, those
+    without an id too.
     """
-    name = options.get("id_column", "doc_id")
-    gone = durable(near_duplicate_groups(docs, **options).where("doc_id <> group").select(F.col("doc_id").alias("dropped_id")))
+    name, text = options.get("id_column", "doc_id"), text_or_empty(docs, options.get("text_column", "text"))
+    found = near_duplicate_groups(docs, **options).where("doc_id <> group or version <> group_version")
+    gone = durable(found.select(F.col("doc_id").alias("dropped_id"), F.col("version").alias("dropped_version")))
     few = gone.count() <= BROADCAST_NODES
-    return docs.join(F.broadcast(gone) if few else gone, docs[name] == F.col("dropped_id"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, (docs[name] == F.col("dropped_id")) & (F.xxhash64(text) == F.col("dropped_version")), "left_anti")
