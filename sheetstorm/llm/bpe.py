@@ -1,17 +1,22 @@
 """Byte-level BPE through a global shuffle of distinct words.
 
 Texts are cut into pre-tokens. Blocks of documents list each word once, with its place in the block's
-list; the lists are shuffled by word, so that equal words of all blocks meet and are encoded once; the
-ids go back to their blocks, where every document's row of places turns into ids by position.
+list, and their documents as rows of places. The lists are shuffled by word, so that equal words of all
+blocks meet and are encoded once; the ids go back to their blocks, where every row of places turns into
+ids by position. Decoding explodes ids with their positions and joins the token-byte table.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_or_empty, with_text_ids
@@ -19,11 +24,20 @@ from .tokens import PATTERN, encoder, read_ranks
 
 #: Bytes of text after which a block ends. Its list of words is all that a task holds of it.
 BLOCK_BYTES = 1 << 24
+#: Pre-tokens of a block's documents that travel, and are turned into ids, at a time.
+ROW_PLACES = 400_000
 #: Words whose ids a task packs for their blocks at a time.
 PACKED_WORDS = 300_000
+#: Bytes of decoded text after which a batch of documents leaves a task.
+BATCH_BYTES = 4_000_000
+#: PATTERN for texts of ASCII characters alone, for the faster module `re`.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+#: Kinds of rows that blocks exchange.
+WORD, DOCUMENTS = 0, 1
+ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
+ROWS_SQL = "kind int, block long, place int, word string, payload binary, doc_ids array<string>, counts array<int>"
 
-
-OTHER_ROWS = "the input gave other rows when it was read again: write it to a table first"
+OTHER_ROWS = "the input gave other rows when a lost part was read again: write it to a table first"
 
 
 class Block:
@@ -32,89 +46,96 @@ class Block:
     def __init__(self):
         import xxhash
 
-        self.places: dict[str, int] = {}
+        self.places: defaultdict[str, int] = defaultdict(itertools.count().__next__)
         self.digest = xxhash.xxh64()
         self.bytes = 0
         self.ids: list = []
-        self.counts: list[int] = []
         self.stream: list[np.ndarray] = []
 
     def add(self, doc_id, text: str, words: list[str]) -> None:
         data = text.encode("utf-8", "replace")
         self.digest.update(f"{doc_id}:{len(data)}:".encode() + data)
         self.bytes += len(data)
-        places = self.places
-        own = np.fromiter((places.setdefault(w, len(places)) for w in words), dtype="<u4", count=len(words))
         self.ids.append(doc_id)
-        self.counts.append(len(own))
-        self.stream.append(own)
+        self.stream.append(np.fromiter(map(self.places.__getitem__, words), dtype="<u4", count=len(words)))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """A row per word, and a row per ROW_PLACES places of documents. The block is named by its content."""
+        name = int(np.uint64(self.digest.intdigest()).view(np.int64))
+        listed = list(self.places)
+        for at in range(0, len(listed), 50_000):
+            part = listed[at : at + 50_000]
+            yield _batch(len(part), kind=[WORD] * len(part), block=np.full(len(part), name), place=np.arange(at, at + len(part), dtype="int32"), word=part)
+        first = held = 0
+        for last, own in enumerate(self.stream, 1):
+            held += len(own)
+            if held >= ROW_PLACES or last == len(self.stream):
+                parts = self.stream[first:last]
+                yield _batch(1, kind=[DOCUMENTS], block=[name], place=[first], payload=[_planes(np.concatenate(parts))], doc_ids=[self.ids[first:last]], counts=[[*map(len, parts)]])
+                first, held = last, 0
+
 
-    def name(self) -> int:
-        """From the content: the same documents in the same order make the same block wherever it is read."""
-        return int(np.uint64(self.digest.intdigest()).view(np.int64))
+def _batch(rows: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in ROWS], schema=ROWS)
 
 
-def _blocks(batches: Iterator[pd.DataFrame], block_bytes: int) -> Iterator[Block]:
+def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
     import regex
 
-    find = regex.compile(PATTERN).findall
+    plain, find = re.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall
     block = Block()
     for batch in batches:
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            block.add(doc_id, text, find(text))
+        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            block.add(doc_id, text, plain(text) if text.isascii() else find(text))
             if block.bytes >= block_bytes:
-                yield block
+                yield from block.rows()
                 block = Block()
     if block.ids:
-        yield block
+        yield from block.rows()
 
 
 def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id and ids (array<int>) of every row; null counts as empty, an empty text has no ids.
 
-    The texts themselves are not shuffled: only each block's distinct words, their ids on the way back,
-    and the compressed places. Blocks are named by their content; as both readings of the input make
-    them, docs must give its rows in a fixed order within a partition, as files do. A block whose words
-    are missing is an error, never a wrong result. Repeated rows are returned as often as they occur;
-    rows without an id like any other. Other columns of docs are ignored.
+    Texts are read once and are not shuffled themselves: only each block's distinct words, their ids on
+    the way back, and the compressed places. Blocks are named by their content, so that a task that runs
+    again after a loss makes the same blocks as long as docs gives its rows in a fixed order, as files
+    do; otherwise the missing words are an error, never a wrong result. Repeated rows are returned as
+    often as they occur; rows without an id like any other. Other columns of docs are ignored.
     """
     kind = docs.schema[id_column].dataType
     rows = with_text_ids(docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs, text_column).alias("text")))
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _blocks(batches, block_bytes):
-            listed, name = list(block.places), block.name()
-            for at in range(0, len(listed), 50_000):
-                part = listed[at : at + 50_000]
-                yield pd.DataFrame({"block": name, "place": np.arange(at, at + len(part), dtype="int32"), "word": part})
-
-    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in _blocks(batches, block_bytes):
-            places = np.concatenate(block.stream) if block.stream else np.zeros(0, dtype="<u4")
-            yield pd.DataFrame({"block": [block.name()], "ids": [block.ids], "counts": [block.counts], "stream": [_planes(places)]})
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = encoder(ranks).encode_to_numpy
-        last, ids = None, np.zeros(0, dtype="<u4")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _cut(batches, block_bytes)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = encoder(ranks).encode_ordinary
+        last, ids = None, []
         blocks, places, found, held = [], [], [], 0
         for batch in batches:
-            for word in batch["word"]:
+            is_word = pc.equal(batch["kind"], WORD)
+            documents, words = batch.filter(pc.invert(is_word)), batch.filter(is_word)
+            if documents.num_rows:
+                yield documents
+            for word in words["word"].to_pylist():
                 if word != last:  # sorted: equal words follow each other
-                    last, ids = word, of(word, disallowed_special=())
+                    last, ids = word, of(word)
                 found.append(ids)
-            blocks.append(batch["block"].to_numpy())
-            places.append(batch["place"].to_numpy())
-            held += len(batch)
+            blocks.append(words["block"].to_numpy())
+            places.append(words["place"].to_numpy())
+            held += words.num_rows
             if held >= PACKED_WORDS:
-                yield _pack_ids(np.concatenate(blocks), np.concatenate(places), found)
+                yield from _pack_ids(np.concatenate(blocks), np.concatenate(places), found)
                 blocks, places, found, held = [], [], [], 0
         if held:
-            yield _pack_ids(np.concatenate(blocks), np.concatenate(places), found)
+            yield from _pack_ids(np.concatenate(blocks), np.concatenate(places), found)
 
-    encoded = rows.mapInPandas(words, "block long, place int, word string").repartition("word").sortWithinPartitions("word").mapInPandas(encode, "block long, words int, ids binary")
-    placed = rows.mapInPandas(streams, "block long, ids array<string>, counts array<int>, stream binary")
-    together = encoded.groupBy("block").cogroup(placed.groupBy("block"))
-    return together.applyInPandas(_assemble, "doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast(kind))
+    made = rows.mapInArrow(cut, ROWS_SQL)
+    home = F.when(F.col("kind") == WORD, F.xxhash64("word")).otherwise(F.xxhash64("block", "place"))
+    encoded = made.repartition(home).sortWithinPartitions("word").mapInArrow(encode, ROWS_SQL)
+    together = encoded.drop("word").repartition("block").sortWithinPartitions("block", "kind")
+    return together.mapInArrow(_assemble, "doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -130,74 +151,128 @@ def _from_planes(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def _pack_ids(blocks: np.ndarray, places: np.ndarray, found: list[np.ndarray]) -> pd.DataFrame:
-    """A row per block: how many words, and their places, numbers of ids and ids in one packed array."""
+def _pack_ids(blocks: np.ndarray, places: np.ndarray, found: list[list[int]]) -> Iterator[pa.RecordBatch]:
+    """A row per block: its words' places (as steps), numbers of ids, and ids in one packed array; `place` is the number of words."""
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum()))
     order = np.lexsort((places, blocks))
-    bounds = np.flatnonzero(np.concatenate([[True], blocks[order][1:] != blocks[order][:-1], [True]]))
-    rows = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        own = order[a:b]
-        ids = [found[i] for i in own.tolist()]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        steps = np.diff(places[own], prepend=0)
-        rows.append((blocks[own[0]], len(own), _planes(np.concatenate([steps, sizes, *ids]))))
-    return pd.DataFrame(rows, columns=["block", "words", "ids"]).astype({"block": "int64", "words": "int32"})
-
-
-def _assemble(listed: pd.DataFrame, streams: pd.DataFrame) -> pd.DataFrame:
-    places, sizes, flat = [], [], []
-    for n, packed in zip(listed["words"].tolist(), listed["ids"], strict=True):
-        whole = _from_planes(packed).astype(np.int64)
-        places.append(np.cumsum(whole[:n]))
-        sizes.append(whole[n : 2 * n])
-        flat.append(whole[2 * n :].astype("int32"))
-    if len(listed) and not len(streams):
-        raise ValueError(OTHER_ROWS)
-    if len(listed):
-        flat, found, places = np.concatenate(flat), np.concatenate(sizes), np.concatenate(places)
-        starts = np.cumsum(found) - found
-        sizes, begins = np.zeros(places.max() + 1, dtype=np.int64), np.full(places.max() + 1, -1, dtype=np.int64)
-        sizes[places], begins[places] = found, starts  # a block that was read twice lists its words twice, alike
-    else:
-        flat, sizes, begins = (np.zeros(0, dtype=t) for t in ("int32", np.int64, np.int64))
-    doc_ids, out = [], []
-    for ids, counts, stream in zip(streams["ids"], streams["counts"], streams["stream"], strict=True):
-        places = _from_planes(stream)
-        if len(places) and (places.max() >= len(sizes) or (begins < 0).any()):
-            raise ValueError(OTHER_ROWS)
-        at = 0
-        for doc_id, n in zip(ids, counts, strict=True):
-            own = places[at : at + n]
-            at += n
-            length = sizes[own]
-            total = int(length.sum())
-            shift = np.repeat(begins[own] - (np.cumsum(length) - length), length)
-            doc_ids.append(doc_id)
-            out.append(flat[shift + np.arange(total)])
-    return pd.DataFrame({"doc_id": doc_ids, "ids": out})
-
-
-def decode_bpe(encoded: DataFrame, ranks: str) -> DataFrame:
-    """Adds `decoded` (binary) to rows with ids (array<int>): their tokens' bytes, from the token-byte table.
-
-    The table has one row per id of the vocabulary, a fixed size, and is joined where the rows are. Null
-    ids decode to no bytes; an id that the table doesn't have is an error.
+    blocks, places = blocks[order], places[order]
+    flat, sizes = _gather(flat, np.cumsum(sizes) - sizes, sizes, order), sizes[order]
+    bounds = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]]))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for a, b in itertools.pairwise(bounds.tolist()):
+        payload = _planes(np.concatenate([np.diff(places[a:b], prepend=0), sizes[a:b], flat[ends[a] : ends[b]]]))
+        yield _batch(1, kind=[WORD], block=[int(blocks[a])], place=[b - a], payload=[payload])
+
+
+def _gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The entries of the chosen words, one word after the other."""
+    length = sizes[chosen]
+    ends = np.cumsum(length)
+    return flat[np.repeat(begins[chosen] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block, its words before its documents: one block's words are held at a time."""
+    block, parts, ready = None, [], None
+    for batch in batches:
+        for kind, name, n, payload, doc_ids, counts in zip(*(batch[c] for c in ("kind", "block", "place", "payload", "doc_ids", "counts")), strict=True):
+            if name.as_py() != block:
+                block, parts, ready = name.as_py(), [], None
+            if kind.as_py() == WORD:
+                whole, n = _from_planes(payload.as_py()), n.as_py()
+                parts.append((np.cumsum(whole[:n]), whole[n : 2 * n], whole[2 * n :].astype("int32")))
+                continue
+            if ready is None:
+                ready = _lookup(parts)
+            flat, begins, sizes = ready
+            places = _from_planes(payload.as_py())
+            if len(places) and (places.max() >= len(begins) or (begins[places] < 0).any()):
+                raise ValueError(OTHER_ROWS)
+            ids = _gather(flat, begins, sizes, places)
+            ends = np.concatenate([[0], np.cumsum(counts.values.to_numpy())])
+            offsets = np.concatenate([[0], np.cumsum(sizes[places])])[ends].astype("int32")
+            yield pa.RecordBatch.from_arrays([doc_ids.values, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
+
+
+def _lookup(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids of a block's words, and by place where they begin (-1: no such word) and how many there are."""
+    if not parts:
+        return np.zeros(0, dtype="int32"), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    places, found, flat = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sizes, begins = np.zeros(int(places.max()) + 1, dtype=np.int64), np.full(int(places.max()) + 1, -1, dtype=np.int64)
+    sizes[places], begins[places] = found, np.cumsum(found, dtype=np.int64) - found  # blocks of equal content list their words twice, alike
+    return flat, begins, sizes
+
+
+def token_table(spark: SparkSession, ranks: str) -> DataFrame:
+    """token (int) and token_bytes (binary): a row per id of a vocabulary, a fixed size."""
+    return spark.createDataFrame([(rank, bytearray(token)) for token, rank in read_ranks(ranks).items()], "token int, token_bytes binary")
+
+
+def decode_bpe(encoded: DataFrame, tokens: DataFrame) -> DataFrame:
+    """doc_id, ids and decoded (binary: the ids' bytes) of rows with doc_id and ids (array<int>).
+
+    Ids are exploded with their positions and joined with the token-byte table, which is broadcast: a
+    vocabulary has a fixed size. The join keeps the order of the exploded side, so that no shuffle is
+    needed to put the bytes together again by position; a position out of its turn is an error, and so
+    is an id that the table doesn't have. Null ids count as none. Other columns are ignored.
     """
+    kind = encoded.schema["doc_id"].dataType
+    at = encoded.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode_outer("ids").alias("position", "token"))
+    first = F.coalesce("position", F.lit(0)) == 0
+    joined = at.join(F.broadcast(tokens.select("token", "token_bytes")), "token", "left").select(F.when(first, F.col("doc_id")).alias("doc_id"), "position", "token", "token_bytes")
+    return joined.mapInArrow(_reassemble, "doc_id string, ids array<int>, decoded binary").withColumn("doc_id", F.col("doc_id").cast(kind))
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        token_bytes = {rank: token for token, rank in read_ranks(ranks).items()}
-        for batch in (whole.iloc[at : at + 200].copy() for whole in batches for at in range(0, len(whole), 200)):
-            batch["decoded"] = [b"".join([token_bytes[i] for i in ids.tolist()]) if ids is not None else b"" for ids in batch["ids"]]
-            yield batch
 
-    texts = with_text_ids(encoded)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema)
-    return texts.mapInPandas(decode, f"{fields}, decoded binary").withColumn("doc_id", F.col("doc_id").cast(encoded.schema["doc_id"].dataType))
+def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    doc_ids, ids, texts, held = [], [], [], 0
+    next_position = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        position = pc.fill_null(batch["position"], 0).to_numpy()
+        token, found = batch["token"], batch["token_bytes"]
+        empty = token.is_null().to_numpy(zero_copy_only=False)
+        if found.null_count != empty.sum():
+            raise ValueError("an id is not in the token-byte table")
+        before = np.concatenate([[next_position - 1], np.where(empty, -1, position)[:-1]])
+        starts = np.flatnonzero(position == 0)
+        if ((position != 0) & (position != before + 1)).any() or (not doc_ids and len(position) and position[0]):
+            raise ValueError("the exploded ids are out of order")
+        next_position = 0 if empty[-1] else int(position[-1]) + 1
+        names = batch["doc_id"]
+        offsets = np.frombuffer(found.buffers()[1], dtype="<i4")[found.offset : found.offset + len(found) + 1]
+        data = memoryview(found.buffers()[2] or b"")
+        numbers = pc.fill_null(token, -1).to_numpy()
+        bounds = [0, *starts.tolist(), len(position)]
+        for a, b in itertools.pairwise(bounds):
+            if a == b and a == 0:
+                continue
+            if position[a] == 0:
+                if held >= BATCH_BYTES:
+                    yield _decoded(doc_ids, ids, texts)
+                    doc_ids, ids, texts, held = [], [], [], 0
+                doc_ids.append(names[a].as_py())
+                ids.append([])
+                texts.append([])
+            if not empty[a]:
+                ids[-1].append(numbers[a:b])
+                texts[-1].append(bytes(data[offsets[a] : offsets[b]]))
+                held += 5 * (b - a)
+    if doc_ids:
+        yield _decoded(doc_ids, ids, texts)
+
+
+def _decoded(doc_ids: list, ids: list[list[np.ndarray]], texts: list[list[bytes]]) -> pa.RecordBatch:
+    offsets = np.cumsum([0, *(sum(map(len, x)) for x in ids)]).astype("int32")
+    flat = np.concatenate([y for x in ids for y in x] or [np.zeros(0, dtype="int32")]).astype("int32")
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([b"".join(x) for x in texts], pa.binary())], ["doc_id", "ids", "decoded"])
 
 
 def encode_and_decode(docs: DataFrame, ranks: str, **columns: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256; see encode_bpe."""
-    decoded = decode_bpe(encode_bpe(docs, ranks, **columns), ranks)
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256; see encode_bpe and decode_bpe."""
+    decoded = decode_bpe(encode_bpe(docs, ranks, **columns), token_table(docs.sparkSession, ranks))
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

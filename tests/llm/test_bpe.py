@@ -1,11 +1,15 @@
 import base64
 import hashlib
+import random
+import re
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
+from pyspark.errors import PythonException
 
-from sheetstorm.llm.bpe import decode_bpe, encode_and_decode, encode_bpe
+from sheetstorm.llm.bpe import ASCII_PATTERN, decode_bpe, encode_and_decode, encode_bpe, token_table
 
 from .helpers import SF, odd_documents
 
@@ -41,6 +45,17 @@ def test_odd_rows(spark, library):
 
 
 def test_decoding_alone(spark):
-    rows = spark.createDataFrame([(1, [31373, 995]), (2, []), (3, None)], "doc_id long, ids array<int>")
-    assert [bytes(r.decoded) for r in decode_bpe(rows, RANKS).orderBy("doc_id").collect()] == [b"hello world", b"", b""]
+    tokens = token_table(spark, RANKS)
+    rows = spark.createDataFrame([(1, [31373, 995]), (2, []), (3, None), (4, [31373] * 25_000), (None, [995]), (4, [995])], "doc_id long, ids array<int>").coalesce(1)
+    got = [(r.doc_id, len(r.ids), bytes(r.decoded)) for r in decode_bpe(rows, tokens).collect()]
+    assert got == [(1, 2, b"hello world"), (2, 0, b""), (3, 0, b""), (4, 25_000, b"hello" * 25_000), (None, 1, b" world"), (4, 1, b" world")]
+    with pytest.raises(PythonException, match="not in the token-byte table"):
+        decode_bpe(spark.createDataFrame([(1, [99_999])], "doc_id long, ids array<int>"), tokens).collect()
     assert encode_bpe(spark.createDataFrame([(1, "hello world")], "doc_id long, text string"), RANKS).first().ids == [31373, 995]
+
+
+def test_patterns_agree():
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choices("aZs'dtrevml09 \t\n\r\x0b\x1c\x1f\x00.,<|>", k=rng.randint(0, 30)))
+        assert re.findall(ASCII_PATTERN, text) == regex.findall(public_tokenizers.PATTERN, text)
