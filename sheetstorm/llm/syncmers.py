@@ -20,9 +20,11 @@ PIECE = 4
 #: Pieces in a run. About 2 / RUN of all runs are anchors.
 RUN = 8
 #: A group of neighbouring ids spans 2 ** ID_BITS ids.
-ID_BITS = 11
+ID_BITS = 8
 #: Successor rows (two longs each) that are broadcast; more are joined by shuffling.
 BROADCAST_ROWS = 200_000
+#: An anchor is one long: its hash in the upper half, below it one bit for the side of a comparison, and its place.
+PLACE = (1 << 31) - 1
 
 
 def _hashes(marks: str) -> Column:
@@ -36,29 +38,27 @@ def _hashes(marks: str) -> Column:
     return F.when(n >= PIECE, pieces).when(n > 0, F.array(F.xxhash64(F.array_join(found, "")))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _anchors(hashes: str, run: int, with_positions: bool) -> Column:
+def _packed(hashed: Column, place: Column) -> Column:
+    return F.shiftleft(hashed.cast("long"), 32).bitwiseOR(place.cast("long"))
+
+
+def _anchors(hashes: str, run: int) -> Column:
     pieces = F.col(hashes)
 
     def is_least(i: Column, at: int) -> Column:
         others = [j for j in (range(1, run) if at == 0 else range(run - 1)) if j != at]
         return reduce(lambda a, b: a & b, (F.get(pieces, i + at) <= F.get(pieces, i + j) for j in others))
 
-    def anchor(i: Column) -> Column:
-        value = F.hash(F.slice(pieces, i + 1, run))
-        return F.struct(i.alias("position"), value.alias("hash")) if with_positions else value
-
-    whole = F.struct(F.lit(0).alias("position"), F.hash(pieces).alias("hash")) if with_positions else F.hash(pieces)
     starts = F.filter(F.sequence(F.lit(0), F.size(pieces) - run), lambda i: is_least(i, 0) | is_least(i, run - 1))
-    kind = "array<struct<position:int,hash:int>>" if with_positions else "array<int>"
     return (
-        F.when(F.size(pieces) >= run, F.transform(starts, anchor))
-        .when(F.size(pieces) > 0, F.array(whole))
-        .otherwise(F.array().cast(kind))
+        F.when(F.size(pieces) >= run, F.transform(starts, lambda i: _packed(F.hash(F.slice(pieces, i + 1, run)), i)))
+        .when(F.size(pieces) > 0, F.array(_packed(F.hash(pieces), F.lit(0))))
+        .otherwise(F.array().cast("array<bigint>"))
     )
 
 
-def with_anchors(docs: DataFrame, text: str, to: str, *, run: int = RUN, with_positions: bool = False) -> DataFrame:
-    """Adds the anchors of the column `text`, in text order: hashes, or structs of piece position and hash.
+def with_anchors(docs: DataFrame, text: str, to: str, *, run: int = RUN) -> DataFrame:
+    """Adds the anchors of the column `text`, in text order: longs of hash and place (the number of pieces before it).
 
     A text of fewer than `run` pieces has one anchor, the whole text; one without any piece (null, empty
     or white space) has none.
@@ -67,31 +67,56 @@ def with_anchors(docs: DataFrame, text: str, to: str, *, run: int = RUN, with_po
     return (
         docs.withColumn(marks, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S\s*"), F.lit(0)))
         .withColumn(hashes, _hashes(marks))
-        .withColumn(to, _anchors(hashes, run, with_positions))
+        .withColumn(to, _anchors(hashes, run))
         .drop(marks, hashes)
     )
 
 
-def likeness(a: str, b: str) -> Column:
-    """Share of distinct anchors that two fingerprints have in common; 1 for two without any."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+def with_likeness(docs: DataFrame, a: str, b: str, to: str) -> DataFrame:
+    """Adds the likeness (0 to 1) of the fingerprints in the columns a and b, from anchors that match by position.
+
+    Sorted together, equal hashes of both sides meet; each gives the distance between its places. An
+    anchor matches if another one has the same distance: equal passages do wherever they stand, equal
+    hashes by chance don't. Fingerprints of a single anchor match by it alone. Likeness is the share of
+    matching anchors among the distinct ones of both; two fingerprints without any are alike (1).
+    """
+    ordered, distances = f"{to}_ordered", f"{to}_distances"
+    side = F.lit(1 << 31)
+    x, d = F.col(ordered), F.col(distances)
+    key = lambda i: F.shiftright(F.get(x, i), 31)
+    place = lambda i: F.get(x, i).bitwiseAND(F.lit(PLACE))
+    meet = F.filter(F.sequence(F.lit(0), F.size(x) - 2), lambda i: key(i).bitwiseXOR(key(i + 1)) == 1)
+    found = F.sort_array(F.transform(meet, lambda i: place(i + 1) - place(i)))
+    company = F.filter(d, lambda v, i: (v == F.coalesce(F.get(d, i - 1), v + 1)) | (v == F.coalesce(F.get(d, i + 1), v + 1)))
+    distinct = F.size(F.filter(x, lambda v, i: (i == 0) | (F.shiftright(v, 31) != key(i - 1))))
+    matched = F.when(F.least(F.size(a), F.size(b)) < 2, F.size(d)).otherwise(F.size(company))
+    return (
+        docs.withColumn(ordered, F.sort_array(F.concat(a, F.transform(b, lambda v: v.bitwiseOR(side)))))
+        .withColumn(distances, F.when(F.size(x) > 1, found).otherwise(F.array().cast("array<bigint>")))
+        .withColumn(f"{to}_matched", matched)
+        .withColumn(f"{to}_distinct", distinct)
+        .withColumn(to, F.when(F.size(x) == 0, 1.0).otherwise(F.col(f"{to}_matched") / (F.col(f"{to}_distinct") - F.col(f"{to}_matched"))))
+        .drop(ordered, distances, f"{to}_matched", f"{to}_distinct")
+    )
 
 
 def hex_digits(anchors: str) -> Column:
-    return F.lower(F.array_join(F.transform(anchors, lambda h: F.lpad(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""))
+    """The hashes in text order, eight hexadecimal digits each."""
+    return F.lower(F.array_join(F.transform(anchors, lambda v: F.lpad(F.hex(F.shiftrightunsigned(v, 32)), 8, "0")), ""))
 
 
 def _next_of_buckets(spans: DataFrame, low: int, high: int) -> DataFrame:
     """spans: bucket, first (its smallest id). Returns bucket and next_first: the smallest id of the next bucket.
 
     Buckets are joined 2 ** ID_BITS at a time, level by level, so that no task ever orders more than one
-    parent's children. The last bucket of all is followed by the first.
+    parent's children (at the top two parents', where ids lie on both sides of zero). The last bucket of
+    all is followed by the first.
     """
-    parent = F.shiftright("bucket", ID_BITS)
+    top = low >> 2 * ID_BITS == high >> 2 * ID_BITS or (low >> 2 * ID_BITS, high >> 2 * ID_BITS) == (-1, 0)
+    parent = F.lit(0).cast("long") if top else F.shiftright("bucket", ID_BITS)
     w = Window.partitionBy("parent").orderBy("bucket")
     here = spans.withColumn("parent", parent).withColumn("next_first", F.lead("first").over(w))
-    if low >> 2 * ID_BITS == high >> 2 * ID_BITS:
+    if top:
         return here.select("bucket", F.coalesce("next_first", F.lit(low)).alias("next_first"))
     above = _next_of_buckets(spans.groupBy(parent.alias("bucket")).agg(F.min("first").alias("first")), low >> ID_BITS, high >> ID_BITS)
     above = above.select(F.col("bucket").alias("parent"), F.col("next_first").alias("after"))
@@ -123,7 +148,7 @@ def with_next(docs: DataFrame, *, run: int = RUN) -> DataFrame:
         .select("doc_id", "text", "anchors", "next_text", "next_anchors")
     )
     alone = with_anchors(docs.where(F.col("doc_id").isNull()), "text", "anchors", run=run).select(
-        "doc_id", "text", "anchors", F.lit("").alias("next_text"), F.array().cast("array<int>").alias("next_anchors")
+        "doc_id", "text", "anchors", F.lit("").alias("next_text"), F.array().cast("array<bigint>").alias("next_anchors")
     )
     return ordered.unionByName(alone)
 
@@ -135,9 +160,10 @@ def _wrapped(spans: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", run: int = RUN) -> DataFrame:
-    """doc_id, n_chars and anchors (piece position and hash) of every row; see with_anchors for odd texts."""
+    """doc_id, n_chars and anchors (structs of position, the pieces before it, and hash) of every row; see with_anchors for odd texts."""
     rows = docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs, text_column).alias("text"))
-    return with_anchors(rows, "text", "anchors", run=run, with_positions=True).select("doc_id", F.length("text").cast("long").alias("n_chars"), "anchors")
+    spread = F.transform("anchors", lambda v: F.struct(v.bitwiseAND(F.lit(PLACE)).cast("int").alias("position"), F.shiftright(v, 32).cast("int").alias("hash")))
+    return with_anchors(rows, "text", "anchors", run=run).select("doc_id", F.length("text").cast("long").alias("n_chars"), spread.alias("anchors"))
 
 
 def compare_with_edits(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", run: int = RUN) -> DataFrame:
@@ -146,7 +172,8 @@ def compare_with_edits(docs: DataFrame, *, id_column: str = "doc_id", text_colum
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the next
     document, or all of it. Null counts as empty; an empty text stays empty when edited. Repeated rows
-    are returned as often as they occur. Other columns of docs are ignored.
+    are returned as often as they occur. Other columns of docs are ignored. See with_likeness for the
+    two likenesses.
     """
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), text_or_empty(docs, text_column).alias("text"))
     half = F.shiftright("n_chars", 1)
@@ -155,12 +182,14 @@ def compare_with_edits(docs: DataFrame, *, id_column: str = "doc_id", text_colum
         .withColumn("n_chars", F.length("text"))
         .withColumn("edited", F.concat(F.left("text", F.col("n_chars") - half), F.left(F.coalesce("next_text", F.lit("")), half)))
     )
-    return with_anchors(edited, "edited", "edited_anchors", run=run).select(
+    anchored = with_anchors(edited, "edited", "edited_anchors", run=run)
+    compared = with_likeness(with_likeness(anchored, "anchors", "edited_anchors", "near_edited"), "anchors", "next_anchors", "near_next")
+    return compared.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         hex_digits("anchors").alias("fingerprint"),
         hex_digits("edited_anchors").alias("edited_fingerprint"),
-        likeness("anchors", "edited_anchors").alias("near_edited"),
-        likeness("anchors", "next_anchors").alias("near_next"),
+        "near_edited",
+        "near_next",
     )

@@ -1,32 +1,92 @@
 import hashlib
 import random
+import re
 
+import xxhash
 from pyspark.sql import functions as F
 
-from sheetstorm.llm.syncmers import RUN, _next_of_buckets, compare_with_edits, fingerprint
+from sheetstorm.llm.syncmers import PIECE, RUN, _next_of_buckets, compare_with_edits, fingerprint, with_anchors, with_likeness
 
 from .helpers import SF, odd_documents, texts
 
 
-def test_edits_and_likeness(spark):
+def murmur_of_longs(values, seed=42):
+    """Murmur3 (32 bits) of longs one after another, as a signed number."""
+    h = seed
+    for v in values:
+        for word in (v & 0xFFFFFFFF, v >> 32 & 0xFFFFFFFF):
+            k = word * 0xCC9E2D51 & 0xFFFFFFFF
+            k = (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
+            h ^= k
+            h = ((h << 13 | h >> 19) & 0xFFFFFFFF) * 5 + 0xE6546B64 & 0xFFFFFFFF
+        h ^= 8
+        h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+        h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+        h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def syncmers(text, run=RUN):
+    """(position, hash) of the closed syncmers, by their definition."""
+    marks = re.findall(r"(?a:\S\s*)", text)
+    pieces = []
+    for i in range(len(marks) - PIECE + 1):
+        h = 42
+        for part in (*marks[i : i + PIECE - 1], marks[i + PIECE - 1][0]):
+            h = xxhash.xxh64_intdigest(part.encode(), h)
+        pieces.append(h - (1 << 64) if h >> 63 else h)
+    if marks and not pieces:
+        h = xxhash.xxh64_intdigest(text[len(text) - len(text.lstrip(" \t\n\r\f\v")) :].encode(), 42)
+        pieces = [h - (1 << 64) if h >> 63 else h]
+    if pieces and len(pieces) < run:
+        return [(0, murmur_of_longs(pieces))]
+    windows = [pieces[i : i + run] for i in range(len(pieces) - run + 1)]
+    return [(i, murmur_of_longs(w)) for i, w in enumerate(windows) if min(w) in (w[0], w[-1])]
+
+
+def likeness(a, b):
+    """Anchors that share their distance with another one, among the distinct ones of both texts."""
+    last, first = dict((h, p) for p, h in a), dict((h, p) for p, h in reversed(b))
+    distances = [first[h] - last[h] for h in last.keys() & first.keys()]
+    matched = len(distances) if min(len(a), len(b)) < 2 else sum(distances.count(d) > 1 for d in distances)
+    union = len(last) + len(first) - matched
+    return matched / union if union else 1.0
+
+
+def test_edits_and_likeness_against_brute_force(spark):
     known = texts(spark)
     ids = sorted(known)
     rows = {r.doc_id: r for r in compare_with_edits(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     assert sorted(rows) == ids
-    closer = 0
-    by_text = {}
+    closer = checked = 0
     for i, doc_id in enumerate(ids):
         text, after = known[doc_id], known[ids[(i + 1) % len(ids)]]
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         r = rows[doc_id]
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
-        a, b, c = ({f[j : j + 8] for j in range(0, len(f), 8)} for f in (r.fingerprint, r.edited_fingerprint, rows[ids[(i + 1) % len(ids)]].fingerprint))
-        for other, near in ((b, r.near_edited), (c, r.near_next)):
-            assert abs(near - (len(a & other) / len(a | other) if a | other else 1.0)) < 1e-9
         closer += r.near_edited > r.near_next
-    assert closer > 0.95 * len(ids)
+        if len(text) + len(after) > 12_000:
+            continue
+        checked += 1
+        a, b, c = map(syncmers, (text, edited, after))
+        assert (r.fingerprint, r.edited_fingerprint) == tuple("".join(f"{h & 0xFFFFFFFF:08x}" for _, h in x) for x in (a, b))
+        assert abs(r.near_edited - likeness(a, b)) < 1e-9 and abs(r.near_next - likeness(a, c)) < 1e-9
+    assert closer > 0.95 * len(ids) and checked > 100
+
+
+def test_fingerprint_against_brute_force(spark):
+    got = {r.doc_id: [tuple(a) for a in r.anchors] for r in fingerprint(odd_documents(spark, [(1, "ab"), (2, "  a b\tcde f"), (3, "漢字かな🙂 naïve café " * 9), (4, "abc " * 40), (5, None), (6, " \n")])).collect()}
+    assert got == {1: syncmers("ab"), 2: syncmers("  a b\tcde f"), 3: syncmers("漢字かな🙂 naïve café " * 9), 4: syncmers("abc " * 40), 5: [], 6: []}
+
+
+def test_matching_by_position(spark):
+    words = [f"word{i * 7919 % 1000}" for i in range(120)]
+    whole, moved = " ".join(words), "something first. " + " ".join(words)
+    rows = spark.createDataFrame([(1, whole, whole), (2, whole, moved), (3, whole, " ".join(reversed(words))), (4, "", ""), (5, whole, ""), (6, "a", "a"), (7, "a", "b")], "id long, a string, b string")
+    both = with_anchors(with_anchors(rows, "a", "x"), "b", "y")
+    got = {r.id: r.near for r in with_likeness(both, "x", "y", "near").collect()}
+    assert got[1] == got[4] == got[6] == 1.0 and got[2] > 0.9 and got[3] < 0.3 and got[5] == got[7] == 0.0
 
 
 def test_anchors_do_not_depend_on_context(spark):
