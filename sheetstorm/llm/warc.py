@@ -140,8 +140,8 @@ def normalise_archives(files: DataFrame, folder: str, target: str) -> DataFrame:
             for name in batch["file"]:
                 yield pd.DataFrame({"file": [name], "records": [normalise_file(f"{folder}/{name}", f"{target}/{name}")]})
 
-    parts = max(1, files.count())
-    return durable(files.select("file").repartition(parts, "file").mapInPandas(rewrite, "file string, records long"))
+    parts = max(1, files.count())  # a range for each name: a task of its own, which hashing would not give
+    return durable(files.select("file").repartitionByRange(parts, "file").mapInPandas(rewrite, "file string, records long"))
 
 
 def normalise_file(source: str, target: str) -> int:
@@ -194,15 +194,16 @@ def read_records(index: DataFrame, folder: str, *, with_payload: bool = False) -
                         if len(rows) == 500:
                             yield _frame(rows, with_payload)
                             rows = []
-                yield _frame(rows, with_payload)
+                if rows:
+                    yield _frame(rows, with_payload)
 
     return index.select("file", "offset", "length").mapInPandas(read, schema)
 
 
 def _frame(rows: list[tuple], with_payload: bool) -> pd.DataFrame:
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if with_payload else [])]
-    columns = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: () for n in names}
-    return pd.DataFrame({n: pd.array(list(v), dtype="Int64") if n in ("page_id", "refers_to") else list(v) for n, v in columns.items()})
+    kinds = {"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"}
+    return pd.DataFrame({n: pd.Series(list(v), dtype=kinds.get(n, object)) for n, v in zip(names, zip(*rows, strict=True), strict=True)})
 
 
 def _parse(member: bytes, with_payload: bool) -> tuple:

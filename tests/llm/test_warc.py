@@ -39,6 +39,13 @@ def test_table(spark):
     assert sorted(str(tuple(r)) for r in got) == expected([(r.page_id, (r.html or "").encode()) for r in pages.collect()])
 
 
+@pytest.mark.parametrize("count", [0, 499, 500, 1000])
+def test_whole_batches_of_records(spark, count):
+    docs = spark.range(0, count, 1, 1).selectExpr("id AS page_id", "concat('http://x/', id) AS url", "concat('page ', id) AS html")
+    rows = archive_pages(docs).collect()
+    assert sorted(r.page_id for r in rows) == [*range(count)] and {r.record_type for r in rows} <= {"response"}
+
+
 def test_files(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i % 3}</p>") for i in range(20)], "page_id long, url string, html string")
     files = write_archives(pages, f"{tmp_path}/raw").collect()
