@@ -18,8 +18,11 @@ STATISTICS = [
     "spaces", "newlines", "digits", "upper", "lower", "high_bytes", "sentence_marks", "other_marks", "exclaims",
     "pipes", "quotes", "mark_runs", "byte_entropy", "lines", "short_lines", "repeated_lines", "unended_lines",
 ]
-#: Raw scores are counted in this many bins before the isotonic fit, between RAW_LOW and RAW_HIGH.
+#: Raw scores are counted in this many bins before the isotonic fit, between RAW_LOW and RAW_HIGH; those
+#: outside count in the first or last bin. A knot so lies within 0.001 of the raw scores that it stands for.
 BINS, RAW_LOW, RAW_HIGH = 1000, -0.5, 1.5
+#: Standard deviations at which a statistic is cut off before it enters the kernel.
+FURTHEST = 6.0
 #: Labelled rows that the fit takes at most; a hash of the id chooses them.
 TRAIN_ROWS = 400_000
 
@@ -87,7 +90,11 @@ def statistics(docs: DataFrame, *, id_column: str = "doc_id", text_column: str =
 
 @dataclass(frozen=True)
 class QualityModel:
-    """A Gaussian kernel of the given width, approximated by cosines of random projections."""
+    """A Gaussian kernel of the given width, approximated by cosines of random projections.
+
+    Statistics are centred and scaled by the labelled rows, and cut off at FURTHEST deviations, so that
+    an odd text lies at the edge of what was learnt and not where no kernel reaches.
+    """
 
     mean: np.ndarray
     scale: np.ndarray
@@ -98,7 +105,7 @@ class QualityModel:
     values: np.ndarray
 
     def features(self, rows: pd.DataFrame) -> np.ndarray:
-        x = np.clip((rows[STATISTICS].to_numpy(dtype=float) - self.mean) / self.scale, -6, 6)
+        x = np.clip((rows[STATISTICS].to_numpy(dtype=float) - self.mean) / self.scale, -FURTHEST, FURTHEST)
         z = np.cos(x @ self.projection + self.phase) * np.sqrt(2 / len(self.phase))
         return np.column_stack([z, np.ones(len(z))])
 
@@ -110,14 +117,19 @@ class QualityModel:
 
 
 def isotonic(centres: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators over bins; knots and values of a non-decreasing curve inside (0, 1)."""
+    """Pool adjacent violators over bins; knots and values of a non-decreasing curve inside (0, 1).
+
+    A block's value is its share of ones. Shares of 0 and 1 are moved inward by half a row of all rows,
+    the same for every block, so that the order of the values stays as pooling has left it.
+    """
     blocks: list[list[float]] = []
     for x, n, s in zip(centres, counts, sums, strict=True):
         blocks.append([x * n, n, s])
         while len(blocks) > 1 and blocks[-2][2] / blocks[-2][1] >= blocks[-1][2] / blocks[-1][1]:
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
-    return np.array([b[0] / b[1] for b in blocks]), np.array([(b[2] + 0.5) / (b[1] + 1) for b in blocks])
+    inward = 0.5 / (sum(b[1] for b in blocks) + 1)
+    return np.array([b[0] / b[1] for b in blocks]), np.clip([b[2] / b[1] for b in blocks], inward, 1 - inward)
 
 
 def fit(train: DataFrame, *, features: int = 256, width: float = 4.0, ridge: float = 1e-3, seed: int = 7, train_rows: int = TRAIN_ROWS) -> QualityModel | None:
@@ -196,7 +208,9 @@ def _known(labels: DataFrame, label_column: str) -> DataFrame:
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """docs without the rows that the classifier predicts to be bad, with all their columns.
 
-    The rows are scored where they are read, so that no text moves. Without any label all rows stay.
+    The rows are scored where they are read, so that no text moves. Null counts as empty; an empty text
+    has all statistics 0 and is judged like any other. Without any label all rows stay, and of an empty
+    table nothing.
     """
     model = train_quality(docs, labels, **options)
     if model is None:
