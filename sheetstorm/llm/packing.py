@@ -63,7 +63,8 @@ def token_pieces(
 ) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of every piece (and its ids, if asked for).
 
-    A document is the ids of its text and end_id. Texts are tokenised where they are read, a batch at a
+    A document is the ids of its text and end_id. The vocabulary's special tokens are taken as such where
+    a text spells them out, as its library does without being told otherwise. Texts are tokenised where they are read, a batch at a
     time, and leave the task as pieces only. Null counts as empty: such a document is end_id alone.
     """
     kind = docs.schema[id_column].dataType
@@ -74,7 +75,7 @@ def token_pieces(
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = np.append(encode(text, disallowed_special=()), end_id).astype("<u4")
+                ids = np.append(encode(text, allowed_special="all"), end_id).astype("<u4")
                 for k, (start, size) in enumerate(cut(len(ids), length)):
                     own = ids[start : start + size]
                     rows.append((doc_id, k, start, size, zlib.crc32(own.tobytes()), *([own.astype("int32")] if with_ids else [])))

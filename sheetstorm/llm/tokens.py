@@ -20,13 +20,20 @@ def _byte_of_letter() -> dict[str, int]:
 @lru_cache(maxsize=4)
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to id, from a .json vocabulary or a file of ranks. Special tokens are left out."""
+    if path.endswith(".json"):
+        letters, special = _byte_of_letter(), special_tokens(path)
+        with open(path, "rb") as file:
+            return {bytes(letters[c] for c in token): rank for token, rank in json.load(file)["model"]["vocab"].items() if token not in special}
     with open(path, "rb") as file:
-        if not path.endswith(".json"):
-            return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
-        whole = json.load(file)
-    special = {x["content"] for x in whole.get("added_tokens", ())}
-    letters = _byte_of_letter()
-    return {bytes(letters[c] for c in token): rank for token, rank in whole["model"]["vocab"].items() if token not in special}
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}
+
+
+def special_tokens(path: str) -> dict[str, int]:
+    """Marks that a .json vocabulary takes out of texts before anything else, with their ids; rank files have none."""
+    if not path.endswith(".json"):
+        return {}
+    with open(path, "rb") as file:
+        return {x["content"]: x["id"] for x in json.load(file).get("added_tokens", ())}
 
 
 @lru_cache(maxsize=4)
@@ -34,4 +41,4 @@ def encoder(path: str):
     """The encoder of a vocabulary, once for each Python worker; path is readable on every executor."""
     import tiktoken
 
-    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=read_ranks(path), special_tokens=special_tokens(path))

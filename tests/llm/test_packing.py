@@ -14,7 +14,6 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 def check(spark, docs, length=1024):
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     want = []
     for r in docs.select("doc_id", "text").collect():
         ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
@@ -46,9 +45,11 @@ def test_odd_rows(spark):
     assert pack_documents(odd_documents(spark, []), VOCABULARY).count() == 0
 
 
-def test_special_strings_are_ordinary_text(spark):
-    docs = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
-    assert 50256 not in token_pieces(docs, VOCABULARY, with_ids=True).first().ids
+def test_special_strings_are_taken_as_the_library_takes_them(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "a  <|endoftext|><|endoftext|>  \n", "<|endoftext", " <|endoftext|>|>x"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    check(spark, docs)
+    assert [50256 in r.ids for r in token_pieces(docs, VOCABULARY, with_ids=True).orderBy("doc_id").collect()] == [True, True, True, False, True]
 
 
 def test_bounded_best_fit():
