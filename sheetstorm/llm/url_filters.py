@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, repeat_rows
 
-#: Hexadecimal digits of the SHA-256 that the join compares first.
+#: Hexadecimal digits of the SHA-256 that the join compares, as a number; whole digests are compared after it.
 PREFIX_DIGITS = 8
 
 
+def _prefix(digest: Column) -> Column:
+    return F.conv(F.left(digest, F.lit(PREFIX_DIGITS)), 16, 10).cast("long")
+
+
+
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
     """A small rule list, (verdict, host, path) each, as a table whose size Catalyst knows."""
     rows = [f"('{v}', '{h}', '{p}')" for v, h, p in ((x.replace("\\", "\\\\").replace("'", "\\'") for x in r) for r in rules)]
@@ -51,7 +56,7 @@ def filter_urls(
         F.struct(
             F.length(F.concat("host", "path")).alias("length"), F.length("host").alias("host_length"), F.col("verdict"), F.concat("host", "path").alias("rule")
         ).alias("found"),
-    ).withColumn("prefix", F.left("rule_digest", F.lit(PREFIX_DIGITS)))
+    ).withColumn("rule_prefix", _prefix(F.col("rule_digest")))
     shapes = clean.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length")).distinct().orderBy("labels", "length").collect()
 
     host, path = host_and_path(pages[url_column])
@@ -64,7 +69,8 @@ def filter_urls(
     # The first entry stands for the url itself: it carries no expression and counts the rows.
     variants = F.array_append(F.array_compact(F.array(*expressions)), F.lit(None).cast("string")) if shapes else F.array(F.lit(None).cast("string"))
     expanded = urls.select("*", F.explode(variants).alias("expression")).withColumn("digest", F.sha2("expression", 256))
-    found = expanded.join(keyed, (F.left("digest", F.lit(PREFIX_DIGITS)) == keyed["prefix"]) & (F.col("digest") == keyed["rule_digest"]), "left")
+    met = expanded.withColumn("prefix", _prefix(F.col("digest"))).join(keyed, F.col("prefix") == F.col("rule_prefix"), "left")
+    found = met.withColumn("found", F.when(F.col("digest") == F.col("rule_digest"), F.col("found")))  # a short prefix can meet by chance
     best = found.groupBy("page_id", "host", "path").agg(F.max("found").alias("found"), F.count_if(F.col("expression").isNull()).alias("rows"))
     return repeat_rows(best, "rows").select(
         "page_id", "host", "path", F.col("found.rule").alias("rule"), F.coalesce("found.verdict", F.lit(otherwise)).alias("verdict")
