@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that setting is empty (a local session, as in tests) a temporary folder is chosen.
+    Only where that setting is empty and the session is local, as in tests, a temporary folder is chosen;
+    on a cluster it would be the driver's own disk, so that an empty setting is an error there.
     """
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not where:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="sheetstorm-")
         sc.setCheckpointDir(where)
     elif not sc.getCheckpointDir():
@@ -31,6 +34,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/sheetstorm/{name}-{uuid.uuid4().hex}"
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of scratch(), by whatever store holds it, once nothing reads it any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Computes df once and keeps it in the shared folder, so that later steps survive lost executors."""
     shared_dir(df.sparkSession)
