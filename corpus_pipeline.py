@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sheetstorm.llm.common import scratch
+from sheetstorm.llm.common import forget, scratch
 from sheetstorm.llm.exact_dedup import drop_copies
 from sheetstorm.llm.packing import pack_documents
 from sheetstorm.llm.quality import drop_low_quality
@@ -36,12 +36,15 @@ STAGES = [("quality", quality), ("exact", exact), ("near", near), ("pack", pack)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents; each reads what the one before has written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Applies the stages to the documents; each reads what the one before has written, which then goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            forget(spark, before)
+        before = path
     return docs
 
 
