@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import repeat_rows, scratch, short_lived_shuffles, text_or_empty, with_text_ids
+from .common import scratch, short_lived_shuffles, text_or_empty, with_text_ids
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: The end of a text as a word; no word is empty.
@@ -29,9 +29,10 @@ START = np.uint64(0)
 DISCOUNTED, LEAST_LOSS = 5, 0.01
 #: Buckets of last words at least, tokens of a bucket beyond which there are more, and bytes of text in a block.
 BUCKETS, BUCKET_TOKENS, BLOCK_BYTES = 128, 4_000_000, 1 << 24
-#: A word with more than this share of a bucket's tokens is spread over all buckets by its context.
-HOT_SHARE = 0.25
-ROW = "kind string, bucket int, block long, context long, payload binary, n1 long, n2 long, n3 long, n4 long, n5 long, n6 long, value double"
+#: A word with more than this share of a bucket's tokens is spread over all buckets by its context; HOT_WORDS bounds
+#: how many such words the driver hands to the tasks.
+HOT_SHARE, HOT_WORDS = 0.25, 1_000_000
+ROW = "kind string, bucket int, block long, number long, context long, payload binary, n1 long, n2 long, n3 long, n4 long, n5 long, n6 long, value double"
 
 
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
@@ -115,11 +116,11 @@ class _Block:
         self.places: dict[bytes, int] = {}
         self.bytes = 0
         self.trains: list[bool] = []
-        self.ids: list[int | None] = []
+        self.ids: list[str | None] = []
         self.keys: list[int] = []
         self.stream: list[np.ndarray] = []
 
-    def add(self, doc_id: int | None, train: bool, text: str) -> None:
+    def add(self, doc_id: str | None, train: bool, text: str) -> None:
         import xxhash
 
         words = words_of(text)
@@ -131,6 +132,15 @@ class _Block:
         self.stream.append(np.fromiter((places.setdefault(w, len(places)) for w in words), dtype=np.int32, count=len(words)))
 
     def rows_for_buckets(self, hot: frozenset[bytes], buckets: int) -> Iterator[pd.DataFrame]:
+        """A row with the block's documents, and one per bucket with what it needs of the bigrams that belong there.
+
+        A bucket is told the numbers of the documents that it sees something of, and nothing of others,
+        so that what is sent grows with the tokens and not with documents times buckets.
+        """
+        import xxhash
+
+        name = xxhash.xxh64(np.array(self.keys, dtype="<u8").tobytes()).intdigest()
+        yield pd.DataFrame({"bucket": [name % buckets], "payload": [_pack({"name": np.array([name], dtype="<u8"), "ids": json.dumps(self.ids).encode(), "trains": np.array(self.trains, dtype=np.uint8)})]})
         words = list(self.places)
         hashes = _hash(words)
         is_hot = np.fromiter((w in hot for w in words), dtype=bool, count=len(words))
@@ -145,12 +155,7 @@ class _Block:
         home = _mix(np.where(is_hot[last], context, hashes[last])) % np.uint64(buckets)
         order = np.argsort(home, kind="stable")
         bounds = np.searchsorted(home[order], np.arange(buckets + 1, dtype=np.uint64))
-        rows = {
-            "trains": np.array(self.trains, dtype=np.uint8),
-            "ids": np.array([x or 0 for x in self.ids], dtype="<i8"),
-            "nulls": np.array([x is None for x in self.ids], dtype=np.uint8),
-            "keys": np.array(self.keys, dtype="<u8"),
-        }
+        trains = np.array(self.trains, dtype=np.uint8)
         for bucket in range(buckets):
             own = order[bounds[bucket] : bounds[bucket + 1]]
             if not len(own):
@@ -159,34 +164,45 @@ class _Block:
             contexts, at = np.unique(context[own], return_inverse=True)
             pair, which, times = np.unique(at * len(local) + place, return_inverse=True, return_counts=True)
             by_pair = np.argsort(which, kind="stable")
+            numbers, seen = np.unique(document[own][by_pair], return_inverse=True)
             arrays = {
+                "name": np.array([name], dtype="<u8"),
                 "words": b"\n".join(words[i] for i in local.tolist()),
                 "contexts": contexts.astype("<u8"),
                 "followers": np.bincount(pair // len(local), minlength=len(contexts)).astype("<u4"),
                 "pair_word": (pair % len(local)).astype("<u4"),
                 "times": _narrow(times),
-                "documents": _narrow(document[own][by_pair]),
+                "documents": _narrow(seen),
+                "numbers": _narrow(numbers),
+                "trains": trains[numbers],
             }
-            yield pd.DataFrame({"bucket": [bucket], "payload": [_pack(arrays | rows)]})
+            yield pd.DataFrame({"bucket": [bucket], "payload": [_pack(arrays)]})
 
 
 def _bucket_results(payloads: list[bytes], bucket: int, model: dict) -> Iterator[pd.DataFrame]:
-    """What a bucket finds: sums of documents (kind d), contexts (c), held-out unseen bigrams (u), counts of counts (n)."""
+    """What a bucket finds: sums of documents (kind d), contexts (c), unseen bigrams (u), counts of counts (n). Documents (t) pass through."""
     words: dict[bytes, int] = {}
     pair_word, pair_context, times, documents = [], [], [], []
-    of_rows: dict[str, list[np.ndarray]] = {"trains": [], "ids": [], "nulls": [], "keys": []}
+    of_rows: dict[str, list[np.ndarray]] = {"trains": [], "numbers": [], "names": []}
     size = 0
     for payload in payloads:
         x = _unpack(payload)
+        if "ids" in x:
+            yield _row(kind="t", bucket=bucket, payload=payload)
+            continue
+        x["names"] = np.full(len(x["numbers"]), x["name"][0], dtype="<u8")
+        x["numbers"] = x["numbers"].astype("<i8")
         listed = x["words"].split(b"\n")
         number = np.fromiter((words.setdefault(w, len(words)) for w in listed), dtype=np.int64, count=len(listed))
         pair_word.append(number[x["pair_word"]])
         pair_context.append(np.repeat(x["contexts"], x["followers"]))
         times.append(x["times"].astype(np.int64))
         documents.append((x["documents"].astype(np.int64) + size).astype(np.int32))
-        size += len(x["keys"])
+        size += len(x["numbers"])
         for name, found in of_rows.items():
             found.append(x[name])
+    if not size:
+        return
     pair_word, pair_context, times, documents = map(np.concatenate, (pair_word, pair_context, times, documents))
     rows = {name: np.concatenate(found) for name, found in of_rows.items()}
     trains = rows["trains"].astype(bool)
@@ -242,8 +258,12 @@ def _bucket_results(payloads: list[bytes], bucket: int, model: dict) -> Iterator
     yield _shaped(pd.DataFrame(frame))
 
     unseen = ~seen
-    keys, n = np.unique(np.column_stack([rows["keys"][documents[unseen]], group_context[token_group[unseen]]]), axis=0, return_counts=True) if unseen.any() else (np.zeros((0, 2), dtype=np.uint64), np.zeros(0))
-    yield _shaped(pd.DataFrame({"kind": "u", "block": np.ascontiguousarray(keys[:, 0]).view(np.int64), "context": np.ascontiguousarray(keys[:, 1]).view(np.int64), "n1": n}))
+    own, at = documents[unseen], group_context[token_group[unseen]]
+    order = np.lexsort((at, own))
+    own, at = own[order], at[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(own)), dtype=bool), (own[1:] != own[:-1]) | (at[1:] != at[:-1])]))
+    n = np.diff(np.append(starts, len(own)))
+    yield _shaped(pd.DataFrame({"kind": "u", "block": rows["names"][own[starts]].view(np.int64), "number": rows["numbers"][own[starts]], "context": at[starts].view(np.int64), "n1": n}))
 
 
 COLUMNS = [x.split()[0] for x in ROW.split(", ")]
@@ -255,7 +275,7 @@ def _row(**fields) -> pd.DataFrame:
 
 def _shaped(frame: pd.DataFrame) -> pd.DataFrame:
     out = frame.reindex(columns=COLUMNS)
-    whole = {c: "Int64" for c in ("block", "context", "n1", "n2", "n3", "n4", "n5", "n6")} | {"bucket": "Int32"}
+    whole = {c: "Int64" for c in ("block", "number", "context", "n1", "n2", "n3", "n4", "n5", "n6")} | {"bucket": "Int32"}
     return out.astype(whole).astype({"payload": object, "kind": object})
 
 
@@ -301,7 +321,7 @@ def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     if not total:
         return rows.select("doc_id", "held_out", *_untaught())
     buckets = max(BUCKETS, -(-total // BUCKET_TOKENS))
-    hot = {bytes(r["word"]): r["n"] for r in words.where((F.col("n") > int(HOT_SHARE * total / buckets)) | (F.col("word") == F.lit(bytearray(END)))).collect()}
+    hot = {bytes(r["word"]): r["n"] for r in words.where((F.col("n") > max(int(HOT_SHARE * total / buckets), total // HOT_WORDS)) | (F.col("word") == F.lit(bytearray(END)))).collect()}
     d1 = discounts(counts)
     left = sum((1 - d1[r]) * r * counts[r - 1] for r in range(1, DISCOUNTED + 1)) + LEAST_LOSS * stats["more"]
     model = {"total": total, "distinct": distinct, "d1": d1, "unknown": left / total, "hot": hot}
@@ -310,7 +330,7 @@ def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column:
         block, spread = _Block(), frozenset(hot)
         for batch in batches:
             for doc_id, test, text in zip(batch["doc_id"], batch["held_out"], batch["text"], strict=True):
-                block.add(None if doc_id is None else int(doc_id), not test, text)
+                block.add(doc_id, not test, text)
                 if block.bytes >= block_bytes:
                     yield from block.rows_for_buckets(spread, buckets)
                     block = _Block()
@@ -320,7 +340,7 @@ def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     def gather(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         return pd.concat(list(_bucket_results(parts["payload"].tolist(), int(key[0]), model)), ignore_index=True)
 
-    dealt = with_text_ids(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")).mapInPandas(deal, "bucket int, payload binary")
+    dealt = with_text_ids(rows).mapInPandas(deal, "bucket int, payload binary")
     with short_lived_shuffles(spark):
         dealt.groupBy("bucket").applyInPandas(gather, ROW).write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/bigrams")
     tables = spark.read.schema(ROW).parquet(f"{folder}/bigrams")
@@ -333,8 +353,8 @@ def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column:
     with short_lived_shuffles(spark):
         contexts.select("context", F.log10(loss / (1 - F.col("seen"))).alias("backoff")).write.option("compression", "zstd").parquet(f"{folder}/contexts")
     backoff = spark.read.parquet(f"{folder}/contexts")
-    unseen = tables.where("kind = 'u'").select(F.col("block").alias("key"), "context", "n1")
-    unseen = unseen.join(backoff, "context").groupBy("key").agg(F.sum(F.col("n1") * F.col("backoff")).alias("unseen"))
+    unseen = tables.where("kind = 'u'").select("block", "number", "context", "n1")
+    unseen = unseen.join(backoff, "context").groupBy("block", "number").agg(F.sum(F.col("n1") * F.col("backoff")).alias("unseen"))
 
     sums = ["tokens", "ends", "known", "base", "model", *(f"r{r}" for r in range(1, DISCOUNTED + 1))]
 
@@ -342,27 +362,31 @@ def score_documents(docs: DataFrame, *, id_column: str = "doc_id", text_column:
         for batch in batches:
             for payload in batch["payload"]:
                 x = _unpack(payload)
-                frame = pd.DataFrame({"key": x["keys"].view(np.int64), "doc_id": pd.array(x["ids"], dtype="Int64"), "held_out": x["trains"] == 0} | {n: x[n].astype(float) for n in sums})
-                frame.loc[x["nulls"] == 1, "doc_id"] = pd.NA
-                yield frame
+                yield pd.DataFrame({"block": x["names"].view(np.int64), "number": x["numbers"]} | {n: x[n].astype(float) for n in sums})
+
+    def name_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for payload in batch["payload"]:
+                x = _unpack(payload)
+                ids = json.loads(x["ids"])
+                yield pd.DataFrame({"block": np.repeat(x["name"].view(np.int64), len(ids)), "number": np.arange(len(ids), dtype="int64"), "doc_id": pd.Series(ids, dtype=object), "held_out": x["trains"] == 0})
 
-    parts = tables.where("kind = 'd'").select("payload").mapInPandas(spell_out, "key long, doc_id long, held_out boolean, " + ", ".join(f"{n} double" for n in sums))
-    whole = parts.groupBy("key", "doc_id", "held_out").agg(*(F.sum(n).alias(n) for n in sums)).join(unseen, "key", "left")
-    # Rows that repeat id and text share a key; each has one end, so that the ends count the copies.
+    parts = tables.where("kind = 'd'").select("payload").mapInPandas(spell_out, "block long, number long, " + ", ".join(f"{n} double" for n in sums))
+    documents = tables.where("kind = 't'").select("payload").mapInPandas(name_documents, "block long, number long, doc_id string, held_out boolean")
+    whole = parts.groupBy("block", "number").agg(*(F.sum(n).alias(n) for n in sums)).join(unseen, ["block", "number"], "left").join(documents, ["block", "number"])
+    # Blocks of equal content share a name, and so do their documents: each has one end, so that the ends count the copies.
     log_d = [float(np.log10(d2[r])) for r in range(1, DISCOUNTED + 1)]
     seen = sum((F.col(f"r{r}") * log_d[r - 1] for r in range(1, DISCOUNTED + 1)), F.col("model"))
     start = float(np.log10(hot[END]))
-    each = whole.select(
-        "doc_id",
+    return whole.select(
+        F.col("doc_id").cast(docs.schema[id_column].dataType).alias("doc_id"),
         "held_out",
         (F.col("tokens") / F.col("ends")).cast("long").alias("n_tokens"),
         (F.col("known") / F.col("ends")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") / F.col("ends")).alias("base_score"),
         ((seen + F.coalesce("unseen", F.lit(0.0))) / F.col("ends") - start).alias("score"),
-        F.col("ends").cast("long").alias("copies"),
     )
-    return repeat_rows(each, "copies").drop("copies", "copy")
 
 
 def _untaught() -> list:
