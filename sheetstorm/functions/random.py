@@ -39,15 +39,18 @@ def stream_of(sheet: str, address: str, place: int) -> int:
     return hash32((h + place * GOLDEN) & MASK)
 
 
-def with_hash32(df: DataFrame, source: Column, to: str) -> DataFrame:
-    """Adds column `to`, the hash of a long below 2**32, in four stages."""
-    df = df.withColumn(f"{to}_0", source)
+def with_hashes(df: DataFrame, sources: dict[str, Column]) -> DataFrame:
+    """Adds the hashes of longs below 2**32 (name -> source): four stages, however many there are."""
+    df = df.withColumns({f"{name}_0": source for name, source in sources.items()})
     for i, (shift, factor) in enumerate(zip(SHIFTS, (*FACTORS, 1), strict=True)):
         # A factor above 2**31 is taken less 2**32: the same low bits, and the product stays within a long.
-        signed = factor if factor < 1 << 31 else factor - (1 << 32)
-        x = F.col(f"{to}_{i}")
-        df = df.withColumn(f"{to}_{i + 1}" if i < 2 else to, (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(signed).cast("long")).bitwiseAND(F.lit(MASK)))
-    return df.drop(*(f"{to}_{i}" for i in range(3)))
+        signed = F.lit(factor if factor < 1 << 31 else factor - (1 << 32)).cast("long")
+        steps = {}
+        for name in sources:
+            x = F.col(f"{name}_{i}")
+            steps[f"{name}_{i + 1}" if i < 2 else name] = (x.bitwiseXOR(F.shiftright(x, shift)) * signed).bitwiseAND(F.lit(MASK))
+        df = df.withColumns(steps)
+    return df.drop(*(f"{name}_{i}" for name in sources for i in range(3)))
 
 
 def unit(u: Column) -> Column:
@@ -55,19 +58,19 @@ def unit(u: Column) -> Column:
     return (F.shiftright(u, 9).cast("double") + 0.5) * 2.0**-23
 
 
-def with_uniforms(df: DataFrame, seed: int, iteration: str, streams: dict[str, tuple[int, int]]) -> DataFrame:
-    """Adds uniforms: name -> (stream, place). Streams share the hash of the seed and iteration, places that of the stream."""
+def with_seeded(df: DataFrame, seed: int, iteration: str) -> DataFrame:
+    """Adds __seeded, the hash of seed and iteration that all draws share."""
+    return with_hashes(df, {"__seeded": F.col(iteration).cast("long").bitwiseAND(F.lit(MASK)).bitwiseXOR(F.lit(hash32(seed & MASK)).cast("long"))})
+
+
+def with_uniforms(df: DataFrame, streams: dict[str, tuple[int, int]]) -> DataFrame:
+    """Adds uniforms (name -> (stream, place)) to rows with __seeded, in eight stages. Places share the hash of their stream."""
     if not streams:
         return df
-    df = with_hash32(df, F.col(iteration).cast("long").bitwiseAND(F.lit(MASK)).bitwiseXOR(F.lit(hash32(seed & MASK)).cast("long")), "__seeded")
-    of_stream: dict[int, str] = {}
-    for name, (stream, place) in streams.items():
-        if stream not in of_stream:
-            of_stream[stream] = f"__stream_{stream}"
-            df = with_hash32(df, F.col("__seeded").bitwiseXOR(F.lit(stream).cast("long")), of_stream[stream])
-        df = with_hash32(df, F.col(of_stream[stream]).bitwiseXOR(F.lit(place).cast("long")), f"{name}_hash")
-        df = df.withColumn(name, unit(F.col(f"{name}_hash"))).drop(f"{name}_hash")
-    return df.drop("__seeded", *of_stream.values())
+    of_stream = {stream: f"__stream_{stream}" for stream, _ in streams.values()}
+    df = with_hashes(df, {name: F.col("__seeded").bitwiseXOR(F.lit(stream).cast("long")) for stream, name in of_stream.items()})
+    df = with_hashes(df, {f"{name}_hash": F.col(of_stream[stream]).bitwiseXOR(F.lit(place).cast("long")) for name, (stream, place) in streams.items()})
+    return df.withColumns({name: unit(F.col(f"{name}_hash")) for name in streams}).drop(*(f"{name}_hash" for name in streams), *of_stream.values())
 
 
 def uniform_numpy(seed: int, iteration: np.ndarray, stream: int, place: int) -> np.ndarray:

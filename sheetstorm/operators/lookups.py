@@ -13,12 +13,14 @@ from ..functions.calendar import convert
 from ..plans.periods import GRANULARITIES
 from .storage import kept
 
-#: Rows of a table that is broadcast at most.
-BROADCAST_ROWS = 100_000
+#: Steps that every row is held against at most, in a nested loop.
+BROADCAST_ROWS = 512
 
 
 def exact_lookup(rows: DataFrame, table: DataFrame, key: str, table_key: str, value: str, to: str) -> DataFrame:
-    """The value at the first table row (by `position`) with an equal key; NaN where there is none."""
+    """The value at the first table row (by `position`) with an equal key; NaN where there is none. NaN equals no key."""
+    if dict(table.dtypes)[table_key] in ("double", "float"):
+        table = table.where(~F.isnan(table_key))
     first = table.groupBy(F.col(table_key).alias("__key")).agg(F.min_by(F.col(value).cast("double"), "position").alias("__value"))
     found = rows.join(first, F.col(key) == F.col("__key"), "left")
     return found.withColumn(to, F.coalesce("__value", ieee.nan())).drop("__key", "__value")
@@ -37,7 +39,7 @@ def nearest_lookup(
     sign = -1 if descending else 1
     steps = table.select((F.col(table_key).cast("double") * sign).alias("__key"), F.struct("position", F.col(value).cast("double").alias("value")).alias("__step")).where("__key is not null and not isnan(__key)")
     keyed = rows.withColumn("__row_key", F.col(key).cast("double") * sign)
-    if table.count() > broadcast_rows:
+    if table.limit(broadcast_rows + 1).count() > broadcast_rows:
         return _nearest_by_sorting(keyed, steps, to)
     best = steps.groupBy("__key").agg(F.max("__step").alias("__step"))
     order = Window.orderBy("__key")  # over at most broadcast_rows rows

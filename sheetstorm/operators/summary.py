@@ -12,6 +12,8 @@ from ..functions import ieee
 #: Fixed values of the histogram: bins of the body, growth of the bins outside it and how many there are each side.
 LINEAR, RATIO = 512, 1.02
 LOG = math.ceil(math.log(1e15) / math.log(RATIO))
+#: Outputs that are aggregated side by side at most.
+WIDE = 12
 #: The iterations whose median and quartiles place the bins.
 FIRST_BATCH = 8192
 #: The window shows the samples between this quantile and its mirror, with so much padding, or all if that is most.
@@ -42,21 +44,37 @@ def with_sd(summary: DataFrame) -> DataFrame:
 
 
 def summarize(samples: DataFrame, outputs: list[str], keys: list[str] | None = None) -> DataFrame:
-    """cell, count, mean, m2, nans, infinities, first, sd per output (and keys), in one aggregation."""
+    """cell, count, mean, m2, nans, infinities, first, sd per output (and keys), in one aggregation.
+
+    Up to WIDE outputs are aggregated side by side. More would make buffers too wide for generated code:
+    then every row becomes one for each output, which are summed up before they are shuffled.
+    """
+    keys = keys or []
+    if len(outputs) > WIDE:
+        pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.col(f"`{o}`").cast("double").alias("value")) for i, o in enumerate(outputs)))).alias("x")
+        rows = samples.select(*keys, "iteration", pairs).select(*keys, "iteration", "x.place", "x.value")
+        found = rows.groupBy(*keys, "place").agg(*summary_of(F.col("value"), F.col("iteration")))
+        return with_sd(found.select(*keys, F.get(F.array(*map(F.lit, outputs)), F.col("place")).alias("cell"), "count", "mean", "m2", "nans", "infinities", "first"))
     aggregates = [F.struct(F.lit(o).alias("cell"), *summary_of(F.col(f"`{o}`"), F.col("iteration"))).alias(f"__{i}") for i, o in enumerate(outputs)]
     grouped = samples.groupBy(*keys).agg(*aggregates) if keys else samples.agg(*aggregates)
-    rows = grouped.select(*(keys or []), F.explode(F.array(*(F.col(f"__{i}") for i in range(len(outputs))))).alias("x"))
-    return with_sd(rows.select(*(keys or []), "x.*"))
+    rows = grouped.select(*keys, F.explode(F.array(*(F.col(f"__{i}") for i in range(len(outputs))))).alias("x"))
+    return with_sd(rows.select(*keys, "x.*"))
 
 
 def merge_summaries(summaries: DataFrame, keys: list[str]) -> DataFrame:
-    """Summaries of parts to those of the whole, as if all samples had been summarized at once."""
+    """Summaries of parts to those of the whole, as if all samples had been summarized at once.
+
+    The parts' means are taken from the mean of all before they are squared, so that large values with a
+    small deviation keep it.
+    """
     finite = F.col("count") - F.col("nans") - F.col("infinities")
-    total = F.sum(finite)
-    mean = F.when(total > 0, F.sum(finite * F.col("mean")) / total).otherwise(0.0)
-    between = F.sum(finite * F.col("mean") * F.col("mean")) - F.when(total > 0, F.sum(finite * F.col("mean")) * F.sum(finite * F.col("mean")) / total).otherwise(0.0)
-    merged = summaries.groupBy(*keys).agg(
-        F.sum("count").alias("count"), mean.alias("mean"), F.greatest(F.sum("m2") + between, F.lit(0.0)).alias("m2"), F.sum("nans").alias("nans"), F.sum("infinities").alias("infinities")
+    every = Window.partitionBy(*keys)
+    total, weighted = F.sum(finite).over(every), F.sum(finite * F.col("mean")).over(every)
+    near = summaries.withColumn("__finite", finite).withColumn("__mean", F.when(total > 0, weighted / total).otherwise(0.0))
+    apart = F.col("mean") - F.col("__mean")
+    mean = F.when(F.sum("__finite") > 0, F.first("__mean") + F.sum(F.col("__finite") * apart) / F.sum("__finite")).otherwise(0.0)
+    merged = near.groupBy(*keys).agg(
+        F.sum("count").alias("count"), mean.alias("mean"), F.sum(F.col("m2") + F.col("__finite") * apart * apart).alias("m2"), F.sum("nans").alias("nans"), F.sum("infinities").alias("infinities")
     )
     return with_sd(merged)
 

@@ -514,9 +514,8 @@ class _Compiler:
     def rounded(self, parts: tuple[Node, ...], mode: str) -> Value:
         p = self.program
         x = self.number(self.emit(parts[0]))
-        digits = self.number(self.emit(parts[1])) if len(parts) > 1 else p.const(0)
-        written = p.value(digits)
-        scale = p.const(10.0 ** math.trunc(written)) if written is not None and math.isfinite(written) and abs(written) < 300 else p.bin("pow", p.const(10), digits)
+        written = written_number(parts[1]) if len(parts) > 1 else 0.0
+        scale = p.const(10.0**written) if written is not None and abs(written) < 300 else p.bin("pow", p.const(10), self.number(self.emit(parts[1])))
         size = p.bin("mul", p.un("abs", x), scale)
         whole = {"half": lambda: p.un("floor", p.bin("add", size, p.const(0.5))), "down": lambda: p.un("floor", size), "up": lambda: p.un("neg", p.un("floor", p.un("neg", size)))}[mode]()
         sign = p.select(p.bin("lt", x, p.const(0)), p.const(-1), p.const(1))
@@ -526,6 +525,13 @@ class _Compiler:
 BINARY_COMPARISONS = frozenset(["=", "<>", "<", ">", "<=", ">="])
 
 
+def written_number(node: Node) -> float | None:
+    """The number that a formula spells out, with or without a minus; None for anything that is calculated."""
+    if node.kind == "sign" and node.parts[0].kind == "number":
+        return -float(node.parts[0].value)
+    return float(node.value) if node.kind == "number" else None
+
+
 def _walk(node: Node):
     yield node
     for part in node.parts:
@@ -612,7 +618,7 @@ def _index(c: _Compiler, parts: tuple[Node, ...]) -> Value:
 
 
 def _match(c: _Compiler, parts: tuple[Node, ...]) -> Value:
-    kind = c.program.value(c.emit(parts[2]).reg) if len(parts) > 2 else 1.0
+    kind = written_number(parts[2]) if len(parts) > 2 else 1.0
     if kind is None:
         raise CellError("#VALUE!", "The kind of match is written as a number")
     return Value(c.position(c.emit(parts[0]), c.list_of(parts[1]), kind))

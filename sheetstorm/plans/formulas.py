@@ -261,5 +261,5 @@ def references(formula: str) -> list[tuple[int, int, str | None, str]]:
 
 
 def is_valid_name(name: str) -> bool:
-    """Names start with a letter or _, and look like no cell, no period and no literal."""
-    return bool(re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", name)) and not re.fullmatch(r"[A-Za-z]{1,3}[0-9]+|[Rr]|[Cc]|[Rr]\d*[Cc]\d*|TRUE|FALSE", name, re.IGNORECASE)
+    """Names of up to 255 characters start with a letter or _, and look like no cell and no truth value."""
+    return len(name) <= 255 and bool(re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", name)) and not re.fullmatch(r"[A-Za-z]{1,3}[0-9]+|TRUE|FALSE", name, re.IGNORECASE)

@@ -16,6 +16,8 @@ from .programs import BINARY, NAN, UNARY, Program
 
 #: An expression of more operations than this becomes a column of its own.
 LARGEST = 24
+#: Draws whose hashes are made side by side: rows that are much wider get no generated code.
+DRAWS = 16
 _BINARY = {
     "add": lambda a, b: a + b,
     "sub": lambda a, b: a - b,
@@ -52,8 +54,15 @@ def lower(df: DataFrame, program: Program, outputs: dict[str, int], *, seed: int
     uses = Counter(a for reg in needed for a in program.arguments(reg))
     repeated = {a for reg in needed if program.ops[reg][0] in ("un", "bin") and (program.ops[reg][1] in _REPEATS or program.ops[reg][1] == "phi_inverse") for a in program.arguments(reg)}
     draws = [reg for reg in needed if program.ops[reg][0] == "draw"]
-    streams = {f"__u{reg}_{k}": (program.ops[reg][2], k) for reg in draws for k in range(R.UNIFORMS[program.ops[reg][1]])}
-    df = R.with_uniforms(df, seed, iteration, streams)
+    known = {reg for reg in draws if all(program.ops[a][0] == "const" for a in program.arguments(reg))}
+    if draws:
+        df = R.with_seeded(df, seed, iteration)
+    for part in (draws[at : at + DRAWS] for at in range(0, len(draws), DRAWS)):
+        uniforms = {reg: [f"__u{reg}_{k}" for k in range(R.UNIFORMS[program.ops[reg][1]])] for reg in part}
+        df = R.with_uniforms(df, {name: (program.ops[reg][2], k) for reg, names in uniforms.items() for k, name in enumerate(names)})
+        own = {reg: R.drawn(program.ops[reg][1], [F.col(x) for x in uniforms[reg]], [F.lit(program.ops[a][1]) for a in program.arguments(reg)]) for reg in part if reg in known}
+        if own:  # one column instead of two uniforms
+            df = df.withColumns({f"__r{reg}": column for reg, column in own.items()}).drop(*(x for reg in own for x in uniforms[reg]))
 
     columns: dict[int, Column] = {}
     stage: dict[int, int] = {}
@@ -79,6 +88,8 @@ def lower(df: DataFrame, program: Program, outputs: dict[str, int], *, seed: int
             settle(reg, F.lit(op[1]), 0, 1)
         elif op[0] == "input":
             settle(reg, F.coalesce(F.col(op[1]).cast("double"), F.lit(NAN)), 0, 1)
+        elif reg in known:
+            columns[reg], stage[reg], size[reg] = F.col(f"__r{reg}"), 0, 1
         elif op[0] == "draw":
             settle(reg, R.drawn(op[1], [F.col(f"__u{reg}_{k}") for k in range(R.UNIFORMS[op[1]])], c), at, n + 4)
         elif op[0] == "sel":

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 from ..plans.compiler import Sheet
 from ..plans.formulas import join_address, shift, split_address
@@ -53,25 +54,41 @@ def fill(sheet: Sheet, first: str, last: str, to: str) -> Sheet:
     return paste_block(sheet, copy_block(sheet, first, last), first, first, to)
 
 
+def _places(value: float, places: int) -> str:
+    """With so many decimals; halves go away from zero, and there is no negative nought."""
+    with localcontext(prec=400):
+        text = f"{Decimal(value).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP):f}"
+    return text.removeprefix("-") if not float(text) else text
+
+
 def format_number(value: float, digits: int = 10) -> str:
-    """Up to so many significant digits, without trailing zeros."""
+    """Whole numbers in full, others up to so many significant digits without trailing zeros; a power of ten where very large or small."""
     if not math.isfinite(value):
         return str(value)
-    text = f"{value:.{digits}g}"
-    return text if "e" in text else text.rstrip("0").rstrip(".") if "." in text else text
+    if value == int(value) and abs(value) < 1e15:
+        return str(int(value))
+    usual = 1e-9 <= abs(value) < 1e15
+    mantissa, _, power = f"{value:.{digits - 1 if usual else 5}e}".partition("e")
+    written = usual and -7 < int(power) < digits
+    if written:
+        mantissa = _places(value, digits - 1 - int(power))
+    if "." in mantissa:
+        mantissa = mantissa.rstrip("0").rstrip(".")
+    return mantissa if written else f"{mantissa}e{int(power):+d}"
 
 
 def format_uncertain(mean: float, sd: float) -> str:
-    """mean ± deviation: the deviation to two significant digits, the mean to the same place."""
-    if not sd or not math.isfinite(sd):
+    """mean ± deviation: to the place of the deviation's second significant digit, and to whole numbers at least."""
+    if not sd > 0 or not math.isfinite(sd) or not math.isfinite(mean):
         return format_number(mean)
-    places = max(0, 1 - math.floor(math.log10(abs(sd))))
-    return f"{mean:.{places}f} ± {float(f'{sd:.2g}'):.{places}f}"
+    places = min(10, max(0, 1 - math.floor(math.log10(sd))))
+    return f"{_places(mean, places)} ± {_places(sd, places)}"
 
 
 def format_result(kind: str, mean: float, sd: float = 0.0, code: str | None = None, granularity: str | None = None) -> str:
+    """An uncertain period is its mean period and the deviation in periods."""
     if kind == "error":
         return code or "#ERROR!"
-    if granularity and kind == "number":
-        return format_period(mean, granularity)
+    if granularity:
+        return format_period(mean, granularity) + ("" if kind == "number" else f" ± {format_number(float(f'{sd:.2g}'))}")
     return format_number(mean) if kind == "number" else format_uncertain(mean, sd)

@@ -38,10 +38,15 @@ def loads(text: str, formats: tuple[str, ...] = (FORMAT,)) -> tuple[list[Sheet],
     sheets = [_sheet(x) for x in data["sheets"]]
     if len({s.name for s in sheets}) < len(sheets):
         raise WorkbookError("Sheet names are unique")
+    names = [name.lower() for s in sheets for name in s.names]
+    if len(set(names)) < len(names):
+        raise WorkbookError("Names are unique in a workbook")
     return sheets, [_scenario(x) for x in data.get("scenarios") or []]
 
 
-def _sheet(x: dict) -> Sheet:
+def _sheet(x: object) -> Sheet:
+    if not isinstance(x, dict):
+        raise WorkbookError("A sheet has a name and cells")
     name, cells = x.get("name"), x.get("cells")
     if not isinstance(name, str) or not name.strip() or not isinstance(cells, dict):
         raise WorkbookError("A sheet has a name and cells")

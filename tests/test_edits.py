@@ -14,5 +14,8 @@ def test_copies_and_fills():
 def test_settings_and_text():
     assert E.Settings(-5, 10**12) == E.Settings(0, 10**9)
     assert [E.format_number(x) for x in (1 / 3, 1e9, 2.50, 1e21, float("nan"))] == ["0.3333333333", "1000000000", "2.5", "1e+21", "nan"]
-    assert E.format_uncertain(12.3456, 0.0234) == "12.346 ± 0.023" and E.format_uncertain(1234.5, 120) == "1234 ± 120" and E.format_uncertain(5, 0) == "5"
+    assert E.format_uncertain(12.3456, 0.0234) == "12.346 ± 0.023" and E.format_uncertain(1234.5, 120) == "1235 ± 120" and E.format_uncertain(5, 0) == "5"
+    assert [E.format_number(x) for x in (12345678901, 0.00001, 0.0000001234, 12345678901.5, -0.0, 1e-12, 123456.789)] == ["12345678901", "0.00001", "1.234e-7", "1.23456789e+10", "0", "1e-12", "123456.789"]
+    assert E.format_uncertain(1000, 123) == "1000 ± 123" and E.format_uncertain(-0.0001, 0.5) == "0.00 ± 0.50"
+    assert E.format_result("uncertain", 24324, 1.234, granularity="month") == "2027-01 ± 1.2"
     assert E.format_result("error", 0, code="#NUM!") == "#NUM!" and E.format_result("number", 24324, granularity="month") == "2027-01"

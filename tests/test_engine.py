@@ -19,7 +19,7 @@ def plain_hash(x):
 
 
 def test_draws_are_keyed(spark):
-    df = R.with_uniforms(iterations(spark, 1000, 123, 7), 5, "iteration", {"u": (99, 0), "v": (99, 1)})
+    df = R.with_uniforms(R.with_seeded(iterations(spark, 1000, 123, 7), 5, "iteration"), {"u": (99, 0), "v": (99, 1)})
     rows = {r.iteration: r for r in df.collect()}
     for i in (123, 500, 1122):
         for name, place in (("u", 0), ("v", 1)):
