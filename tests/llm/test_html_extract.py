@@ -65,6 +65,57 @@ def test_odd_rows(spark):
 
 
 def test_classes_of_tokens():
-    pages = [Page(f"<div><h2>Menu</h2><ul>{'<li>x</li>' * n}</ul></div><p>{n} own</p>") for n in (2, 3, 5)]
+    pages = [Page(f"<div><h2>Menu</h2><ul>{'<li><i>x</i></li>' * n}</ul></div><p>{n} own</p>") for n in (2, 3, 5)]
     root, *inner = template(pages)
-    assert root == ["<div", "<h2", "=Menu", "</h2", "<ul", "</ul", "</div", "<p", "</p"] and ["<li", "=x", "</li"] in inner
+    assert root.tokens == ["<div", "<h2", "=Menu", "</h2", "<ul", "</ul", "</div", "<p", "</p"] and root.parent is None
+    assert [c for c in inner if c.tokens == ["<li", "<i", "=x", "</i", "</li"] and c.parent == 0 and c.slot == 5]
+
+
+def test_classes_nest_and_keep_their_order():
+    def page(sizes):
+        return Page("<table>" + "".join("<tr><th>k</th>" + "<td>v</td>" * n + "</tr>" for n in sizes) + "</table>")
+
+    rows = template([page(x) for x in ((2, 3), (1, 1, 4), (5, 5, 5, 5))])
+    outer = next(k for k, c in enumerate(rows) if "<tr" in c.tokens)
+    cells = next(c for c in rows if "<td" in c.tokens)
+    assert rows[outer].tokens == ["<tr", "<th", "=k", "</th", "</tr"] and cells.parent == outer and cells.tokens == ["<td", "=v", "</td"]
+    mixed = template([Page(x) for x in ("<s>a</s><u>b</u><s>a</s><u>b</u>", "<u>b</u><s>a</s>", "<s>a</s><u>b</u>" * 3)])
+    assert not [c for c in mixed if "=a" in c.tokens and "=b" in c.tokens]
+
+
+def plain_page(rng, site, article, *, fixed="All rights reserved by the owner of this fine site"):
+    """No element or class that tells what it is."""
+    menu = "".join(f"<td><a href='/{w}'>{w}</a></td>" for w in rng.choices(WORDS, k=6))
+    blocks = "".join(f"<p>{b}</p>" for b in article[1:])
+    return f"<html><body><table><tr>{menu}</tr></table><div><span>{sentence(rng, 6)}</span></div><div class='x1 {site}'><h1>{article[0]}</h1>{blocks}</div><div><p>{fixed}</p></div></body></html>"
+
+
+def test_pages_without_telling_names():
+    rng = random.Random(11)
+    articles = [[sentence(rng, 5), *(sentence(rng, rng.randint(20, 40)) for _ in range(rng.randint(2, 6)))] for _ in range(9)]
+    assert extract_group([plain_page(rng, "s", a) for a in articles]) == ["\n\n".join(a) for a in articles]
+
+
+def test_wrappers_classes_inside_and_unclosed_heads():
+    rng = random.Random(12)
+    for inner in ("article", "div"):
+        articles = [[sentence(rng, 25) for _ in range(4)] for _ in range(6)]
+        pages = [
+            "<html><head><title>t</title><body><div class='layout-with-sidebar'><div class='sidebar'><p>" + sentence(rng, 8) + f"</p></div><{inner} class='content'>"
+            + f"<p class='search-results'>{a[0]}</p>" + "".join(f"<p>{x}</p>" for x in a[1:]) + f"</{inner}></div></body></html>"
+            for a in articles
+        ]
+        assert extract_group(pages) == ["\n\n".join(a) for a in articles], inner
+        assert [extract_group([p])[0] for p in pages] == ["\n\n".join(a) for a in articles], inner
+
+
+def test_a_passage_that_articles_share_stays():
+    rng = random.Random(13)
+    shared = sentence(rng, 6)
+    articles = [[sentence(rng, 30), shared, sentence(rng, 30)] for _ in range(5)]
+    pages = [made_around(rng, "".join(f"<p>{x}</p>" for x in a)) for a in articles]
+    assert extract_group(pages) == ["\n\n".join(a) for a in articles]
+
+
+def made_around(rng, body):
+    return f"<html><body><nav><a href='/'>Home</a></nav><article>{body}</article><footer>{rng.random()}</footer></body></html>"
