@@ -300,25 +300,29 @@ def _groups_of(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def _counts_of(group: pa.Table) -> np.ndarray:
-    return np.stack([np.frombuffer(x, dtype="<u1" if len(x) == COUNTS else "<u4").astype(np.uint32) for x in group["counts"].to_pylist()])
+def _counts_of(group: pa.Table, sizes: np.ndarray) -> np.ndarray:
+    """A column of counts for each text: sums over them then run along the memory."""
+    kind = np.uint16 if sizes.max() < 1 << 16 else np.uint32
+    rows = [np.frombuffer(x, dtype="<u1" if len(x) == COUNTS else "<u4") for x in group["counts"].to_pylist()]
+    return np.ascontiguousarray(np.stack(rows, axis=1).astype(kind))
 
 
-def _likely(counts: np.ndarray, sizes: np.ndarray, own: np.ndarray, size: int, similarity: float) -> np.ndarray:
-    """The similarity that each text can have with another one at most; -1 where that is too little."""
-    common = np.minimum(counts, own).sum(axis=1, dtype=np.int64)
-    either = sizes + size - common
+def _likely(counts: np.ndarray, sizes: np.ndarray, at: int, similarity: float) -> np.ndarray:
+    """The similarity that each text can have with the one at this place at most; -1 where that is too little."""
+    common = np.minimum(counts, counts[:, at, None]).sum(axis=0, dtype=counts.dtype).astype(np.int64)
+    either = sizes + sizes[at] - common
     return np.where(common >= similarity * either - 1e-6, common / np.maximum(either, 1), -1.0)
 
 
 def _likely_forest(group: pa.Table, similarity: float) -> list[tuple[int, int]]:
     """Pairs that connect all sharers which can be similar, the likeliest first."""
-    nodes, sizes, counts = group["node"].to_numpy(), group["n"].to_numpy().astype(np.int64), _counts_of(group)
+    nodes, sizes = group["node"].to_numpy(), group["n"].to_numpy().astype(np.int64)
+    counts = _counts_of(group, sizes)
     left = np.ones(len(nodes), dtype=bool)
     best, to, at, pairs = np.full(len(nodes), -1.0), np.zeros(len(nodes), dtype=np.int64), 0, []
     left[0] = False
     for _ in range(len(nodes) - 1):
-        near = _likely(counts, sizes, counts[at], sizes[at], similarity)
+        near = _likely(counts, sizes, at, similarity)
         better = left & (near > best)
         best[better], to[better] = near[better], at
         at = int(np.where(left, best, -2.0).argmax())
@@ -331,18 +335,24 @@ def _likely_forest(group: pa.Table, similarity: float) -> list[tuple[int, int]]:
 def _likely_pairs(group: pa.Table, similarity: float) -> Iterator[tuple[int, int]]:
     """Pairs of different components that can be similar, each at the smallest token that its two texts share."""
     token, low, high = (group[c][0].as_py() for c in ("token", "low", "high"))
-    nodes, sizes, counts = group["node"].to_numpy(), group["n"].to_numpy().astype(np.int64), _counts_of(group)
+    nodes, sizes = group["node"].to_numpy(), group["n"].to_numpy().astype(np.int64)
     components, parts = group["component"].to_numpy(), group["part"].to_numpy()
+    counts = _counts_of(group, sizes)
     tokens = [frozenset(x) for x in group["tokens"].to_pylist()]
-    for at in range(len(nodes)):
-        met = components != components[at]
-        met &= (np.arange(len(nodes)) > at) if low == high else (parts == high) & (parts[at] == low)
+    for at in np.flatnonzero(parts == low).tolist():
+        met = (components != components[at]) & (np.minimum(sizes, sizes[at]) >= similarity * np.maximum(sizes, sizes[at]) - 1e-6)
+        met &= (np.arange(len(nodes)) > at) if low == high else parts == high
         others = np.flatnonzero(met)
-        if len(others):
-            near = others[_likely(counts[others], sizes[others], counts[at], sizes[at], similarity) >= 0]
-            for other in near.tolist():
-                if min(tokens[at] & tokens[other]) == token:
-                    yield int(nodes[at]), int(nodes[other])
+        if not len(others):
+            continue
+        if 4 * len(others) > len(nodes):
+            near = others[_likely(counts, sizes, at, similarity)[others] >= 0]
+        else:
+            few = np.append(others, at)
+            near = others[_likely(counts[:, few], sizes[few], len(others), similarity)[:-1] >= 0]
+        for other in near.tolist():
+            if min(tokens[at] & tokens[other]) == token:
+                yield int(nodes[at]), int(nodes[other])
 
 
 def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
