@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.compiler import CellError, Compiled, Sheet, compile_sheets, parse_number
 from .simulate import as_sheets, column_name, iterations, run_compiled
-from .summary import merge_summaries, summarize, with_kind
+from .summary import BARS, display, histogram, long_samples, merge_summaries, quantiles, rebin, summarize, with_kind
 
 Override = tuple[str, str, object]  # sheet, address, input (None clears; a callable changes what is there)
 
@@ -134,6 +134,44 @@ def run_scenario(spark: SparkSession, model, scenario: Scenario | Sensitivity, *
     iterations are combined with, so that one program and one job cover all of them. Combinations that
     change formulas or draws get a program each. All use the same draws.
     """
+    parts: list[DataFrame] = []
+    fixed: list[tuple] = []
+    for group, compiled, runs, errors, empty, samples in _scenario_samples(spark, model, scenario, seed, baseline):
+        fixed += [(c.id, name, code, message, None) for c in group for name, code, message in errors]
+        fixed += [(c.id, name, None, None, 0.0) for c in group for name in empty]
+        if samples is not None:
+            uncertain = compiled.program.uncertain()
+            certain = F.col("cell").isin([name for name, cell in runs.items() if compiled.find(cell).reg not in uncertain])
+            found = with_kind(summarize(samples, list(runs), ["combination"]))
+            exact = {"mean": F.col("first"), "m2": F.lit(0.0), "sd": F.lit(0.0), "kind": F.lit("number")}
+            parts.append(found.withColumns({c: F.when(certain & (F.col("kind") != "error"), v).otherwise(F.col(c)) for c, v in exact.items()}))
+    if fixed:
+        given = spark.createDataFrame(fixed, "combination int, cell string, code string, message string, value double")
+        number = lambda v: F.lit(v).cast("double")
+        parts.append(
+            given.select(
+                "combination", "cell", F.when(F.col("code").isNull(), F.lit(scenario.samples)).otherwise(0).cast("long").alias("count"), F.coalesce("value", F.lit(0.0)).alias("mean"), number(0).alias("m2"),
+                F.lit(0).cast("long").alias("nans"), F.lit(0).cast("long").alias("infinities"), F.col("value").alias("first"), number(0).alias("sd"), "code", F.when(F.col("code").isNull(), "number").otherwise("error").alias("kind"),
+            )
+        )
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def scenario_windows(spark: SparkSession, model, scenario: Scenario | Sensitivity, *, seed: int = 1, baseline: bool = True) -> DataFrame:
+    """combination, cell, lo, hi, below, above, bar, n: the display window of every output that varies, from the samples of run_scenario."""
+    keys = ["combination", "cell"]
+    parts = []
+    for _, compiled, runs, _, _, samples in _scenario_samples(spark, model, scenario, seed, baseline):
+        uncertain = compiled.program.uncertain()
+        varying = [name for name, cell in runs.items() if compiled.find(cell).reg in uncertain]
+        if samples is not None and varying:
+            parts.append(display(histogram(long_samples(samples, varying, ["combination"]), keys), keys).select(*keys, "lo", "hi", "below", "above", "bar", "n"))
+    empty = spark.createDataFrame([], "combination int, cell string, lo double, hi double, below double, above double, bar int, n double")
+    return reduce(lambda a, b: a.unionByName(b), parts, empty)
+
+
+def _scenario_samples(spark: SparkSession, model, scenario: Scenario | Sensitivity, seed: int, baseline: bool):
+    """(combinations, program, column -> cell, errors, empty cells, samples or None) of each program that a scenario needs."""
     sheets = as_sheets(model)
     every = ([Combination(0)] if baseline else []) + combinations(scenario)
     sheets_of = {c.id: apply_overrides(sheets, c.overrides) for c in every}
@@ -144,35 +182,18 @@ def run_scenario(spark: SparkSession, model, scenario: Scenario | Sensitivity, *
     for c in every:
         shapes.setdefault(tuple(str(content(sheets_of[c.id], *cell)) for cell in cells if cell not in numeric), []).append(c)
 
-    parts: list[DataFrame] = []
-    fixed: list[tuple] = []
     for group in shapes.values():
         names = {cell: f"__p{i}" for i, cell in enumerate(numeric)}
         changed = [replace(s, cells=s.cells | {a: f"={names[n, a]}" for n, a in numeric if n.lower() == s.name.lower()}) for s in sheets_of[group[0].id]]
         compiled = compile_sheets(changed, {v: None for v in names.values()})
         runs, errors, empty = resolve_outputs(compiled, scenario.outputs, changed)
-        fixed += [(c.id, name, code, message, None) for c in group for name, code, message in errors]
-        fixed += [(c.id, name, None, None, 0.0) for c in group for name in empty]
+        samples = None
         if runs:
             table = spark.createDataFrame([(c.id, *(float(content(sheets_of[c.id], *cell)) for cell in numeric)) for c in group], "combination int" + "".join(f", {v} double" for v in names.values()))
             # The table has a row per combination that a person wrote; iterations times combinations is the work asked for.
             rows = iterations(spark, scenario.samples).join(F.broadcast(table))
             samples = run_compiled(rows, compiled, runs, seed=seed)
-            uncertain = compiled.program.uncertain()
-            certain = F.col("cell").isin([name for name, cell in runs.items() if compiled.find(cell).reg not in uncertain])
-            found = with_kind(summarize(samples, list(runs), ["combination"]))
-            exact = {"mean": F.col("first"), "m2": F.lit(0.0), "sd": F.lit(0.0), "kind": F.lit("number")}
-            parts.append(found.withColumns({c: F.when(certain & (F.col("kind") != "error"), v).otherwise(F.col(c)) for c, v in exact.items()}))
-    if fixed:
-        given = spark.createDataFrame(fixed, "combination int, cell string, code string, message string, value double")
-        number = lambda v: F.lit(v).cast("double")
-        parts.append(
-            given.select(
-                "combination", "cell", F.when(F.col("code").isNull(), F.lit(scenario.samples)).otherwise(0).cast("long").alias("count"), F.coalesce("value", F.lit(0.0)).alias("mean"), number(0).alias("m2"),
-                F.lit(0).cast("long").alias("nans"), F.lit(0).cast("long").alias("infinities"), F.col("value").alias("first"), number(0).alias("sd"), "code", F.when(F.col("code").isNull(), "number").otherwise("error").alias("kind"),
-            )
-        )
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        yield group, compiled, runs, errors, empty, samples
 
 
 def choices_table(spark: SparkSession, scenario: Scenario | Sensitivity) -> DataFrame:
@@ -202,6 +223,46 @@ def pool(results: DataFrame, keys: list[str]) -> DataFrame:
     return pooled.join(errors, keys).withColumn("kind", kind).drop("numbers", "means")
 
 
+def pool_windows(results: DataFrame, windows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, lo, hi, bar, n: windows of results that share the keys, spread over bars on the range that covers all of them.
+
+    results has combination, cell, kind, mean and count beside the keys. A result that is a number counts
+    with all its samples at one place; samples outside their own window are left out, as in the window.
+    Where a result is an error there is no window.
+    """
+    bad = results.where("kind = 'error'").select(*keys).distinct()
+    sound = results.join(bad, keys, "left_anti").select("combination", *keys, "kind", "mean", "count")
+    parts = sound.where("kind = 'uncertain'").join(windows, ["combination", "cell"])
+    points = sound.where("kind = 'number'")
+    spans = parts.select(*keys, "lo", "hi").unionByName(points.select(*keys, F.col("mean").alias("lo"), F.col("mean").alias("hi")))
+    ranges = spans.groupBy(*keys).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ranges = ranges.withColumn("hi", F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("lo") + BARS))
+    width = (F.col("hi") - F.col("lo")) / BARS
+    bins = parts.select(*keys, (F.col("lo") + F.col("bar") * width).alias("low"), (F.col("lo") + (F.col("bar") + 1) * width).alias("high"), "n")
+    at = F.least(F.lit(BARS - 1), F.greatest(F.lit(0), F.floor((F.col("mean") - F.col("lo")) / width))).cast("int")
+    lone = points.join(ranges, keys).select(*keys, at.alias("bar"), F.col("count").cast("double").alias("n"))
+    counts = rebin(bins, ranges, keys).unionByName(lone).groupBy(*keys, "bar").agg(F.sum("n").alias("n"))
+    return counts.join(ranges, keys).select(*keys, "lo", "hi", "bar", "n")
+
+
+def window_quantiles(windows: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """keys and a column for each share (name -> share): quantiles of what windows show."""
+    width = (F.col("hi") - F.col("lo")) / BARS
+    bins = windows.where("n > 0").select(*keys, (F.col("lo") + F.col("bar") * width).alias("low"), (F.col("lo") + (F.col("bar") + 1) * width).alias("high"), "n")
+    found = quantiles(bins, keys, list(shares.values()))
+    return found.groupBy(*keys).agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(name) for name, p in shares.items()))
+
+
+def pivot_table(pooled: DataFrame, rows: list[str], column: str, labels: list[str], *, value: str = "mean", by: str | None = None, descending: bool = True) -> DataFrame:
+    """rows, a column of `value` for each label of `column`, and place: the rows in order of the label `by`, missing ones last."""
+    wide = pooled.groupBy(*rows).pivot(column, labels).agg(F.first(value))
+    if by is None:
+        return wide.withColumn("place", F.row_number().over(Window.orderBy(*rows)))
+    key = F.col(f"`{by}`")
+    # A pivot has a row for each choice of labels that a person wrote.
+    return wide.withColumn("place", F.row_number().over(Window.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), *rows)))
+
+
 def against_baseline(results: DataFrame) -> DataFrame:
     """delta and percent (of the size of the baseline) of each combination's mean."""
     base = results.where("combination = 0").select("cell", F.col("mean").alias("base"))
@@ -235,9 +296,11 @@ def measures(found: DataFrame) -> DataFrame:
     )
 
 
-def matrix_order(measured: DataFrame, measure: str = "elasticity") -> DataFrame:
-    """Ranked by size for each cell, the missing last."""
-    w = Window.partitionBy("cell").orderBy(F.col(measure).isNull(), F.abs(measure).desc(), "input")
+def matrix_order(measured: DataFrame, measure: str = "elasticity", *, by: str = "output", descending: bool = True) -> DataFrame:
+    """rank by the size of an effect, missing ones last either way: of the inputs for each output, or of the outputs for each input."""
+    within, among = ("cell", "input") if by == "output" else ("input", "cell")
+    size = F.abs(measure)
+    w = Window.partitionBy(within).orderBy(size.desc_nulls_last() if descending else size.asc_nulls_last(), among)
     return measured.withColumn("rank", F.row_number().over(w))
 
 

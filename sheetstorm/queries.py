@@ -14,7 +14,7 @@ from .operators.simulate import apply_formulas, cross_check, simulate
 from .plans.compiler import Series, Sheet
 from .sources.series import complete_periods, series_from
 from .sources.workbook import cells_table
-from .streaming.progressive import run_progressively
+from .streaming.progressive import compare_progressively, histogram_progressively, run_progressively
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +48,7 @@ def sql_hash(cte: str, source: str, expression: str, to: str) -> str:
     return ", ".join(parts)
 
 
-def sql_uniform(cte: str, source: str, key: str, stream: int, place: int, to: str, seed: int = 1) -> str:
+def sql_uniform(cte: str, source: str, key: str, stream: int | str, place: int, to: str, seed: int = 1) -> str:
     """CTEs that add the uniform `to` of a key, a stream and a place."""
     steps = [
         sql_hash(f"{cte}a", source, f"xor({key}::UBIGINT & 4294967295::UBIGINT, {hash32(seed)}::UBIGINT)", f"{to}_a"),
@@ -254,6 +254,23 @@ def period_formulas(spark, sf_dir):
     return made.drop("d")
 
 
+@query(f"""WITH d AS (SELECT o_orderkey, o_orderkey % 8 AS k, o_orderdate AS t, year(o_orderdate) AS y, {SQL_SERIAL.format("o_orderdate")} AS serial FROM orders)
+          SELECT o_orderkey, ['year', 'quarter', 'month', 'day', 'hour', 'week', NULL, NULL][k + 1] AS granularity,
+                 CAST(CASE k WHEN 0 THEN y WHEN 1 THEN y * 4 + quarter(t) - 1 WHEN 2 THEN {SQL_MONTH.format("t")} WHEN 3 THEN serial WHEN 4 THEN serial * 24 + hour(t) WHEN 5 THEN (serial - 2) // 7 END AS BIGINT) AS number,
+                 CASE k WHEN 0 THEN CAST(y AS VARCHAR) WHEN 1 THEN y || '-Q' || quarter(t) WHEN 2 THEN strftime(t, '%Y-%m') WHEN 3 THEN strftime(t, '%Y-%m-%d') WHEN 4 THEN strftime(t, '%Y-%m-%dT%H') WHEN 5 THEN strftime(t, '%G-W%V')
+                        WHEN 6 THEN y || '-13' ELSE y || '-W54' END AS normal FROM d""")
+def period_texts(spark, sf_dir):
+    """Texts of periods, loose ones and some that are none, to granularity, number and their one form."""
+    t, k = F.col("o_orderdate"), F.col("o_orderkey") % 8
+    forms = [
+        F.year(t).cast("string"), F.concat(F.year(t), F.lit("-q"), F.quarter(t)), F.concat(F.year(t), F.lit("-"), F.month(t)), F.concat(F.year(t), F.lit("-"), F.month(t), F.lit("-"), F.dayofmonth(t)),
+        F.concat(F.date_format(t, "yyyy-MM-dd"), F.lit("t"), F.hour(t)), F.concat(F.lit(" "), calendar.format_period(calendar.period_of(t, "week"), "week")), F.concat(F.year(t), F.lit("-13")), F.concat(F.year(t), F.lit("-W54")),
+    ]
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.get(F.array(*forms), k.cast("int")).alias("text"))
+    found = rows.withColumn("found", calendar.parse_period(F.col("text")))
+    return found.select("o_orderkey", "found.granularity", "found.number", calendar.normalise_period(F.col("text")).alias("normal"))
+
+
 def _months(spark, sf_dir) -> DataFrame:
     """Monthly revenue by priority; the months divisible by 5 are empty entries."""
     rows = read(spark, sf_dir, "orders").where("month(o_orderdate) % 5 <> 0")
@@ -460,6 +477,32 @@ def histogram_doubling(spark, sf_dir):
     return summary.halve_bins(summary.doubling_bins(rows, ["cell"]), ["cell"])
 
 
+# Wide models, progressive histograms
+
+
+WALK = {"A1": "=UNIFORM(-1,1)"} | {f"A{i}": f"=A{i - 1}+UNIFORM(-1,1)" for i in range(2, 61)}
+
+
+@query(f"""WITH ids AS (SELECT unnest(range(5000)) AS iteration), streams(place, stream) AS (VALUES {", ".join(f"({i}, {stream_of('Sheet1', f'A{i}', 0)})" for i in range(1, 61))}), both_ AS (SELECT * FROM ids, streams),
+          {sql_uniform("u", "both_", "iteration", "stream", 0, "u", 11)}, sums AS (SELECT 'A' || place AS cell, iteration, sum(-1 + 2 * u) OVER (PARTITION BY iteration ORDER BY place) AS value FROM u)
+          SELECT cell, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(min_by(value, iteration), 6) AS first FROM sums GROUP BY cell""")
+def simulate_walk(spark, sf_dir):
+    """Sixty draws and sixty outputs, each resting on the one before."""
+    return rounded(summary.summarize(simulate(spark, WALK, list(WALK), 5000, seed=11), list(WALK)).select("cell", "count", "mean", "sd", "first"))
+
+
+@query(f"WITH {_SQL_COSTS}, drawn AS (SELECT * FROM samples WHERE cell <> 'E1'), {sql_bins('drawn')} SELECT cell, bin, n, round(low, 6) AS low, round(high, 6) AS high FROM bins")
+def progressive_histogram(spark, sf_dir):
+    """Counts per bin from batches of 5,000, 10,000 and the other iterations."""
+    return rounded(histogram_progressively(spark, COSTS, ["C1", "A1"], 20_000, seed=7, first=5000))
+
+
+@query("SELECT * FROM (VALUES ('C1', 20000::BIGINT, 0::BIGINT, 20::BIGINT, true), ('B1', 20000, 0, 20, true)) t(output, compared, mismatches, allowed, agrees)")
+def progressive_comparison(spark, sf_dir):
+    """Columns against Arrow batches, 5,000, 10,000 and the other iterations at a time."""
+    return compare_progressively(spark, COSTS, ["C1", "B1"], 20_000, seed=7, first=5000).drop("worst")
+
+
 # Scenarios
 
 SHOP = [
@@ -493,6 +536,34 @@ def scenario_pivot(spark, sf_dir):
     return pooled.select("price", "cell", "count", F.round("mean", 6).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
+_SQL_POOLED = f"""values_ AS (SELECT combination || ' ' || cell AS cell, 0 AS iteration, v AS value FROM runs WHERE combination > 0 AND cell <> 'Results_A3'), {sql_bins('values_')}, {_SQL_QUANTILES}, {_SQL_WINDOWS},
+    parts AS (SELECT DISTINCT plan_price AS price, cell AS output, combination || ' ' || cell AS cell FROM runs WHERE combination > 0 AND cell <> 'Results_A3'),
+    ranges AS (SELECT price, output, min(lo) AS lo, max(hi) AS hi FROM shown JOIN parts USING (cell) GROUP BY ALL),
+    bars AS (SELECT price, output, lo + bar * (hi - lo) / 64 AS low, lo + (bar + 1) * (hi - lo) / 64 AS high, n FROM spread JOIN shown USING (cell) JOIN parts USING (cell)),
+    met AS (SELECT r.*, low, high, n, unnest(range(64)) AS bar FROM bars JOIN ranges r USING (price, output)),
+    pooled AS (SELECT price, output, lo, hi, bar, sum(n * greatest(0, least(high, lo + (bar + 1) * (hi - lo) / 64) - greatest(low, lo + bar * (hi - lo) / 64)) / (high - low)) AS n FROM met GROUP BY ALL),
+    counted_ AS (SELECT *, (hi - lo) / 64 AS width, sum(n) OVER (PARTITION BY price, output ORDER BY bar) - n AS before, sum(n) OVER (PARTITION BY price, output) AS total FROM pooled WHERE n > 0)"""
+
+
+@query(f"""WITH {_SQL_PLANS}, {_SQL_POOLED} SELECT price, output AS cell,
+          {", ".join(f"round(min_by(lo + bar * width + ({p} * total - before) / n * width, bar) FILTER (before + n >= {p} * total), 3) AS p{int(100 * p)}" for p in (0.1, 0.5, 0.9))} FROM counted_ GROUP BY price, output""")
+def scenario_quantiles(spark, sf_dir):
+    """P10, P50 and P90 of the mixtures over all terms, from windows pooled on a common range."""
+    results = scenarios.run_scenario(spark, SHOP, PLANS, baseline=False).where("cell <> 'Results_A3'").join(scenarios.choices_table(spark, PLANS), "combination")
+    windows = scenarios.scenario_windows(spark, SHOP, PLANS, baseline=False)
+    pooled = scenarios.pool_windows(results, windows, ["price", "cell"])
+    return rounded(scenarios.window_quantiles(pooled, ["price", "cell"], {"p10": 0.1, "p50": 0.5, "p90": 0.9}), 3)
+
+
+@query(f"""WITH {_SQL_PLANS}, m AS (SELECT terms, avg(v) FILTER (plan_price = 'low') AS low, avg(v) FILTER (plan_price = 'high') AS high FROM runs WHERE combination > 0 AND cell = 'Results_A2' GROUP BY terms)
+          SELECT terms, round(low, 6) AS low, round(high, 6) AS high, CAST(row_number() OVER (ORDER BY high DESC) AS INTEGER) AS place FROM m""")
+def scenario_pivot_table(spark, sf_dir):
+    """Terms down, prices across, in order of the mean at the high price."""
+    results = scenarios.run_scenario(spark, SHOP, PLANS).where("cell = 'Results_A2'")
+    pooled = scenarios.pivot(results, scenarios.choices_table(spark, PLANS), ["terms"], ["price"])
+    return rounded(scenarios.pivot_table(pooled, ["terms"], "price", ["low", "high"], by="high"))
+
+
 @query(f"""WITH {_SQL_PLANS}, m AS (SELECT combination, cell, avg(v) AS mean FROM runs GROUP BY combination, cell)
           SELECT a.combination, a.cell, round(a.mean - b.mean, 6) AS delta, round((a.mean - b.mean) / abs(b.mean), 6) AS percent FROM m a JOIN m b ON a.cell = b.cell AND b.combination = 0 WHERE a.combination > 0""")
 def scenario_deltas(spark, sf_dir):
@@ -516,6 +587,14 @@ def sensitivity_matrix(spark, sf_dir):
     return rounded(scenarios.matrix_order(found).select("input", "cell", "delta", "percent", "elasticity", "rank"))
 
 
+@query(f"""WITH {_SQL_STEPS}, m AS (SELECT input, cell, round((up - down) / 2 / abs(base), 9) AS percent FROM effects)
+          SELECT input, cell, round(percent, 6) AS percent, CAST(row_number() OVER (PARTITION BY input ORDER BY abs(percent) NULLS LAST, cell) AS INTEGER) AS rank FROM m""")
+def sensitivity_order(spark, sf_dir):
+    """The outputs of each input, the least effect first."""
+    found = scenarios.measures(_effects(spark)).withColumn("percent", F.round("percent", 9))
+    return rounded(scenarios.matrix_order(found, "percent", by="input", descending=False).select("input", "cell", "percent", "rank"))
+
+
 @query(f"WITH {_SQL_STEPS} SELECT input, cell, round(down - base, 6) AS low, round(up - base, 6) AS high FROM effects")
 def sensitivity_tornado(spark, sf_dir):
     return rounded(scenarios.tornado(_effects(spark)).select("input", "cell", "low", "high"))
@@ -535,7 +614,16 @@ def workbook_cells(spark, sf_dir):
     return cells_table(spark, SHOP)
 
 
-@query()
+_SQL_OUTLOOK = f"""months AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS period, sum(o_totalprice) AS value FROM orders GROUP BY 1),
+    quarters AS (SELECT period // 3 AS period, sum(value) AS value FROM months GROUP BY 1), spans AS (SELECT unnest(generate_series(min(period), max(period))) AS period FROM quarters),
+    given AS (SELECT s.period, coalesce(q.value, 0) AS value FROM spans s LEFT JOIN quarters q ON s.period = q.period), drawn AS (SELECT period, value, unnest(range(2000)) AS draw FROM given), keyed AS (SELECT *, period * 2000 + draw AS iteration FROM drawn),
+    {sql_uniform("u", "keyed", "iteration", stream_of("Formulas", "A1", 0), 0, "u")}, {sql_uniform("v", "u", "iteration", stream_of("Formulas", "A1", 0), 1, "v")},
+    values_ AS (SELECT CAST(period // 4 AS VARCHAR) || '-Q' || CAST(period % 4 + 1 AS VARCHAR) AS cell, draw AS iteration, value * (1 + 0.03 + 0.02 * (sqrt(-2 * ln(u)) * cos(pi() * (2 * v - 1)))) AS value FROM v)"""
+
+
+@query(f"""WITH {_SQL_OUTLOOK}, {sql_bins('values_')}, {_SQL_QUANTILES}, stats AS (SELECT cell, avg(value) AS mean, stddev_samp(value) AS sd FROM values_ GROUP BY cell)
+          SELECT s.cell AS quarter, round(mean, 2) AS mean, round(sd, 2) AS sd, round(max(value) FILTER (share = 0.1), 2) AS p10, round(max(value) FILTER (share = 0.5), 2) AS p50, round(max(value) FILTER (share = 0.9), 2) AS p90
+          FROM stats s JOIN quantiles q ON s.cell = q.cell GROUP BY s.cell, mean, sd""")
 def revenue_outlook(spark, sf_dir):
     """Quarterly revenue of the orders with uncertain growth: mean, deviation and quantiles per quarter."""
     quarters = lookups.coarser_series(lookups.fill_series(complete_periods(series_from(read(spark, sf_dir, "orders"), "o_orderdate", F.sum("o_totalprice"), "month")), "flow"), "flow", "month", "quarter")
@@ -545,4 +633,4 @@ def revenue_outlook(spark, sf_dir):
     bins = summary.histogram(samples, ["quarter"])
     q = summary.quantiles(bins, ["quarter"], [0.1, 0.5, 0.9]).groupBy("quarter").pivot("share", [0.1, 0.5, 0.9]).agg(F.first("value")).toDF("quarter", "p10", "p50", "p90")
     stats = samples.groupBy("quarter").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    return stats.join(q, "quarter").orderBy("quarter")
+    return rounded(stats.join(q, "quarter"), 2).orderBy("quarter")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ieee import is_finite
 from ..functions.random import MASK
-from ..operators.simulate import as_sheets, column_name, iterations, run_compiled
-from ..operators.summary import FIRST_BATCH, bin_of, long_samples, merge_summaries, place_bins, summarize
+from ..operators.simulate import as_sheets, column_name, compare_samples, iterations, run_compiled
+from ..operators.summary import FIRST_BATCH, bin_of, edges_of, long_samples, merge_summaries, place_bins, summarize
 from ..plans.compiler import compile_sheets
 
 #: A batch has at most this many iterations.
@@ -27,13 +29,30 @@ def batches(count: int, first: int = FIRST_BATCH, most: int = LARGEST_BATCH) ->
 
 
 def run_progressively(
-    spark: SparkSession, model, outputs: list[str], count: int, *, seed: int = 1, progress: Callable[[int, DataFrame], bool | None] | None = None, every_seconds: float = 0.2, first: int = FIRST_BATCH
+    spark: SparkSession, model, outputs: list[str], count: int, *, seed: int = 1, progress: Callable[[int, DataFrame], bool | None] | None = None, every_seconds: float = 0.2, first: int = FIRST_BATCH, tag: str | None = None
 ) -> DataFrame:
     """Summaries after all batches; progress gets (iterations done, summaries so far) now and then and stops the run by False.
 
     As draws are keyed by the iteration, the result is that of a single run. What is kept between batches
-    is a row per output.
+    is a row per output. With a tag, `spark.interruptTag(tag)` from another thread stops the batch that
+    is running, and the run with it.
     """
+    with _tagged(spark, tag):
+        return _run_progressively(spark, model, outputs, count, seed, progress, every_seconds, first)
+
+
+@contextmanager
+def _tagged(spark: SparkSession, tag: str | None) -> Iterator[None]:
+    if tag:
+        spark.addTag(tag)
+    try:
+        yield
+    finally:
+        if tag:
+            spark.removeTag(tag)
+
+
+def _run_progressively(spark: SparkSession, model, outputs: list[str], count: int, seed: int, progress, every_seconds: float, first: int) -> DataFrame:
     compiled = compile_sheets(as_sheets(model))
     columns = {column_name(o): o for o in outputs}
     state: list[tuple] = []
@@ -54,6 +73,60 @@ def run_progressively(
     return spark.createDataFrame(state, schema)
 
 
+def histogram_progressively(
+    spark: SparkSession, model, outputs: list[str], count: int, *, seed: int = 1, progress: Callable[[int, DataFrame], bool | None] | None = None, first: int = FIRST_BATCH, tag: str | None = None
+) -> DataFrame:
+    """cell, bin, low, high, n after all batches, on the bins that the first FIRST_BATCH iterations place.
+
+    What is kept between batches is the counts, at most 4,002 rows per output. progress gets (iterations
+    done, bins so far) after each batch and stops the run by False.
+    """
+    compiled = compile_sheets(as_sheets(model))
+    columns = {column_name(o): o for o in outputs}
+    names = list(columns)
+    with _tagged(spark, tag):
+        opening = long_samples(run_compiled(iterations(spark, min(count, FIRST_BATCH)), compiled, columns, seed=seed), names)
+        places = spark.createDataFrame([tuple(r) for r in place_bins(opening, ["cell"]).collect()], "cell string, centre double, scale double")
+        counts: dict[tuple, float] = {}
+
+        def bins() -> DataFrame:
+            held = spark.createDataFrame([(*key, n) for key, n in counts.items()], "cell string, bin int, n double")
+            low, high = edges_of(F.col("bin"), F.col("centre"), F.col("scale"))
+            return held.join(F.broadcast(places), "cell").select("cell", "bin", low.alias("low"), high.alias("high"), "n")
+
+        for start, size in batches(count, first):
+            samples = long_samples(run_compiled(iterations(spark, size, start), compiled, columns, seed=seed), names).join(F.broadcast(places), "cell")
+            finite = is_finite(F.col("value"))
+            binned = samples.groupBy("cell", F.when(finite, bin_of(F.col("value"), F.col("centre"), F.col("scale"))).alias("bin")).agg(F.count_if(finite).alias("n")).where("n > 0")
+            for cell, place, n in binned.collect():
+                counts[cell, place] = counts.get((cell, place), 0.0) + n
+            if progress and progress(start + size, bins()) is False:
+                break
+        return bins()
+
+
+def compare_progressively(
+    spark: SparkSession, model, outputs: list[str], count: int, *, seed: int = 1, tolerance: float = 1e-4, share: float = 0.001, progress: Callable[[int, DataFrame], bool | None] | None = None, first: int = FIRST_BATCH
+) -> DataFrame:
+    """The cross-check of both engines, batch by batch: output, compared, worst, mismatches, allowed, agrees so far and at last."""
+    compiled = compile_sheets(as_sheets(model))
+    columns = {column_name(o): o for o in outputs}
+    state: dict[str, tuple] = {}
+
+    def found() -> DataFrame:
+        rows = [(o, *state[o], int(state[o][0] * share), state[o][2] <= int(state[o][0] * share)) for o in state]
+        return spark.createDataFrame(rows, "output string, compared long, worst double, mismatches long, allowed long, agrees boolean")
+
+    for start, size in batches(count, first):
+        a, b = (run_compiled(iterations(spark, size, start), compiled, columns, seed=seed, engine=e) for e in ("columns", "batches"))
+        for r in compare_samples(a, b, list(columns), tolerance=tolerance, share=share).collect():
+            compared, worst, mismatches = state.get(r["output"], (0, 0.0, 0))
+            state[r["output"]] = (compared + r["compared"], max(worst, r["worst"] or 0.0), mismatches + r["mismatches"])
+        if progress and progress(start + size, found()) is False:
+            break
+    return found()
+
+
 def stream_iterations(spark: SparkSession, per_batch: int, parts: int = 2) -> DataFrame:
     """Iterations as a stream: the micro-batch source numbers its rows, whatever the trigger."""
     source = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", per_batch).option("numPartitions", parts).load()
