@@ -9,8 +9,8 @@ from ..functions import ieee
 from ..plans.compiler import Compiled, Sheet, compile_sheets
 from ..plans.lowering import interpret, lower
 
-#: Registers beyond which the generated code would be too wide: then batches are interpreted.
-WIDEST = 1500
+#: Registers and draws beyond which the generated code would be too wide and its stages too many: then batches are interpreted.
+WIDEST, MOST_DRAWS = 1500, 16
 
 
 def as_sheets(model: dict | list[Sheet] | Sheet) -> list[Sheet]:
@@ -33,7 +33,8 @@ def iterations(spark: SparkSession, count: int, start: int = 0, parts: int | Non
 def run_compiled(df: DataFrame, compiled: Compiled, outputs: dict[str, str], *, seed: int = 1, iteration: str = "iteration", engine: str = "auto") -> DataFrame:
     """df with a column for each output (column -> cell); the same draws whatever the engine and partitioning."""
     regs = {name: compiled.find(cell).reg for name, cell in outputs.items()}
-    wide = len(compiled.program.needs(list(regs.values()))) > WIDEST
+    needed = compiled.program.needs(list(regs.values()))
+    wide = len(needed) > WIDEST or sum(compiled.program.ops[reg][0] == "draw" for reg in needed) > MOST_DRAWS
     if engine == "batches" or (engine == "auto" and wide):
         return interpret(df, compiled.program, regs, seed=seed, iteration=iteration)
     return lower(df, compiled.program, regs, seed=seed, iteration=iteration)
