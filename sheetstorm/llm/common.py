@@ -46,6 +46,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and its path: smaller than what durable keeps, and forgettable."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
 def text_or_empty(df: DataFrame, column: str) -> Column:
     """Null counts as the empty text; other types count as their text."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

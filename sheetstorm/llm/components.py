@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from . import common
+
+#: Edges that a task takes at least.
+TASK_EDGES = 50_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,9 +19,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     that the rounds grow with the logarithm of the nodes, and the steps of a round with that of the
     longest way up. What a step leaves is kept in the shared folder, which cuts the lineage and puts an
     exchange on both sides of the next join, so that adaptive execution can split a node that very many
-    others hang under. Repeated edges and loops change nothing.
+    others hang under. A small graph takes few tasks a step. Repeated edges and loops change nothing.
     """
-    edges = durable(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    edges = common.durable(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    tasks = 1 + edges.count() // TASK_EDGES
+
+    def durable(df: DataFrame) -> DataFrame:  # what follows has no more rows than twice the edges
+        return common.durable(df.coalesce(tasks))
+
     labels = durable(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
     edges = edges.where("a <> b")
     while not edges.isEmpty():

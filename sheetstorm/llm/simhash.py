@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, short_lived_shuffles, text_or_empty, with_text_ids
+from .common import durable, forget, short_lived_shuffles, text_or_empty, with_text_ids, written
 from .components import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -22,7 +22,7 @@ BUCKET_BITS = 7
 #: Fingerprints that one bucket takes at most; a task holds about 30 bytes of each.
 BUCKET_ROWS = 16_000_000
 #: Rows of ids (16 bytes each) that are broadcast; more are joined by shuffling.
-BROADCAST_NODES = 1_000_000
+BROADCAST_NODES = 200_000
 #: Variants that a task holds at once (about 20 bytes each).
 HELD_VARIANTS = 3_000_000
 #: Documents by which common shingles are found, and how many of these; neither changes a result.
@@ -246,6 +246,22 @@ def _common_shingles(docs: DataFrame, words: int) -> np.ndarray:
     return np.array([r["token"] for r in reversed(rows)], dtype=np.int64)
 
 
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Half a byte for each count, or one, or four, by the largest."""
+    most = counts.max()
+    if most < 16:
+        small = counts.astype(np.uint8)
+        return (small[::2] << 4 | small[1::2]).tobytes()
+    return counts.astype("<u1" if most < 256 else "<u4").tobytes()
+
+
+def _unpack_counts(packed: bytes) -> np.ndarray:
+    if len(packed) > COUNTS // 2:
+        return np.frombuffer(packed, dtype="<u1" if len(packed) == COUNTS else "<u4")
+    halves = np.frombuffer(packed, dtype=np.uint8)
+    return np.stack([halves >> 4, halves & 15], axis=1).ravel()
+
+
 def _sketches(docs: DataFrame, words: int, similarity: float, common: np.ndarray) -> DataFrame:
     """What is kept of each text: node (a number), n (its distinct shingles), fingerprint, counts and prefix.
 
@@ -262,7 +278,7 @@ def _sketches(docs: DataFrame, words: int, similarity: float, common: np.ndarray
         found = _hashes(text, words)
         n = len(found)
         counts = np.bincount((found % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
-        packed = counts.astype("<u1" if not n or counts.max() < 256 else "<u4").tobytes()
+        packed = _pack_counts(counts)
         signed = found.view(np.int64)
         rank = np.zeros(n, dtype=np.int64)
         if len(ordered):
@@ -303,7 +319,7 @@ def _groups_of(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Tab
 def _counts_of(group: pa.Table, sizes: np.ndarray) -> np.ndarray:
     """A column of counts for each text: sums over them then run along the memory."""
     kind = np.uint16 if sizes.max() < 1 << 16 else np.uint32
-    rows = [np.frombuffer(x, dtype="<u1" if len(x) == COUNTS else "<u4") for x in group["counts"].to_pylist()]
+    rows = [_unpack_counts(x) for x in group["counts"].to_pylist()]
     return np.ascontiguousarray(np.stack(rows, axis=1).astype(kind))
 
 
@@ -333,12 +349,11 @@ def _likely_forest(group: pa.Table, similarity: float) -> list[tuple[int, int]]:
 
 
 def _likely_pairs(group: pa.Table, similarity: float) -> Iterator[tuple[int, int]]:
-    """Pairs of different components that can be similar, each at the smallest token that its two texts share."""
-    token, low, high = (group[c][0].as_py() for c in ("token", "low", "high"))
+    """Pairs of different components that can be similar."""
+    low, high = (group[c][0].as_py() for c in ("low", "high"))
     nodes, sizes = group["node"].to_numpy(), group["n"].to_numpy().astype(np.int64)
     components, parts = group["component"].to_numpy(), group["part"].to_numpy()
     counts = _counts_of(group, sizes)
-    tokens = [frozenset(x) for x in group["tokens"].to_pylist()]
     for at in np.flatnonzero(parts == low).tolist():
         met = (components != components[at]) & (np.minimum(sizes, sizes[at]) >= similarity * np.maximum(sizes, sizes[at]) - 1e-6)
         met &= (np.arange(len(nodes)) > at) if low == high else parts == high
@@ -351,8 +366,7 @@ def _likely_pairs(group: pa.Table, similarity: float) -> Iterator[tuple[int, int
             few = np.append(others, at)
             near = others[_likely(counts[:, few], sizes[few], len(others), similarity)[:-1] >= 0]
         for other in near.tolist():
-            if min(tokens[at] & tokens[other]) == token:
-                yield int(nodes[at]), int(nodes[other])
+            yield int(nodes[at]), int(nodes[other])
 
 
 def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -373,7 +387,7 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, similarity: float
     a shingle of their prefixes (`_sketches`). Sharers of a shingle meet in tasks, at most SHARERS of a
     kind at a time, and are compared by their counts, a bound that no similar pair falls below. First only a
     forest of the pairs that can be similar is verified, which joins dense groups; then every such pair
-    that is still apart. Shingles with the same sharers meet once, and a pair is given at one shingle.
+    that is still apart. Shingles with the same sharers meet once.
 
     Documents without an id are never grouped. A repeated id counts once for each of its texts, a row
     that repeats both once. Texts without words have equal, empty sets and are near-duplicates.
@@ -381,37 +395,47 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, similarity: float
     spark = docs.sparkSession
     text = text_or_empty(docs, text_column)
     known = docs.select(docs[id_column].cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text")).where("doc_id is not null")
-    sketches = durable(_sketches(known, words, similarity, _common_shingles(known, words)))
+    sketches, sketched = written(_sketches(known, words, similarity, _common_shingles(known, words)), "sketches")
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= BROADCAST_NODES else df
 
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.array([*map(_unpack_counts, batch[c].to_pylist())], dtype=np.uint32).reshape(-1, COUNTS) for c in ("counts_a", "counts_b"))
+            common = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+            either = batch["n_a"].to_numpy().astype(np.int64) + batch["n_b"].to_numpy() - common
+            yield batch.select(["a", "b"]).filter(pa.array(common >= similarity * either - 1e-6))
+
     def verified(pairs: DataFrame) -> DataFrame:
         nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         wanted = durable(sketches.select("node", "doc_id", "version").join(small(nodes), "node", "left_semi"))
         with short_lived_shuffles(spark):
-            sets = durable(_shingle_sets(known.join(small(wanted), ["doc_id", "version"]).select("node", "text"), words).dropDuplicates(["node"]))
+            sets, path = written(_shingle_sets(known.join(small(wanted), ["doc_id", "version"]).select("node", "text"), words).dropDuplicates(["node"]), "sets")
         of_a, of_b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         common = F.size(F.array_intersect("set_a", "set_b"))
         either = F.size("set_a") + F.size("set_b") - common
         close = (either == 0) | (common >= similarity * either)
         with short_lived_shuffles(spark):
-            return durable(pairs.join(of_a, "a").join(of_b, "b").where(close).select("a", "b"))
+            found = durable(pairs.join(of_a, "a").join(of_b, "b").where(close).select("a", "b"))
+        forget(spark, path)
+        return found
 
     with short_lived_shuffles(spark):
         heads = durable(sketches.groupBy("fingerprint").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("copies")))
         same = sketches.select("fingerprint", "node").join(heads.where("copies > 1"), "fingerprint").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
         linked = linked_fingerprints(heads.select("fingerprint"), radius=radius)
         of_a, of_b = (heads.select(F.col("fingerprint").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab")
-        balls = durable(linked.join(of_a, "a").join(of_b, "b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).unionByName(same))
+        balls = linked.join(of_a, "a").join(of_b, "b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).unionByName(same)
+        of_a, of_b = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}")) for x in "ab")
+        sized = balls.join(of_a, "a").join(of_b, "b").where(F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b") - 1e-6)
+        balls = durable(sized.mapInArrow(likely, "a long, b long"))
 
         tokens = sketches.select("node", F.explode("prefix").alias("token"))
         sharers = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("sharers"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("who")).where("sharers > 1")
         kept = durable(sharers.groupBy("sharers", "least", "who").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("sharers") / SHARERS).alias("parts")))
-        met = durable(tokens.join(small(kept), "token"))
-        lists = met.groupBy("node").agg(F.collect_list("token").alias("tokens"))
-        rows = met.join(lists.join(sketches.select("node", "n", "counts"), "node"), "node")
-        rows = durable(rows.withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))))
+        met = tokens.join(small(kept), "token").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
+        rows, dealt = written(met.join(sketches.select("node", "n", "counts"), "node"), "sharers")
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups_of(batches, "token", "part"):
@@ -427,19 +451,25 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, similarity: float
     with short_lived_shuffles(spark):
         trees = rows.select("token", "part", "node", "n", "counts").repartition("token", "part").sortWithinPartitions("token", "part").mapInArrow(forest, "a long, b long")
         first = durable(trees.unionByName(balls).distinct())
-    edges = verified(first)
-    components = connected_components(edges).select("node", "component")
+    components = connected_components(verified(first)).select("node", "component")
     with short_lived_shuffles(spark):
-        labelled = durable(rows.join(components, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        live = labelled.groupBy("token").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("token")
+        known_component = F.coalesce("component", "node")
+        placed = rows.select("token", "node").join(components, "node", "left").groupBy("token").agg(F.min(known_component).alias("one"), F.max(known_component).alias("other"))
+        live = durable(placed.where("one <> other").select("token"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-        blocks = labelled.join(live, "token", "left_semi").withColumn("with", other).withColumns({"low": F.least("part", "with"), "high": F.greatest("part", "with")})
-        rest = durable(blocks.drop("with", "parts").repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(apart, "a long, b long"))
-    if not rest.isEmpty():
-        more = verified(rest)
-        if not more.isEmpty():
-            components = connected_components(edges.unionByName(more)).select("node", "component")
+        blocks = rows.join(small(live), "token", "left_semi").join(components, "node", "left").withColumn("component", known_component)
+        blocks = blocks.withColumn("with", other).withColumns({"low": F.least("part", "with"), "high": F.greatest("part", "with")}).drop("with", "parts")
+        rest = durable(blocks.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(apart, "a long, b long").distinct())
+    forget(spark, dealt)
+    more = rest if rest.isEmpty() else verified(rest)
+    if not more.isEmpty():  # the links between components, which are few
+        of_a, of_b = (components.select(F.col("node").alias(x), F.col("component").alias(f"to_{x}")) for x in "ab")
+        ends = more.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+        above = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("higher"))
+        every = components.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(components, "node", "left_anti").withColumn("component", F.col("node")))
+        components = every.join(above, "component", "left").select("node", F.coalesce("higher", "component").alias("component"))
     named = durable(components.join(sketches.select("node", "doc_id", "version"), "node").select("component", F.struct("doc_id", "version").alias("name")).distinct())
+    forget(spark, sketched)
     smallest = named.groupBy("component").agg(F.min("name").alias("group"))
     return named.join(smallest, "component").select("name.doc_id", "name.version", F.col("group.doc_id").alias("group"), F.col("group.version").alias("group_version"))
 
