@@ -3,12 +3,14 @@
 Texts are cut into pre-tokens. Blocks of documents list each word once, with its place in the block's
 list, and their documents as rows of places. The lists are shuffled by word, so that equal words of all
 blocks meet and are encoded once; the ids go back to their blocks, where every row of places turns into
-ids by position. Decoding explodes ids with their positions and joins the token-byte table.
+ids by position. Decoding lists each id of a run of documents once, joins the token-byte table, and puts
+the bytes together by position.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,14 +30,17 @@ BLOCK_BYTES = 1 << 24
 ROW_PLACES = 400_000
 #: Words whose ids a task packs for their blocks at a time.
 PACKED_WORDS = 300_000
-#: Bytes of decoded text after which a batch of documents leaves a task.
-BATCH_BYTES = 4_000_000
+#: Ids of the documents that are decoded together.
+DECODED_IDS = 1_000_000
 #: PATTERN for texts of ASCII characters alone, for the faster module `re`.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-#: Kinds of rows that blocks exchange.
-WORD, DOCUMENTS = 0, 1
-ROWS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("payload", pa.binary()), ("doc_ids", pa.list_(pa.string())), ("counts", pa.list_(pa.int32()))])
-ROWS_SQL = "kind int, block long, place int, word string, payload binary, doc_ids array<string>, counts array<int>"
+#: Rows that blocks exchange: words with their place in the block, and documents with a payload instead of a word.
+ROWS = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("payload", pa.binary())])
+ROWS_SQL = "block long, place int, word string, payload binary"
+#: What comes together in a block again: first the ids of its words, then its documents.
+IDS, DOCUMENTS = 0, 1
+PARTS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
+PARTS_SQL = "block long, kind int, payload binary"
 
 OTHER_ROWS = "the input gave other rows when a lost part was read again: write it to a table first"
 
@@ -65,18 +70,29 @@ class Block:
         listed = list(self.places)
         for at in range(0, len(listed), 50_000):
             part = listed[at : at + 50_000]
-            yield _batch(len(part), kind=[WORD] * len(part), block=np.full(len(part), name), place=np.arange(at, at + len(part), dtype="int32"), word=part)
+            yield _rows(np.full(len(part), name), np.arange(at, at + len(part), dtype="int32"), part, pa.nulls(len(part), pa.binary()))
         first = held = 0
         for last, own in enumerate(self.stream, 1):
             held += len(own)
             if held >= ROW_PLACES or last == len(self.stream):
                 parts = self.stream[first:last]
-                yield _batch(1, kind=[DOCUMENTS], block=[name], place=[first], payload=[_planes(np.concatenate(parts))], doc_ids=[self.ids[first:last]], counts=[[*map(len, parts)]])
+                yield _rows([name], [first], pa.nulls(1, pa.string()), [_pack_documents(self.ids[first:last], parts)])
                 first, held = last, 0
 
 
-def _batch(rows: int, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in ROWS], schema=ROWS)
+def _rows(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ROWS, strict=True)], schema=ROWS)
+
+
+def _pack_documents(ids: list, parts: list[np.ndarray]) -> bytes:
+    """Ids and numbers of places as text, and the places after it."""
+    head = json.dumps([ids, [*map(len, parts)]]).encode()
+    return len(head).to_bytes(4, "little") + head + _planes(np.concatenate(parts))
+
+
+def _unpack_documents(payload: bytes) -> tuple[list, list[int], np.ndarray]:
+    size = 4 + int.from_bytes(payload[:4], "little")
+    return *json.loads(payload[4:size]), _from_planes(payload[size:])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -114,10 +130,10 @@ def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_c
         last, ids = None, []
         blocks, places, found, held = [], [], [], 0
         for batch in batches:
-            is_word = pc.equal(batch["kind"], WORD)
+            is_word = batch["word"].is_valid()
             documents, words = batch.filter(pc.invert(is_word)), batch.filter(is_word)
             if documents.num_rows:
-                yield documents
+                yield pa.RecordBatch.from_arrays([documents["block"], pa.array([DOCUMENTS] * documents.num_rows, pa.int32()), documents["payload"]], schema=PARTS)
             for word in words["word"].to_pylist():
                 if word != last:  # sorted: equal words follow each other
                     last, ids = word, of(word)
@@ -132,9 +148,9 @@ def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_c
             yield from _pack_ids(np.concatenate(blocks), np.concatenate(places), found)
 
     made = rows.mapInArrow(cut, ROWS_SQL)
-    home = F.when(F.col("kind") == WORD, F.xxhash64("word")).otherwise(F.xxhash64("block", "place"))
-    encoded = made.repartition(home).sortWithinPartitions("word").mapInArrow(encode, ROWS_SQL)
-    together = encoded.drop("word").repartition("block").sortWithinPartitions("block", "kind")
+    home = F.when(F.col("word").isNotNull(), F.xxhash64("word")).otherwise(F.xxhash64("block", "place"))
+    encoded = made.repartition(home).sortWithinPartitions("word").mapInArrow(encode, PARTS_SQL)
+    together = encoded.repartition("block").sortWithinPartitions("block", "kind")
     return together.mapInArrow(_assemble, "doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
@@ -152,7 +168,7 @@ def _from_planes(packed: bytes) -> np.ndarray:
 
 
 def _pack_ids(blocks: np.ndarray, places: np.ndarray, found: list[list[int]]) -> Iterator[pa.RecordBatch]:
-    """A row per block: its words' places (as steps), numbers of ids, and ids in one packed array; `place` is the number of words."""
+    """A row per block: its number of words, their places (as steps), numbers of ids, and ids in one packed array."""
     sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
     flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64, count=int(sizes.sum()))
     order = np.lexsort((places, blocks))
@@ -161,8 +177,8 @@ def _pack_ids(blocks: np.ndarray, places: np.ndarray, found: list[list[int]]) ->
     bounds = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1], [True]]))
     ends = np.concatenate([[0], np.cumsum(sizes)])
     for a, b in itertools.pairwise(bounds.tolist()):
-        payload = _planes(np.concatenate([np.diff(places[a:b], prepend=0), sizes[a:b], flat[ends[a] : ends[b]]]))
-        yield _batch(1, kind=[WORD], block=[int(blocks[a])], place=[b - a], payload=[payload])
+        payload = _planes(np.concatenate([[b - a], np.diff(places[a:b], prepend=0), sizes[a:b], flat[ends[a] : ends[b]]]))
+        yield pa.RecordBatch.from_arrays([pa.array([int(blocks[a])]), pa.array([IDS], pa.int32()), pa.array([payload])], schema=PARTS)
 
 
 def _gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -176,23 +192,24 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block, its words before its documents: one block's words are held at a time."""
     block, parts, ready = None, [], None
     for batch in batches:
-        for kind, name, n, payload, doc_ids, counts in zip(*(batch[c] for c in ("kind", "block", "place", "payload", "doc_ids", "counts")), strict=True):
-            if name.as_py() != block:
-                block, parts, ready = name.as_py(), [], None
-            if kind.as_py() == WORD:
-                whole, n = _from_planes(payload.as_py()), n.as_py()
+        for name, kind, payload in zip(batch["block"].to_pylist(), batch["kind"].to_pylist(), batch["payload"], strict=True):
+            if name != block:
+                block, parts, ready = name, [], None
+            if kind == IDS:
+                whole = _from_planes(payload.as_py())
+                n, whole = int(whole[0]), whole[1:]
                 parts.append((np.cumsum(whole[:n]), whole[n : 2 * n], whole[2 * n :].astype("int32")))
                 continue
             if ready is None:
                 ready = _lookup(parts)
             flat, begins, sizes = ready
-            places = _from_planes(payload.as_py())
+            doc_ids, counts, places = _unpack_documents(payload.as_py())
             if len(places) and (places.max() >= len(begins) or (begins[places] < 0).any()):
                 raise ValueError(OTHER_ROWS)
             ids = _gather(flat, begins, sizes, places)
-            ends = np.concatenate([[0], np.cumsum(counts.values.to_numpy())])
+            ends = np.cumsum([0, *counts])
             offsets = np.concatenate([[0], np.cumsum(sizes[places])])[ends].astype("int32")
-            yield pa.RecordBatch.from_arrays([doc_ids.values, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))], ["doc_id", "ids"])
 
 
 def _lookup(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,61 +230,79 @@ def token_table(spark: SparkSession, ranks: str) -> DataFrame:
 def decode_bpe(encoded: DataFrame, tokens: DataFrame) -> DataFrame:
     """doc_id, ids and decoded (binary: the ids' bytes) of rows with doc_id and ids (array<int>).
 
-    Ids are exploded with their positions and joined with the token-byte table, which is broadcast: a
-    vocabulary has a fixed size. The join keeps the order of the exploded side, so that no shuffle is
-    needed to put the bytes together again by position; a position out of its turn is an error, and so
-    is an id that the table doesn't have. Null ids count as none. Other columns are ignored.
+    Runs of documents explode each of their ids once, and these join the token-byte table, which is
+    broadcast: a vocabulary has a fixed size. The join keeps the order of the exploded side, so that no
+    shuffle is needed before the documents, which follow their ids, are put together by position. Ids
+    that come out of their turn are an error, and so is one that the table doesn't have. Null ids count
+    as none. Other columns are ignored.
     """
     kind = encoded.schema["doc_id"].dataType
-    at = encoded.select(F.col("doc_id").cast("string").alias("doc_id"), F.posexplode_outer("ids").alias("position", "token"))
-    first = F.coalesce("position", F.lit(0)) == 0
-    joined = at.join(F.broadcast(tokens.select("token", "token_bytes")), "token", "left").select(F.when(first, F.col("doc_id")).alias("doc_id"), "position", "token", "token_bytes")
+    rows = encoded.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    listed = rows.mapInArrow(_list_ids, "place int, token int, payload binary")
+    joined = listed.join(F.broadcast(tokens.select("token", "token_bytes")), "token", "left").select("place", "token", "token_bytes", "payload")
     return joined.mapInArrow(_reassemble, "doc_id string, ids array<int>, decoded binary").withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+def _list_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per id of a run of documents, and then one with the documents as places in that list."""
+    schema = pa.schema([("place", pa.int32()), ("token", pa.int32()), ("payload", pa.binary())])
+    names, parts, held = [], [], 0
+
+    def run() -> Iterator[pa.RecordBatch]:
+        listed, places = np.unique(np.concatenate(parts), return_inverse=True)
+        n = len(listed)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype="int32")), pa.array(listed.astype("int32")), pa.nulls(n, pa.binary())], schema=schema)
+        ends = np.cumsum([len(x) for x in parts])[:-1]
+        payload = _pack_documents(names, np.split(places, ends))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.nulls(1, pa.int32()), pa.array([payload])], schema=schema)
+
+    for batch in batches:
+        for name, ids in zip(batch["doc_id"].to_pylist(), batch["ids"], strict=True):
+            names.append(name)
+            parts.append(ids.values.to_numpy())
+            held += len(parts[-1])
+            if held >= DECODED_IDS:
+                yield from run()
+                names, parts, held = [], [], 0
+    if names:
+        yield from run()
+
+
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    doc_ids, ids, texts, held = [], [], [], 0
-    next_position = 0
+    tokens: list[np.ndarray] = []
+    found: list[bytes] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        position = pc.fill_null(batch["position"], 0).to_numpy()
-        token, found = batch["token"], batch["token_bytes"]
-        empty = token.is_null().to_numpy(zero_copy_only=False)
-        if found.null_count != empty.sum():
-            raise ValueError("an id is not in the token-byte table")
-        before = np.concatenate([[next_position - 1], np.where(empty, -1, position)[:-1]])
-        starts = np.flatnonzero(position == 0)
-        if ((position != 0) & (position != before + 1)).any() or (not doc_ids and len(position) and position[0]):
-            raise ValueError("the exploded ids are out of order")
-        next_position = 0 if empty[-1] else int(position[-1]) + 1
-        names = batch["doc_id"]
-        offsets = np.frombuffer(found.buffers()[1], dtype="<i4")[found.offset : found.offset + len(found) + 1]
-        data = memoryview(found.buffers()[2] or b"")
-        numbers = pc.fill_null(token, -1).to_numpy()
-        bounds = [0, *starts.tolist(), len(position)]
-        for a, b in itertools.pairwise(bounds):
-            if a == b and a == 0:
-                continue
-            if position[a] == 0:
-                if held >= BATCH_BYTES:
-                    yield _decoded(doc_ids, ids, texts)
-                    doc_ids, ids, texts, held = [], [], [], 0
-                doc_ids.append(names[a].as_py())
-                ids.append([])
-                texts.append([])
-            if not empty[a]:
-                ids[-1].append(numbers[a:b])
-                texts[-1].append(bytes(data[offsets[a] : offsets[b]]))
-                held += 5 * (b - a)
-    if doc_ids:
-        yield _decoded(doc_ids, ids, texts)
-
-
-def _decoded(doc_ids: list, ids: list[list[np.ndarray]], texts: list[list[bytes]]) -> pa.RecordBatch:
-    offsets = np.cumsum([0, *(sum(map(len, x)) for x in ids)]).astype("int32")
-    flat = np.concatenate([y for x in ids for y in x] or [np.zeros(0, dtype="int32")]).astype("int32")
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.string()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([b"".join(x) for x in texts], pa.binary())], ["doc_id", "ids", "decoded"])
+        for part in _at_payloads(batch):
+            documents = part["payload"].is_valid().to_numpy(zero_copy_only=False)
+            listed = part.slice(0, len(part) - int(documents.sum()))
+            if listed["token_bytes"].null_count:
+                raise ValueError("an id is not in the token-byte table")
+            places = np.concatenate([[len(found) - 1], part["place"].to_numpy()])
+            if (np.diff(places) != 1).any():
+                raise ValueError("the exploded ids are out of order")
+            tokens.append(listed["token"].to_numpy())
+            found += listed["token_bytes"].to_pylist()
+            if documents.any():
+                yield _decoded(part["payload"][-1].as_py(), np.concatenate(tokens), found)
+                tokens, found = [], []
+
+
+def _at_payloads(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts, each up to a row with a payload."""
+    ends = np.flatnonzero(batch["payload"].is_valid().to_numpy(zero_copy_only=False)) + 1
+    for a, b in itertools.pairwise(sorted({0, *ends.tolist(), batch.num_rows})):
+        yield batch.slice(a, b - a)
+
+
+def _decoded(payload: bytes, tokens: np.ndarray, found: list[bytes]) -> pa.RecordBatch:
+    names, counts, places = _unpack_documents(payload)
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    data = _gather(np.frombuffer(b"".join(found), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes, places)
+    ends = np.cumsum([0, *counts])
+    offsets = np.concatenate([[0], np.cumsum(sizes[places])])[ends].astype("int32")
+    texts = pa.BinaryArray.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    ids = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), pa.array(tokens[places]))
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), ids, texts], ["doc_id", "ids", "decoded"])
 
 
 def encode_and_decode(docs: DataFrame, ranks: str, **columns: str) -> DataFrame:
