@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from sheetstorm.llm import katz
 from sheetstorm.llm.katz import DISCOUNTED, LEAST_LOSS, discounts, score_documents
 
 from .helpers import SF, odd_documents
@@ -83,6 +84,26 @@ def test_table_against_brute_force(spark):
     assert held and sum(r[6] for r in held) > sum(r[5] for r in held)  # closer to unseen text than the base
 
 
+def test_more_buckets_send_no_more_documents(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    sent = []
+    for buckets in (16, 128):
+        block = katz._Block()
+        for r in docs.collect():
+            block.add(str(r.doc_id), True, r.text or "")
+        tokens_sent = sum(map(len, block.stream))
+        parts = [katz._unpack(x) for frame in block.rows_for_buckets(frozenset(), buckets) for x in frame["payload"]]
+        sent.append(sum(len(x["numbers"]) for x in parts if "numbers" in x))
+        assert sent[-1] <= min(tokens_sent, 40 * buckets)
+    monkeypatch.setattr(katz, "BUCKETS", 300)
+    check(spark, docs)
+
+
+def test_ids_of_text(spark):
+    docs = spark.createDataFrame([("a b", "one two"), (None, "two"), ("c\n", "")], "doc_id string, text string")
+    assert {r.doc_id: r.n_tokens for r in score_documents(docs).collect()} == {"a b": 3, None: 2, "c\n": 1}
+
+
 def test_odd_rows(spark):
     check(spark, odd_documents(spark))
     assert score_documents(odd_documents(spark, [])).count() == 0
