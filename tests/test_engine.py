@@ -155,3 +155,31 @@ def test_workbook_files(spark, tmp_path):
     sheets = W.rename_name(W.set_cell(SHOP, "Inputs", "A1", " 12 "), "price", "Tariff")
     assert sheets[0].cells["A1"] == 12 and sheets[1].cells["A1"] == "=Tariff*Demand*(1-Rate)" and W.list_names(sheets)[0][0] == "Cost"
     assert "A1" not in W.set_cell(sheets, "Inputs", "A1", " ")[0].cells and W.last_row(SHOP[0]) == 5 and len(W.add_sheet(SHOP, "New")) == 3
+
+
+def test_filters_lopsided_effects_and_stopping(spark):
+    from sheetstorm.streaming.progressive import histogram_progressively
+
+    results = spark.createDataFrame([(1, "x", "uncertain", 10, 1.0, 2.0, None), (2, "x", "uncertain", 10, 3.0, 2.0, None), (3, "x", "uncertain", 10, 9.0, 2.0, None)], "combination int, cell string, kind string, count long, mean double, m2 double, code string")
+    results = results.selectExpr("*", "0L AS nans", "0L AS infinities")
+    choices = spark.createDataFrame([(1, "a", "p"), (2, "b", "p"), (3, "b", "q")], "combination int, one string, two string")
+    kept = scenarios.pivot(results, choices, ["two"], filters={"one": "b"}).collect()
+    assert sorted((r.two, r["count"], r.mean) for r in kept) == [("p", 10, 3.0), ("q", 10, 9.0)]
+    both = scenarios.pivot(results, choices, ["two"]).where("two = 'p'").first()
+    assert (both["count"], both.mean, both.m2) == (20, 2.0, 2 + 2 + 20 * 1.0)
+    found = spark.createDataFrame([("i", 0.1, "x", 10.0, 9.0, 11.0), ("j", 0.1, "x", 10.0, 9.0, 13.0)], "input string, step double, cell string, base double, down double, up double")
+    assert {r.input: r.lopsided for r in scenarios.measures(found).collect()} == {"i": False, "j": True}
+    bins = histogram_progressively(spark, COSTS, ["C1"], 30_000, seed=7, first=1000, progress=lambda done, so_far: done < 3000)
+    assert bins.agg({"n": "sum"}).first()[0] == 3000
+
+
+def test_large_values_keep_a_small_deviation(spark):
+    parts = spark.createDataFrame([(10, 1e9 - 1, 0.0), (10, 1e9 + 1, 0.0)], "count long, mean double, m2 double").selectExpr("'x' AS cell", "*", "0L AS nans", "0L AS infinities")
+    assert summary.merge_summaries(parts, ["cell"]).first().m2 == pytest.approx(20.0)
+
+
+def test_written_digits_and_kinds(spark):
+    rows = spark.createDataFrame([(1, 123.456)], "k long, x double")
+    found = apply_formulas(rows, {"a": "=ROUND(x,1.7)", "b": "=TRUNC(x,-1)", "c": "=ROUND(x,1+1)"}, iteration="k").first()
+    scale = 10**1.7
+    assert found.a == pytest.approx(math.floor(123.456 * scale + 0.5) / scale, rel=1e-12) and found.b == 120 and found.c == pytest.approx(123.46)
