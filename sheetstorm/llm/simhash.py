@@ -349,8 +349,9 @@ def _likely_forest(group: pa.Table, similarity: float) -> list[tuple[int, int]]:
 
 
 def _likely_pairs(group: pa.Table, similarity: float) -> Iterator[tuple[int, int]]:
-    """Pairs of different components that can be similar."""
-    low, high = (group[c][0].as_py() for c in ("low", "high"))
+    """Pairs of different components that can be similar, each at the smallest token that its two texts share."""
+    token, low, high = (group[c][0].as_py() for c in ("token", "low", "high"))
+    tokens = [frozenset(x) for x in group["tokens"].to_pylist()]
     nodes, sizes = group["node"].to_numpy(), group["n"].to_numpy().astype(np.int64)
     components, parts = group["component"].to_numpy(), group["part"].to_numpy()
     counts = _counts_of(group, sizes)
@@ -366,7 +367,8 @@ def _likely_pairs(group: pa.Table, similarity: float) -> Iterator[tuple[int, int
             few = np.append(others, at)
             near = others[_likely(counts[:, few], sizes[few], len(others), similarity)[:-1] >= 0]
         for other in near.tolist():
-            yield int(nodes[at]), int(nodes[other])
+            if min(tokens[at] & tokens[other]) == token:
+                yield int(nodes[at]), int(nodes[other])
 
 
 def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -387,7 +389,7 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, similarity: float
     a shingle of their prefixes (`_sketches`). Sharers of a shingle meet in tasks, at most SHARERS of a
     kind at a time, and are compared by their counts, a bound that no similar pair falls below. First only a
     forest of the pairs that can be similar is verified, which joins dense groups; then every such pair
-    that is still apart. Shingles with the same sharers meet once.
+    that is still apart, given at one of the shingles that it shares. Shingles with the same sharers meet once.
 
     Documents without an id are never grouped. A repeated id counts once for each of its texts, a row
     that repeats both once. Texts without words have equal, empty sets and are near-duplicates.
@@ -457,9 +459,11 @@ def near_duplicate_groups(docs: DataFrame, *, words: int = 5, similarity: float
         placed = rows.select("token", "node").join(components, "node", "left").groupBy("token").agg(F.min(known_component).alias("one"), F.max(known_component).alias("other"))
         live = durable(placed.where("one <> other").select("token"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-        blocks = rows.join(small(live), "token", "left_semi").join(components, "node", "left").withColumn("component", known_component)
+        still = rows.join(small(live), "token", "left_semi")
+        lists = rows.select("token", "node").join(small(live), "token", "left_semi").groupBy("node").agg(F.collect_list("token").alias("tokens"))  # at most a prefix
+        blocks = still.join(components, "node", "left").withColumn("component", known_component).join(lists, "node")
         blocks = blocks.withColumn("with", other).withColumns({"low": F.least("part", "with"), "high": F.greatest("part", "with")}).drop("with", "parts")
-        rest = durable(blocks.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(apart, "a long, b long").distinct())
+        rest = durable(blocks.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high").mapInArrow(apart, "a long, b long"))
     forget(spark, dealt)
     more = rest if rest.isEmpty() else verified(rest)
     if not more.isEmpty():  # the links between components, which are few
