@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import json
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from .common import text_or_empty, with_text_ids
 from .tokens import PATTERN, encoder, read_ranks
 
 #: Bytes of text after which a block ends. Its list of words is all that a task holds of it.
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 25
 #: Pre-tokens of a block's documents that travel, and are turned into ids, at a time.
 ROW_PLACES = 400_000
 #: Words whose ids a task packs for their blocks at a time.
@@ -34,7 +35,10 @@ PACKED_WORDS = 300_000
 DECODED_IDS = 1_000_000
 #: PATTERN for texts of ASCII characters alone, for the faster module `re`.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
-#: Rows that blocks exchange: words with their place in the block, and documents with a payload instead of a word.
+#: Rows that blocks send: packed words of one home, or documents.
+SENT = pa.schema([("home", pa.int32()), ("block", pa.int64()), ("words", pa.int32()), ("payload", pa.binary())])
+SENT_SQL = "home int, block long, words int, payload binary"
+#: The same rows where they arrive: words with their place in the block, and documents with a payload instead of a word.
 ROWS = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("word", pa.string()), ("payload", pa.binary())])
 ROWS_SQL = "block long, place int, word string, payload binary"
 #: What comes together in a block again: first the ids of its words, then its documents.
@@ -64,22 +68,52 @@ class Block:
         self.ids.append(doc_id)
         self.stream.append(np.fromiter(map(self.places.__getitem__, words), dtype="<u4", count=len(words)))
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """A row per word, and a row per ROW_PLACES places of documents. The block is named by its content."""
+    def rows(self, homes: int) -> Iterator[pa.RecordBatch]:
+        """A row for each home of words, and one per ROW_PLACES places of documents. The block is named by its content."""
         name = int(np.uint64(self.digest.intdigest()).view(np.int64))
-        listed = list(self.places)
-        for at in range(0, len(listed), 50_000):
-            part = listed[at : at + 50_000]
-            yield _rows(np.full(len(part), name), np.arange(at, at + len(part), dtype="int32"), part, pa.nulls(len(part), pa.binary()))
+        data = [w.encode("utf-8", "replace") for w in self.places]
+        home = np.fromiter((zlib.crc32(w) % homes for w in data), dtype=np.int64, count=len(data))
+        order = np.argsort(home, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) if len(order) else ():
+            payload = _pack_words([data[i] for i in own.tolist()], own)
+            yield pa.RecordBatch.from_arrays([pa.array([int(home[own[0]])], pa.int32()), pa.array([name]), pa.array([len(own)], pa.int32()), pa.array([payload])], schema=SENT)
         first = held = 0
         for last, own in enumerate(self.stream, 1):
             held += len(own)
             if held >= ROW_PLACES or last == len(self.stream):
-                parts = self.stream[first:last]
-                yield _rows([name], [first], pa.nulls(1, pa.string()), [_pack_documents(self.ids[first:last], parts)])
+                payload = _pack_documents(self.ids[first:last], self.stream[first:last])
+                yield pa.RecordBatch.from_arrays([pa.array([(name + first) % homes], pa.int32()), pa.array([name]), pa.array([0], pa.int32()), pa.array([payload])], schema=SENT)
                 first, held = last, 0
 
 
+def _pack_words(words: list[bytes], places: np.ndarray) -> bytes:
+    import zstandard
+
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    numbers = _planes(np.concatenate([np.diff(places, prepend=0), sizes]))
+    return len(numbers).to_bytes(4, "little") + numbers + zstandard.ZstdCompressor(level=6).compress(b"".join(words))
+
+
+def _unpack_words(payload: bytes, count: int) -> tuple[np.ndarray, list[str]]:
+    import zstandard
+
+    at = 4 + int.from_bytes(payload[:4], "little")
+    numbers = _from_planes(payload[4:at]).astype(np.int64)
+    data = zstandard.ZstdDecompressor().decompress(payload[at:])
+    ends = np.cumsum(numbers[count:]).tolist()
+    return np.cumsum(numbers[:count]), [data[a:b].decode("utf-8") for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _arrived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, count, payload in zip(batch["block"].to_pylist(), batch["words"].to_pylist(), batch["payload"], strict=True):
+            if count:
+                places, words = _unpack_words(payload.as_py(), count)
+                yield _rows(np.full(count, block), places.astype("int32"), words, pa.nulls(count, pa.binary()))
+            else:
+                yield _rows([block], [0], pa.nulls(1, pa.string()), [payload.as_py()])
+
+
 def _rows(*columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ROWS, strict=True)], schema=ROWS)
 
@@ -95,7 +129,7 @@ def _unpack_documents(payload: bytes) -> tuple[list, list[int], np.ndarray]:
     return *json.loads(payload[4:size]), _from_planes(payload[size:])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int, homes: int) -> Iterator[pa.RecordBatch]:
     import regex
 
     plain, find = re.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall
@@ -104,10 +138,10 @@ def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.Rec
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             block.add(doc_id, text, plain(text) if text.isascii() else find(text))
             if block.bytes >= block_bytes:
-                yield from block.rows()
+                yield from block.rows(homes)
                 block = Block()
     if block.ids:
-        yield from block.rows()
+        yield from block.rows(homes)
 
 
 def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -121,9 +155,10 @@ def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_c
     """
     kind = docs.schema[id_column].dataType
     rows = with_text_ids(docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs, text_column).alias("text")))
+    homes = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # words of one home travel packed
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _cut(batches, block_bytes)
+        yield from _cut(batches, block_bytes, homes)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(ranks).encode_ordinary
@@ -147,9 +182,8 @@ def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_c
         if held:
             yield from _pack_ids(np.concatenate(blocks), np.concatenate(places), found)
 
-    made = rows.mapInArrow(cut, ROWS_SQL)
-    home = F.when(F.col("word").isNotNull(), F.xxhash64("word")).otherwise(F.xxhash64("block", "place"))
-    encoded = made.repartition(home).sortWithinPartitions("word").mapInArrow(encode, PARTS_SQL)
+    arrived = rows.mapInArrow(cut, SENT_SQL).repartition("home").mapInArrow(_arrived, ROWS_SQL)
+    encoded = arrived.sortWithinPartitions("word").mapInArrow(encode, PARTS_SQL)
     together = encoded.repartition("block").sortWithinPartitions("block", "kind")
     return together.mapInArrow(_assemble, "doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast(kind))
 
