@@ -18,7 +18,7 @@ from .common import durable, text_or_empty
 #: Characters in a piece.
 PIECE = 4
 #: Pieces in a run. About 2 / RUN of all runs are anchors.
-RUN = 8
+RUN = 16
 #: A group of neighbouring ids spans 2 ** ID_BITS ids.
 ID_BITS = 8
 #: Successor rows (two longs each) that are broadcast; more are joined by shuffling.
@@ -83,12 +83,12 @@ def with_likeness(docs: DataFrame, a: str, b: str, to: str) -> DataFrame:
     ordered, distances = f"{to}_ordered", f"{to}_distances"
     side = F.lit(1 << 31)
     x, d = F.col(ordered), F.col(distances)
-    key = lambda i: F.shiftright(F.get(x, i), 31)
-    place = lambda i: F.get(x, i).bitwiseAND(F.lit(PLACE))
-    meet = F.filter(F.sequence(F.lit(0), F.size(x) - 2), lambda i: key(i).bitwiseXOR(key(i + 1)) == 1)
-    found = F.sort_array(F.transform(meet, lambda i: place(i + 1) - place(i)))
+    place = lambda v: v.bitwiseAND(F.lit(PLACE))
+    # Two neighbours differ by 1 above their places where an equal hash of both sides meets, by 0 where it repeats on one.
+    change = lambda v, i: F.shiftright(v.bitwiseXOR(F.get(x, i + 1)), 31)
+    found = F.sort_array(F.array_compact(F.transform(x, lambda v, i: F.when(change(v, i) == 1, place(F.get(x, i + 1)) - place(v)))))
     company = F.filter(d, lambda v, i: (v == F.coalesce(F.get(d, i - 1), v + 1)) | (v == F.coalesce(F.get(d, i + 1), v + 1)))
-    distinct = F.size(F.filter(x, lambda v, i: (i == 0) | (F.shiftright(v, 31) != key(i - 1))))
+    distinct = F.size(F.filter(x, lambda v, i: change(v, i) != 0)) + 1
     matched = F.when(F.least(F.size(a), F.size(b)) < 2, F.size(d)).otherwise(F.size(company))
     return (
         docs.withColumn(ordered, F.sort_array(F.concat(a, F.transform(b, lambda v: v.bitwiseOR(side)))))

@@ -114,7 +114,7 @@ def test_odd_rows(spark):
     by_id = {r.doc_id: r for r in rows}
     assert by_id[4].fingerprint == by_id[3].fingerprint == by_id[5].fingerprint == "" and by_id[3].near_edited == 1.0
     assert len(by_id[6].fingerprint) == 8  # fewer than RUN pieces: one anchor
-    assert by_id[None].near_next == 0.0 and RUN == 8
+    assert by_id[None].near_next == 0.0 and RUN == 16
     assert compare_with_edits(odd_documents(spark, [])).count() == 0
 
 
