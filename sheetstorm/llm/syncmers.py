@@ -100,6 +100,13 @@ def with_likeness(docs: DataFrame, a: str, b: str, to: str) -> DataFrame:
     )
 
 
+def likeness(a: str, b: str) -> Column:
+    """Share of distinct anchors that two fingerprints have in common, wherever they stand; 1 for two without any."""
+    x, y = (F.transform(c, lambda v: F.shiftright(v, 32)) for c in (a, b))
+    union = F.size(F.array_union(x, y))
+    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+
+
 def hex_digits(anchors: str) -> Column:
     """The hashes in text order, eight hexadecimal digits each."""
     return F.lower(F.array_join(F.transform(anchors, lambda v: F.lpad(F.hex(F.shiftrightunsigned(v, 32)), 8, "0")), ""))
@@ -172,8 +179,8 @@ def compare_with_edits(docs: DataFrame, *, id_column: str = "doc_id", text_colum
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the next
     document, or all of it. Null counts as empty; an empty text stays empty when edited. Repeated rows
-    are returned as often as they occur. Other columns of docs are ignored. See with_likeness for the
-    two likenesses.
+    are returned as often as they occur. Other columns of docs are ignored. See likeness for the two
+    likenesses; with_likeness, which matches positions, costs too much for whole tables.
     """
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), text_or_empty(docs, text_column).alias("text"))
     half = F.shiftright("n_chars", 1)
@@ -183,13 +190,12 @@ def compare_with_edits(docs: DataFrame, *, id_column: str = "doc_id", text_colum
         .withColumn("edited", F.concat(F.left("text", F.col("n_chars") - half), F.left(F.coalesce("next_text", F.lit("")), half)))
     )
     anchored = with_anchors(edited, "edited", "edited_anchors", run=run)
-    compared = with_likeness(with_likeness(anchored, "anchors", "edited_anchors", "near_edited"), "anchors", "next_anchors", "near_next")
-    return compared.select(
+    return anchored.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
         hex_digits("anchors").alias("fingerprint"),
         hex_digits("edited_anchors").alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
+        likeness("anchors", "edited_anchors").alias("near_edited"),
+        likeness("anchors", "next_anchors").alias("near_next"),
     )

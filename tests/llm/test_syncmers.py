@@ -45,12 +45,8 @@ def syncmers(text, run=RUN):
 
 
 def likeness(a, b):
-    """Anchors that share their distance with another one, among the distinct ones of both texts."""
-    last, first = dict((h, p) for p, h in a), dict((h, p) for p, h in reversed(b))
-    distances = [first[h] - last[h] for h in last.keys() & first.keys()]
-    matched = len(distances) if min(len(a), len(b)) < 2 else sum(distances.count(d) > 1 for d in distances)
-    union = len(last) + len(first) - matched
-    return matched / union if union else 1.0
+    x, y = {h for _, h in a}, {h for _, h in b}
+    return len(x & y) / len(x | y) if x | y else 1.0
 
 
 def test_edits_and_likeness_against_brute_force(spark):
