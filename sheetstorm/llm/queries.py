@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bit_sliced import top_k
 from .bpe import encode_and_decode
 from .exact_dedup import exact_dedup
+from .fill_middle import fill_in_middle, restored
+from .filter_audit import audit_filters
 from .html_extract import extract_main_text
 from .katz import score_documents
 from .packing import pack_documents
@@ -71,6 +75,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edits(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.sha2("output", 256), "restored_sha256": F.sha2(restored(F.col("form"), F.col("output")), 256)}
+    return made.withColumns(digests).drop("output")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -83,6 +101,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_fingerprints": op10_fingerprints,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_top_k": op12_top_k,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -102,4 +123,34 @@ def oracle_sql() -> dict[str, str]:
                    coalesce(arg_max(r.verdict, length(r.host || r.path)), 'allow') AS verdict
             FROM split s LEFT JOIN rules r ON (s.host = r.host OR ends_with(s.host, '.' || r.host)) AND starts_with(s.path, r.path)
             GROUP BY s.page_id, s.host, s.path""",
+        "op11_filter_audit": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+                 l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+                 f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                              [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+                               doc_id > min(doc_id) OVER (PARTITION BY text)] AS fails FROM d LEFT JOIN l USING (doc_id)),
+                 m AS (SELECT part, list_sum(list_transform(range(5), lambda i: CASE WHEN fails[i + 1] THEN (1 << i) ELSE 0 END))::INTEGER AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+                 x AS (SELECT chr(65 + i::INTEGER) AS x, i::INTEGER AS i FROM range(5) t(i)),
+                 o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+                 s AS (SELECT filter_order, k::INTEGER AS step, ascii(substr(filter_order, k::INTEGER, 1)) - 65 AS place,
+                              coalesce(list_sum(list_transform(range(1, k), lambda j: 1 << (ascii(substr(filter_order, j::INTEGER, 1)) - 65))), 0)::INTEGER AS before FROM o, range(1, 6) t(k)),
+                 c AS (SELECT part, filter_order, step, place, sum(CASE WHEN mask & (before | (1 << place)) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & (1 << place) <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+                              sum(CASE WHEN mask & (1 << place) <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = 1 << place THEN n ELSE 0 END) AS unique_fails,
+                              sum(CASE WHEN mask & (1 << place) <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN mask & (1 << place) <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost FROM m, s GROUP BY ALL)
+            SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+                   (sum(removed) OVER (PARTITION BY part, place))::BIGINT AS shapley FROM c""",
+        "op12_top_k": """
+            WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings),
+                 p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * c.x[i]))::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+                 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+        "op13_fill_in_middle": r"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS words, sha256('42:' || doc_id) AS h FROM documents),
+                 n AS (SELECT *, CAST(len(words) AS BIGINT) AS n, list_transform(range(4), lambda i: ('0x' || substr(h, (1 + 8 * i)::INTEGER, 8))::BIGINT) AS g FROM d),
+                 c AS (SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS a, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b,
+                              CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR g[3] % 100 >= 50 THEN 'plain' WHEN g[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM n),
+                 t AS (SELECT doc_id, n, form, text, array_to_string(words[1:a], '') AS prefix, array_to_string(words[a + 1:b], '') AS middle, array_to_string(words[b + 1:], '') AS suffix FROM c)
+            SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+                   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+                   sha256(text) AS restored_sha256 FROM t""",
     }
