@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ieee
 from ..plans.compiler import Compiled, Sheet, compile_sheets
-from ..plans.lowering import interpret, lower
+from ..plans.lowering import Spread, interpret, lower
+from ..plans.programs import Program
 
 #: Registers and draws beyond which the generated code would be too wide and its stages too many: then batches are interpreted.
 WIDEST, MOST_DRAWS = 1500, 16
@@ -32,12 +33,21 @@ def iterations(spark: SparkSession, count: int, start: int = 0, parts: int | Non
 
 def run_compiled(df: DataFrame, compiled: Compiled, outputs: dict[str, str], *, seed: int = 1, iteration: str = "iteration", engine: str = "auto") -> DataFrame:
     """df with a column for each output (column -> cell); the same draws whatever the engine and partitioning."""
-    regs = {name: compiled.find(cell).reg for name, cell in outputs.items()}
-    needed = compiled.program.needs(list(regs.values()))
-    wide = len(needed) > WIDEST or sum(compiled.program.ops[reg][0] == "draw" for reg in needed) > MOST_DRAWS
-    if engine == "batches" or (engine == "auto" and wide):
-        return interpret(df, compiled.program, regs, seed=seed, iteration=iteration)
-    return lower(df, compiled.program, regs, seed=seed, iteration=iteration)
+    return run_program(df, compiled.program, {name: compiled.find(cell).reg for name, cell in outputs.items()}, seed=seed, iteration=iteration, engine=engine)
+
+
+def run_program(df: DataFrame, program: Program, outputs: dict[str, int], *, seed: int = 1, iteration: str = "iteration", engine: str = "auto", spread: Spread | None = None) -> DataFrame:
+    """df with a column for each output (column -> register); with a spread, every row once for each combination.
+
+    Programs that are too wide for generated code run in Arrow batches, and so do combinations whose outputs
+    are different registers. Either way all columns of df stay, and draws are made once for a row.
+    """
+    variants = list(spread.outputs.values()) if spread else [outputs]
+    needed = program.needs([reg for regs in variants for reg in regs.values()])
+    wide = len(needed) > WIDEST or sum(program.ops[reg][0] == "draw" for reg in needed) > MOST_DRAWS
+    if engine == "batches" or (engine == "auto" and (wide or any(regs != variants[0] for regs in variants))):
+        return interpret(df, program, outputs, seed=seed, iteration=iteration, spread=spread)
+    return lower(df, program, variants[0], seed=seed, iteration=iteration, spread=spread)
 
 
 def simulate(spark: SparkSession, model, outputs: list[str], count: int, *, seed: int = 1, start: int = 0, parts: int | None = None, engine: str = "auto") -> DataFrame:

@@ -87,8 +87,8 @@ def parse_cell(value: float | int | str) -> Node | str:
 
 
 class _Compiler:
-    def __init__(self, sheets: list[Sheet], inputs: dict[str, str | None]):
-        self.program = Program()
+    def __init__(self, sheets: list[Sheet], inputs: dict[str, str | None], program: Program | None = None):
+        self.program = Program() if program is None else program
         self.sheets = {s.name.lower(): s for s in sheets}
         self.inputs = {k.lower(): (k, g) for k, g in inputs.items()}
         self.names = {n.lower(): (s.name, a.upper()) for s in sheets for n, a in s.names.items()}
@@ -756,6 +756,9 @@ FUNCTIONS: dict[str, tuple[int, int, Callable]] = {
 }
 
 
-def compile_sheets(sheets: list[Sheet], inputs: dict[str, str | None] | None = None) -> Compiled:
-    """Compiles every cell. inputs names columns of a table that formulas may use, with their granularity or None."""
-    return _Compiler(sheets, inputs or {}).run()
+def compile_sheets(sheets: list[Sheet], inputs: dict[str, str | None] | None = None, program: Program | None = None) -> Compiled:
+    """Compiles every cell. inputs names columns of a table that formulas may use, with their granularity or None.
+
+    Models that are compiled into one program share what they have in common, draws above all.
+    """
+    return _Compiler(sheets, inputs or {}, program).run()

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ieee, normal
 from ..functions import random as R
@@ -42,12 +44,30 @@ _UNARY = {
 _REPEATS = frozenset(["div", "min", "max", "ln", "floor", "finite", "phi", "eq", "ne", "lt", "gt", "le", "ge"])
 
 
-def lower(df: DataFrame, program: Program, outputs: dict[str, int], *, seed: int = 1, iteration: str = "iteration") -> DataFrame:
+@dataclass(frozen=True)
+class Spread:
+    """Combinations that every row is computed for: what each gives to inputs, and the registers of its columns."""
+
+    key: str
+    values: dict[int, dict[str, float]]
+    outputs: dict[int, dict[str, int]]
+
+    @property
+    def inputs(self) -> set[str]:
+        return {name for values in self.values.values() for name in values}
+
+    @property
+    def columns(self) -> list[str]:
+        return list(dict.fromkeys(name for outputs in self.outputs.values() for name in outputs))
+
+
+def lower(df: DataFrame, program: Program, outputs: dict[str, int], *, seed: int = 1, iteration: str = "iteration", spread: Spread | None = None) -> DataFrame:
     """Adds a double column per output to df, whose columns are the program's inputs.
 
     Only what the outputs rest on is computed. A register that is used more than once, that a wrapper
     would repeat, or that grew large is a column of a stage; stages are as few as the longest chain of
-    such registers. Draws are made from the iteration column, first of all.
+    such registers. Draws are made from the iteration column, first of all. With a spread a row then becomes
+    one for each combination, so that all of them share its draws; their outputs must be the same registers.
     """
     needed = program.needs(list(outputs.values()))
     kept = df.columns
@@ -63,6 +83,11 @@ def lower(df: DataFrame, program: Program, outputs: dict[str, int], *, seed: int
         own = {reg: R.drawn(program.ops[reg][1], [F.col(x) for x in uniforms[reg]], [F.lit(program.ops[a][1]) for a in program.arguments(reg)]) for reg in part if reg in known}
         if own:  # one column instead of two uniforms
             df = df.withColumns({f"__r{reg}": column for reg, column in own.items()}).drop(*(x for reg in own for x in uniforms[reg]))
+    if spread:
+        names = sorted(spread.inputs)
+        each = F.array(*(F.struct(F.lit(c).cast("int").alias(spread.key), *(F.lit(float(values[n])).alias(n) for n in names)) for c, values in spread.values.items()))
+        df = df.select("*", F.inline(each))
+        kept = [*kept, spread.key]
 
     columns: dict[int, Column] = {}
     stage: dict[int, int] = {}
@@ -108,11 +133,13 @@ def lower(df: DataFrame, program: Program, outputs: dict[str, int], *, seed: int
     return df.select(*(F.col(f"`{c}`") for c in kept if c not in outputs), *(columns[reg].cast("double").alias(name) for name, reg in outputs.items()))
 
 
-def evaluate(program: Program, outputs: dict[str, int], inputs: dict[str, np.ndarray], iterations: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
-    """The program over a batch, a whole array per operation."""
-    values: dict[int, np.ndarray] = {}
+def registers(program: Program, regs: list[int], inputs: dict[str, np.ndarray | float], iterations: np.ndarray, seed: int = 1, known: dict[int, np.ndarray] | None = None) -> dict[int, np.ndarray]:
+    """The values of registers over a batch, a whole array per operation; those already known are not computed again."""
+    values: dict[int, np.ndarray] = dict(known or {})
     with np.errstate(all="ignore"):
-        for reg in program.needs(list(outputs.values())):
+        for reg in program.needs(regs):
+            if reg in values:
+                continue
             op = program.ops[reg]
             c = [values[a] for a in program.arguments(reg)]
             if op[0] == "const":
@@ -125,18 +152,41 @@ def evaluate(program: Program, outputs: dict[str, int], inputs: dict[str, np.nda
                 values[reg] = np.where(c[0] != 0, c[1], c[2])
             else:
                 values[reg] = (UNARY if op[0] == "un" else BINARY)[op[1]](*c)
+    return values
+
+
+def evaluate(program: Program, outputs: dict[str, int], inputs: dict[str, np.ndarray], iterations: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
+    """The outputs of a program over a batch."""
+    values = registers(program, list(outputs.values()), inputs, iterations, seed)
     return {name: np.broadcast_to(values[reg], len(iterations)).astype(float) for name, reg in outputs.items()}
 
 
-def interpret(df: DataFrame, program: Program, outputs: dict[str, int], *, seed: int = 1, iteration: str = "iteration") -> DataFrame:
-    """As lower, but in Arrow batches: for programs too wide for generated code, and to check lower by."""
-    inputs = sorted({program.ops[r][1] for r in program.needs(list(outputs.values())) if program.ops[r][0] == "input"})
+def interpret(df: DataFrame, program: Program, outputs: dict[str, int], *, seed: int = 1, iteration: str = "iteration", spread: Spread | None = None) -> DataFrame:
+    """As lower, but in Arrow batches: for programs too wide for generated code, and to check lower by.
+
+    The columns of df stay, whatever their types. With a spread, what rests on no combination is computed once
+    for a batch, and each combination computes its own registers only; an output that it lacks is null.
+    """
+    spread = spread or Spread("", {0: {}}, {0: outputs})
+    names = spread.columns
+    every = sorted({reg for regs in spread.outputs.values() for reg in regs.values()})
+    moving = program.resting_on(lambda op: op[0] == "input" and op[1] in spread.inputs)
+    shared = [reg for reg in program.needs(every) if reg not in moving]
+    inputs = sorted({program.ops[r][1] for r in program.needs(every) if program.ops[r][0] == "input"} - spread.inputs)
+    kept = [f for f in df.schema if f.name not in names]
+    given = df.select(*(F.col(f"`{f.name}`") for f in kept), *(F.col(f"`{c}`").cast("double").alias(f"__in_{c}") for c in inputs), F.col(f"`{iteration}`").cast("long").alias("__at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # not through pandas, which would turn NaN into null
-            columns = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in inputs}
-            found = evaluate(program, outputs, columns, batch.column(iteration).to_numpy(zero_copy_only=False), seed)
-            yield pa.RecordBatch.from_arrays([batch.column(iteration), *(pa.array(found[name]) for name in outputs)], [iteration, *outputs])
-
-    schema = f"`{iteration}` long, " + ", ".join(f"`{name}` double" for name in outputs)
-    return df.select(F.col(iteration).cast("long").alias(iteration), *(F.col(c).cast("double").alias(c) for c in inputs if c != iteration)).mapInArrow(run, schema)
+            size = batch.num_rows
+            columns = {c: batch.column(f"__in_{c}").to_numpy(zero_copy_only=False).astype(float) for c in inputs}
+            at = batch.column("__at").to_numpy(zero_copy_only=False)
+            known = registers(program, shared, columns, at, seed)
+            for combination, regs in spread.outputs.items():
+                found = registers(program, list(regs.values()), columns | spread.values[combination], at, seed, known)
+                made = [pa.array(np.broadcast_to(found[regs[name]], size).astype(float)) if name in regs else pa.nulls(size, pa.float64()) for name in names]
+                label = [pa.array(np.full(size, combination, np.int32))] if spread.key else []
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *label, *made], [*(f.name for f in kept), *[spread.key][: len(label)], *names])
+
+    fields = [*kept, *([T.StructField(spread.key, T.IntegerType())] if spread.key else []), *(T.StructField(name, T.DoubleType()) for name in names)]
+    return given.mapInArrow(run, T.StructType(fields))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -108,10 +108,14 @@ class Program:
         op = self.ops[reg]
         return {"const": list, "input": list, "un": lambda: [op[2]], "bin": lambda: [op[2], op[3]], "sel": lambda: list(op[1:4]), "draw": lambda: list(op[3])}[op[0]]()
 
-    def uncertain(self) -> set[int]:
-        """Registers that rest on a draw."""
+    def resting_on(self, root: Callable[[tuple], bool]) -> set[int]:
+        """Registers that rest on an operation for which root is true, or are one."""
         found: set[int] = set()
         for reg, op in enumerate(self.ops):
-            if op[0] == "draw" or any(a in found for a in self.arguments(reg)):
+            if root(op) or any(a in found for a in self.arguments(reg)):
                 found.add(reg)
         return found
+
+    def uncertain(self, columns: Collection[str] = ()) -> set[int]:
+        """Registers that rest on a draw, or on one of these inputs, which differ from row to row."""
+        return self.resting_on(lambda op: op[0] == "draw" or (op[0] == "input" and op[1] in columns))
