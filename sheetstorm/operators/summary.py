@@ -296,3 +296,19 @@ def doubling_bins(samples: DataFrame, keys: list[str], most: int = 128) -> DataF
 def halve_bins(bins: DataFrame, keys: list[str]) -> DataFrame:
     """The same histogram with bins twice as wide."""
     return bins.groupBy(*keys, (F.col("width") * 2).alias("width"), F.floor(F.col("bin") / 2).alias("bin")).agg(F.sum("n").alias("n"))
+
+
+def sketch(samples: DataFrame, keys: list[str], accuracy: int = 400) -> DataFrame:
+    """keys, sketch: a quantile sketch (KLL) of the finite samples of each key, which needs no places and merges with others."""
+    finite = F.when(ieee.is_finite(F.col("value")), F.col("value"))
+    return samples.groupBy(*keys).agg(F.kll_sketch_agg_double(finite, accuracy).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches of parts to those of the whole."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
+    """keys and a column for each share (name -> share)."""
+    return sketches.select(*keys, *(F.kll_sketch_get_quantile_double("sketch", F.lit(p)).alias(name) for name, p in shares.items()))

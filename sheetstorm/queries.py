@@ -11,6 +11,7 @@ from .functions import calendar, ieee, normal
 from .functions.random import FACTORS, SHIFTS, hash32, stream_of
 from .operators import lookups, scenarios, summary
 from .operators.simulate import apply_formulas, cross_check, simulate
+from .operators.storage import kept
 from .plans.compiler import Series, Sheet
 from .sources.series import complete_periods, series_from
 from .sources.workbook import cells_table
@@ -74,7 +75,8 @@ def sql_bins(values: str) -> str:
     """CTEs from values(cell, iteration, value) to bins(cell, bin, low, high, n)."""
     log_bins, linear = summary.LOG, summary.LINEAR
     return f"""
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY cell) AS total FROM {values} WHERE iteration < {summary.FIRST_BATCH}),
+        opening AS (SELECT * FROM {values} QUALIFY row_number() OVER (PARTITION BY cell ORDER BY iteration, value) <= {summary.FIRST_BATCH}),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY cell) AS total FROM opening),
         places AS (SELECT cell, max(value) FILTER (place = least(total - 1, floor(0.5 * total))) AS centre,
                           max(value) FILTER (place = least(total - 1, floor(0.75 * total))) - max(value) FILTER (place = least(total - 1, floor(0.25 * total))) AS scale FROM ranked GROUP BY cell),
         binned AS (SELECT v.cell, centre, scale,
@@ -503,40 +505,43 @@ def progressive_comparison(spark, sf_dir):
     return compare_progressively(spark, COSTS, ["C1", "B1"], 20_000, seed=7, first=5000).drop("worst")
 
 
-# Scenarios
+# Scenarios: every order is an iteration
 
 SHOP = [
     Sheet("Inputs", {"A1": 10, "A2": 0.2, "A3": 4, "A4": "label", "A5": "=UNIFORM(50,150)"}, names={"Price": "A1", "Rate": "A2", "Cost": "A3", "Demand": "A5"}),
     Sheet("Results", {"A1": "=Price*Demand*(1-Rate)", "A2": "=A1-Cost*Demand", "A3": "=Price/Cost"}),
 ]
+SHOP_OF_ORDERS = [Sheet("Inputs", SHOP[0].cells | {"A5": "=o_totalprice/2000*UNIFORM(0.5,1.5)"}, names=SHOP[0].names), SHOP[1]]
 PLANS = scenarios.Scenario(
     "Plans",
     ("Results!A1", "Results!A2", "Results!A3"),
     (scenarios.Dimension("price", ("Inputs!A1",), (("low", (8,)), ("high", (12,)))), scenarios.Dimension("terms", ("Inputs!A2", "Inputs!A3"), (("same", (None, None)), ("better", (0.1, 3)), ("worse", (0.3, 5))))),
     samples=5000,
 )
-_SQL_DEMAND = f"ids AS (SELECT unnest(range(5000)) AS iteration), {sql_uniform('u', 'ids', 'iteration', stream_of('Inputs', 'A5', 0), 0, 'u')}, demand AS (SELECT 50 + 100 * u AS d FROM u)"
+_SQL_DEMAND = f"{sql_uniform('u', 'orders', 'o_orderkey', stream_of('Inputs', 'A5', 0), 0, 'u')}, demand AS (SELECT o_orderkey AS iteration, o_totalprice / 2000 * (0.5 + u) AS d FROM u)"
 _SQL_PLANS = f"""{_SQL_DEMAND}, plans(combination, plan_price, terms, price, rate, cost) AS (VALUES (0, NULL, NULL, 10, 0.2, 4), (1, 'low', 'same', 8, 0.2, 4), (2, 'low', 'better', 8, 0.1, 3), (3, 'low', 'worse', 8, 0.3, 5),
     (4, 'high', 'same', 12, 0.2, 4), (5, 'high', 'better', 12, 0.1, 3), (6, 'high', 'worse', 12, 0.3, 5)),
     runs AS (SELECT *, unnest(['Results_A1', 'Results_A2', 'Results_A3']) AS cell, unnest([price * d * (1 - rate), price * d * (1 - rate) - cost * d, price * 1.0 / cost]) AS v FROM plans, demand)"""
 
 
+def _plans(spark, sf_dir) -> DataFrame:
+    return scenarios.run_scenario(read(spark, sf_dir, "orders"), SHOP_OF_ORDERS, PLANS, iteration="o_orderkey")
+
+
 @query(f"WITH {_SQL_PLANS} SELECT combination, cell, CASE WHEN cell = 'Results_A3' THEN 'number' ELSE 'uncertain' END AS kind, count(*) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 4) AS sd FROM runs GROUP BY combination, cell")
 def scenario_run(spark, sf_dir):
-    found = scenarios.run_scenario(spark, SHOP, PLANS).select("combination", "cell", "kind", "count", F.round("mean", 6).alias("mean"), F.round("sd", 4).alias("sd"))
-    return found
+    return _plans(spark, sf_dir).select("combination", "cell", "kind", "count", F.round("mean", 6).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
 @query(f"""WITH {_SQL_PLANS} SELECT plan_price AS price, cell, count(*) AS count, round(avg(v), 6) AS mean, round(stddev_samp(v), 4) AS sd FROM runs WHERE terms <> 'worse' AND cell <> 'Results_A3' GROUP BY plan_price, cell""")
 def scenario_pivot(spark, sf_dir):
     """Mixtures over the terms that are not the worse ones, by price."""
-    results = scenarios.run_scenario(spark, SHOP, PLANS)
     choices = scenarios.choices_table(spark, PLANS).where("terms <> 'worse'")
-    pooled = scenarios.pivot(results.where("cell <> 'Results_A3'"), choices, ["price"])
+    pooled = scenarios.pivot(_plans(spark, sf_dir).where("cell <> 'Results_A3'"), choices, ["price"])
     return pooled.select("price", "cell", "count", F.round("mean", 6).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
-_SQL_POOLED = f"""values_ AS (SELECT combination || ' ' || cell AS cell, 0 AS iteration, v AS value FROM runs WHERE combination > 0 AND cell <> 'Results_A3'), {sql_bins('values_')}, {_SQL_QUANTILES}, {_SQL_WINDOWS},
+_SQL_POOLED = f"""values_ AS (SELECT combination || ' ' || cell AS cell, iteration, v AS value FROM runs WHERE combination > 0 AND cell <> 'Results_A3'), {sql_bins('values_')}, {_SQL_QUANTILES}, {_SQL_WINDOWS},
     parts AS (SELECT DISTINCT plan_price AS price, cell AS output, combination || ' ' || cell AS cell FROM runs WHERE combination > 0 AND cell <> 'Results_A3'),
     ranges AS (SELECT price, output, min(lo) AS lo, max(hi) AS hi FROM shown JOIN parts USING (cell) GROUP BY ALL),
     bars AS (SELECT price, output, lo + bar * (hi - lo) / 64 AS low, lo + (bar + 1) * (hi - lo) / 64 AS high, n FROM spread JOIN shown USING (cell) JOIN parts USING (cell)),
@@ -549,60 +554,100 @@ _SQL_POOLED = f"""values_ AS (SELECT combination || ' ' || cell AS cell, 0 AS it
           {", ".join(f"round(min_by(lo + bar * width + ({p} * total - before) / n * width, bar) FILTER (before + n >= {p} * total), 3) AS p{int(100 * p)}" for p in (0.1, 0.5, 0.9))} FROM counted_ GROUP BY price, output""")
 def scenario_quantiles(spark, sf_dir):
     """P10, P50 and P90 of the mixtures over all terms, from windows pooled on a common range."""
-    results = scenarios.run_scenario(spark, SHOP, PLANS, baseline=False).where("cell <> 'Results_A3'").join(scenarios.choices_table(spark, PLANS), "combination")
-    windows = scenarios.scenario_windows(spark, SHOP, PLANS, baseline=False)
-    pooled = scenarios.pool_windows(results, windows, ["price", "cell"])
-    return rounded(scenarios.window_quantiles(pooled, ["price", "cell"], {"p10": 0.1, "p50": 0.5, "p90": 0.9}), 3)
+    binned = scenarios.bin_scenario(read(spark, sf_dir, "orders"), SHOP_OF_ORDERS, PLANS, baseline=False, iteration="o_orderkey")
+    profiles = binned.profiles().where("cell <> 'Results_A3'").join(F.broadcast(scenarios.choices_table(spark, PLANS)), "combination")
+    return rounded(scenarios.window_quantiles(scenarios.pool_windows(profiles, ["price", "cell"]), ["price", "cell"], {"p10": 0.1, "p50": 0.5, "p90": 0.9}), 3)
 
 
 @query(f"""WITH {_SQL_PLANS}, m AS (SELECT terms, avg(v) FILTER (plan_price = 'low') AS low, avg(v) FILTER (plan_price = 'high') AS high FROM runs WHERE combination > 0 AND cell = 'Results_A2' GROUP BY terms)
           SELECT terms, round(low, 6) AS low, round(high, 6) AS high, CAST(row_number() OVER (ORDER BY high DESC) AS INTEGER) AS place FROM m""")
 def scenario_pivot_table(spark, sf_dir):
     """Terms down, prices across, in order of the mean at the high price."""
-    results = scenarios.run_scenario(spark, SHOP, PLANS).where("cell = 'Results_A2'")
-    pooled = scenarios.pivot(results, scenarios.choices_table(spark, PLANS), ["terms"], ["price"])
+    pooled = scenarios.pivot(_plans(spark, sf_dir).where("cell = 'Results_A2'"), scenarios.choices_table(spark, PLANS), ["terms"], ["price"])
     return rounded(scenarios.pivot_table(pooled, ["terms"], "price", ["low", "high"], by="high"))
 
 
+@query(f"""WITH {_SQL_PLANS} SELECT plan_price AS price, terms, cell, count(*) AS count, round(avg(v), 6) AS mean, round(coalesce(stddev_samp(v), 0), 4) AS sd,
+          CASE WHEN min(v) = max(v) THEN 'number' ELSE 'uncertain' END AS kind FROM runs WHERE combination > 0 GROUP BY GROUPING SETS ((plan_price, terms, cell), (plan_price, cell), (terms, cell), (cell))""")
+def scenario_lattice(spark, sf_dir):
+    """Every choice of shown and pooled dimensions in one aggregation of summaries; a pooled dimension is null."""
+    found = scenarios.lattice(_plans(spark, sf_dir), scenarios.choices_table(spark, PLANS), ["price", "terms"])
+    return found.select("price", "terms", "cell", "count", F.round("mean", 6).alias("mean"), F.round("sd", 4).alias("sd"), "kind")
+
+
 @query(f"""WITH {_SQL_PLANS}, m AS (SELECT combination, cell, avg(v) AS mean FROM runs GROUP BY combination, cell)
           SELECT a.combination, a.cell, round(a.mean - b.mean, 6) AS delta, round((a.mean - b.mean) / abs(b.mean), 6) AS percent FROM m a JOIN m b ON a.cell = b.cell AND b.combination = 0 WHERE a.combination > 0""")
 def scenario_deltas(spark, sf_dir):
-    return rounded(scenarios.against_baseline(scenarios.run_scenario(spark, SHOP, PLANS)).select("combination", "cell", "delta", "percent"))
+    return rounded(scenarios.against_baseline(_plans(spark, sf_dir)).select("combination", "cell", "delta", "percent"))
+
+
+MIXED = scenarios.Scenario(
+    "Mixed", ("Results!A2", "Inputs!A4", "Results!A9"), (scenarios.Dimension("demand", ("Inputs!A5", "Results!A2"), (("fixed", ("=o_totalprice/2000", None)), ("wide", ("=o_totalprice/2000*UNIFORM(0,2)", None)), ("gone", (None, "=NOTHING(1)")))),)
+)
+
+
+@query(f"""WITH {_SQL_DEMAND}, w AS (SELECT o_totalprice / 2000 AS fixed, o_totalprice / 2000 * (0.5 + u) AS d, o_totalprice / 2000 * (2 * u) AS wide FROM u),
+          runs AS (SELECT unnest([0, 1, 2]) AS combination, unnest([d, fixed, wide]) * (10 * (1 - 0.2) - 4) AS v FROM w)
+          SELECT combination, 'Results_A2' AS cell, CAST(NULL AS VARCHAR) AS code, 'uncertain' AS kind, count(*) AS count, round(avg(v), 5) AS mean, round(stddev_samp(v), 4) AS sd FROM runs GROUP BY combination
+          UNION ALL SELECT c, 'Results_A9', NULL, 'number', (SELECT count(*) FROM orders), 0.0, 0.0 FROM range(4) t(c) UNION ALL SELECT c, 'Inputs_A4', '#VALUE!', 'error', 0, 0.0, 0.0 FROM range(4) t(c) UNION ALL SELECT 3, 'Results_A2', '#NAME?', 'error', 0, 0.0, 0.0""")
+def scenario_formulas(spark, sf_dir):
+    """Alternatives that are formulas, an output that is a text, an empty one, and one that fails in a combination: one reading of the orders."""
+    found = scenarios.run_scenario(read(spark, sf_dir, "orders"), SHOP_OF_ORDERS, MIXED, iteration="o_orderkey")
+    return found.select("combination", "cell", "code", "kind", "count", F.round("mean", 5).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
 STEPS = scenarios.Sensitivity("Steps", ("Results!A1", "Results!A2"), ("Inputs!A1", "Inputs!A2", "Inputs!A5"), (0.1,), 5000)
-_SQL_STEPS = f"""{_SQL_DEMAND}, moves(input, p, r, f) AS (VALUES ('Inputs!A1', 1, 0, 0), ('Inputs!A2', 0, 1, 0), ('Inputs!A5', 0, 0, 1)),
-    runs AS (SELECT input, s, 10 * (1 + 0.1 * s * p) AS price, 0.2 * (1 + 0.1 * s * r) AS rate, d * (1 + 0.1 * s * f) AS d FROM moves, (VALUES (-1), (0), (1)) t(s), demand),
-    means AS (SELECT input, s, unnest(['Results_A1', 'Results_A2']) AS cell, unnest([avg(price * d * (1 - rate)), avg(price * d * (1 - rate) - 4 * d)]) AS v FROM runs GROUP BY input, s),
+_SQL_MOVES = f"""{_SQL_DEMAND}, moves(input, p, r, f) AS (VALUES ('Inputs!A1', 1, 0, 0), ('Inputs!A2', 0, 1, 0), ('Inputs!A5', 0, 0, 1)),
+    runs AS (SELECT iteration, input, s, 10 * (1 + 0.1 * s * p) AS price, 0.2 * (1 + 0.1 * s * r) AS rate, d * (1 + 0.1 * s * f) AS d FROM moves, (VALUES (-1), (0), (1)) t(s), demand)"""
+_SQL_STEPS = f"""{_SQL_MOVES}, means AS (SELECT input, s, unnest(['Results_A1', 'Results_A2']) AS cell, unnest([avg(price * d * (1 - rate)), avg(price * d * (1 - rate) - 4 * d)]) AS v FROM runs GROUP BY input, s),
     effects AS (SELECT input, cell, max(v) FILTER (s = 0) AS base, max(v) FILTER (s = -1) AS down, max(v) FILTER (s = 1) AS up FROM means GROUP BY input, cell)"""
 
 
-def _effects(spark) -> DataFrame:
-    return scenarios.effects(scenarios.run_scenario(spark, SHOP, STEPS), scenarios.choices_table(spark, STEPS))
+def _effects(spark, sf_dir) -> DataFrame:
+    return scenarios.effects(scenarios.run_scenario(read(spark, sf_dir, "orders"), SHOP_OF_ORDERS, STEPS, iteration="o_orderkey"), scenarios.choices_table(spark, STEPS))
 
 
-@query(f"WITH {_SQL_STEPS} SELECT input, cell, round((up - down) / 2, 6) AS delta, round((up - down) / 2 / abs(base), 6) AS percent, round((up - down) / 2 / 0.1 / base, 6) AS elasticity, CAST(row_number() OVER (PARTITION BY cell ORDER BY round(abs((up - down) / 2 / 0.1 / base), 9) DESC, input) AS INTEGER) AS rank FROM effects")
+@query(f"WITH {_SQL_STEPS} SELECT input, cell, round((up - down) / 2, 6) AS delta, round((up - down) / 2 / abs(base), 6) AS percent, round((up - down) / 2 / 0.1 / base, 6) AS elasticity, abs((up - base) - (base - down)) > 0.1 * greatest(abs(up - base), abs(base - down)) AS lopsided, CAST(row_number() OVER (PARTITION BY cell ORDER BY round(abs((up - down) / 2 / 0.1 / base), 9) DESC, input) AS INTEGER) AS rank FROM effects")
 def sensitivity_matrix(spark, sf_dir):
-    found = scenarios.measures(_effects(spark)).withColumn("elasticity", F.round("elasticity", 9))
-    return rounded(scenarios.matrix_order(found).select("input", "cell", "delta", "percent", "elasticity", "rank"))
+    found = scenarios.measures(_effects(spark, sf_dir)).withColumn("elasticity", F.round("elasticity", 9))
+    return rounded(scenarios.matrix_order(found).select("input", "cell", "delta", "percent", "elasticity", "lopsided", "rank"))
 
 
 @query(f"""WITH {_SQL_STEPS}, m AS (SELECT input, cell, round((up - down) / 2 / abs(base), 9) AS percent FROM effects)
           SELECT input, cell, round(percent, 6) AS percent, CAST(row_number() OVER (PARTITION BY input ORDER BY abs(percent) NULLS LAST, cell) AS INTEGER) AS rank FROM m""")
 def sensitivity_order(spark, sf_dir):
     """The outputs of each input, the least effect first."""
-    found = scenarios.measures(_effects(spark)).withColumn("percent", F.round("percent", 9))
+    found = scenarios.measures(_effects(spark, sf_dir)).withColumn("percent", F.round("percent", 9))
     return rounded(scenarios.matrix_order(found, "percent", by="input", descending=False).select("input", "cell", "percent", "rank"))
 
 
 @query(f"WITH {_SQL_STEPS} SELECT input, cell, round(down - base, 6) AS low, round(up - base, 6) AS high FROM effects")
 def sensitivity_tornado(spark, sf_dir):
-    return rounded(scenarios.tornado(_effects(spark)).select("input", "cell", "low", "high"))
+    return rounded(scenarios.tornado(_effects(spark, sf_dir)).select("input", "cell", "low", "high"))
 
 
 @query(f"WITH {_SQL_STEPS}, points AS (SELECT input, cell, unnest([-0.1, 0, 0.1]) AS x, unnest([(down - base) / abs(base), 0, (up - base) / abs(base)]) AS y FROM effects) SELECT input, cell, CAST(x AS DOUBLE) AS x, round(y, 6) AS y FROM points")
 def sensitivity_spider(spark, sf_dir):
-    return rounded(scenarios.spider(_effects(spark)))
+    return rounded(scenarios.spider(_effects(spark, sf_dir)))
+
+
+_SQL_SPREAD = f"""{_SQL_MOVES}, values_ AS (SELECT input || s AS cell, iteration, price * d * (1 - rate) - 4 * d AS value FROM runs), {sql_bins('values_')}, {_SQL_QUANTILES},
+    each AS (SELECT input, s, round(max(value) FILTER (share = 0.1), 4) AS p10, round(max(value) FILTER (share = 0.9), 4) AS p90 FROM quantiles JOIN (SELECT DISTINCT input, s, input || s AS cell FROM runs) USING (cell) GROUP BY input, s)"""
+
+
+@query(f"""WITH {_SQL_SPREAD} SELECT input, statistic, max(v) FILTER (s = 0) AS base, max(v) FILTER (s = -1) AS down, max(v) FILTER (s = 1) AS up, true AS near
+          FROM (SELECT input, s, unnest(['p10', 'p90']) AS statistic, unnest([p10, p90]) AS v FROM each) GROUP BY input, statistic""")
+def sensitivity_spread(spark, sf_dir):
+    """P10 and P90 as statistics of effects, from bins; sketches that merge over the combinations hold them to two hundredths of rank."""
+    plan, orders = scenarios.Sensitivity("Spread", ("Results!A2",), STEPS.inputs, STEPS.steps), read(spark, sf_dir, "orders")
+    binned = scenarios.bin_scenario(orders, SHOP_OF_ORDERS, plan, iteration="o_orderkey")
+    results = binned.results({"p10": 0.1, "p90": 0.9})
+    sketches = summary.sketch(summary.long_samples(binned.prepared.samples, binned.prepared.outputs, ["combination"]), scenarios.RESULT)
+    bounds = summary.sketch_quantiles(sketches, scenarios.RESULT, {"a": 0.08, "b": 0.12, "c": 0.88, "d": 0.92})
+    near = results.join(bounds, scenarios.RESULT).agg(F.every(F.col("p10").between(F.col("a"), F.col("b")) & F.col("p90").between(F.col("c"), F.col("d"))).alias("near"))
+    results = kept(results.select("combination", "cell", "kind", *(F.round(c, 4).alias(c) for c in ("p10", "p90"))))
+    each = [scenarios.effects(results, scenarios.choices_table(spark, plan), c).select("input", F.lit(c).alias("statistic"), "base", "down", "up") for c in ("p10", "p90")]
+    return each[0].unionByName(each[1]).withColumn("near", F.lit(near.first().near))
 
 
 # Workbooks
