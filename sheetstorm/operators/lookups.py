@@ -27,20 +27,21 @@ def exact_lookup(rows: DataFrame, table: DataFrame, key: str, table_key: str, va
 
 
 def nearest_lookup(
-    rows: DataFrame, table: DataFrame, key: str, table_key: str, value: str, to: str, *, descending: bool = False, broadcast_rows: int = BROADCAST_ROWS
+    rows: DataFrame, table: DataFrame, key: str, table_key: str, value: str, to: str, *, descending: bool = False, by: tuple[str, ...] = (), broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """The value at the last table row (by `position`) whose key is at most the row's key (or at least, if descending).
+    """The value at the last table row (by `position`) whose key is at most the row's key (or at least, if descending), among those that share the columns `by`.
 
     Of the table rows up to a key the one with the greatest position counts, sorted table or not. A table of
-    up to broadcast_rows rows becomes steps that are broadcast and joined by their interval. A larger one
-    is sorted together with the rows, range by range: a running maximum does the join, and what lies in
-    earlier ranges reaches a range as one row.
+    up to broadcast_rows rows becomes steps that are broadcast and joined by their interval. A larger one, or
+    one that is looked up by columns, is sorted together with the rows, range by range: a running maximum does
+    the join, and what lies in earlier ranges reaches a range as one row. Ranges part a series that holds many
+    rows, and the rows of one key. A null in `by` equals nothing; such rows get NaN.
     """
     sign = -1 if descending else 1
-    steps = table.select((F.col(table_key).cast("double") * sign).alias("__key"), F.struct("position", F.col(value).cast("double").alias("value")).alias("__step")).where("__key is not null and not isnan(__key)")
+    steps = table.select(*by, (F.col(table_key).cast("double") * sign).alias("__key"), F.struct("position", F.col(value).cast("double").alias("value")).alias("__step")).where("__key is not null and not isnan(__key)")
     keyed = rows.withColumn("__row_key", F.col(key).cast("double") * sign)
-    if table.limit(broadcast_rows + 1).count() > broadcast_rows:
-        return _nearest_by_sorting(keyed, steps, to)
+    if by or table.limit(broadcast_rows + 1).count() > broadcast_rows:
+        return _nearest_by_sorting(keyed, steps, to, by)
     best = steps.groupBy("__key").agg(F.max("__step").alias("__step"))
     order = Window.orderBy("__key")  # over at most broadcast_rows rows
     grid = best.withColumn("__until", F.lead("__key").over(order)).withColumn("__step", F.max("__step").over(order))
@@ -48,19 +49,26 @@ def nearest_lookup(
     return keyed.join(F.broadcast(grid), inside, "left").withColumn(to, F.coalesce("__step.value", ieee.nan())).drop("__key", "__until", "__step", "__row_key")
 
 
-def _nearest_by_sorting(keyed: DataFrame, steps: DataFrame, to: str) -> DataFrame:
+def _nearest_by_sorting(keyed: DataFrame, steps: DataFrame, to: str, by: tuple[str, ...] = ()) -> DataFrame:
     columns = [c for c in keyed.columns if c != "__row_key"]
+    own = [f"__by{i}" for i in range(len(by))]
     usable = F.col("__row_key").isNotNull() & ~F.isnan("__row_key")
-    asked = keyed.where(usable).select(F.col("__row_key").alias("__key"), F.struct(*columns).alias("__row"))
-    both = steps.unionByName(asked, allowMissingColumns=True).repartitionByRange(F.col("__key"))
+    for c in by:
+        usable = usable & F.col(c).isNotNull()
+    kinds = [(F.col(c).alias(o)) for c, o in zip(by, own, strict=True)]
+    # Rows of one key are dealt out by a hash after the table's rows, which come first: so that no range holds all of a hot key.
+    asked = keyed.where(usable).select(*kinds, F.col("__row_key").alias("__key"), F.struct(*columns).alias("__row"), F.abs(F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in columns[:4]))).alias("__salt"))
+    given = steps.select(*kinds, "__key", "__step", F.lit(-1).cast("long").alias("__salt"))
+    both = given.unionByName(asked, allowMissingColumns=True).repartitionByRange(*own, F.col("__key"), F.col("__salt"))
     dealt = kept(both.withColumn("__part", F.spark_partition_id()))
-    # A table row comes before the rows with an equal key.
-    running = Window.partitionBy("__part").orderBy("__key", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    parts = dealt.groupBy("__part").agg(F.max("__step").alias("__last"))  # a row per partition
-    earlier = parts.select("__part", F.max("__last").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)).alias("__earlier"))
-    found = dealt.withColumn("__found", F.max("__step").over(running)).where(F.col("__row").isNotNull()).join(F.broadcast(earlier), "__part")
+    running = Window.partitionBy("__part", *own).orderBy("__key", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    parts = dealt.groupBy("__part", *own).agg(F.max("__step").alias("__last"))
+    before = Window.partitionBy(*own).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # Ranges are in order: only the first group of a range goes on from an earlier one, so that there are as many rows as ranges.
+    earlier = parts.select("__part", *own, F.max("__last").over(before).alias("__earlier")).where("__earlier is not null")
+    found = dealt.withColumn("__found", F.max("__step").over(running)).where(F.col("__row").isNotNull()).join(F.broadcast(earlier), ["__part", *own], "left")
     best = found.select("__row.*", F.coalesce(F.greatest("__found", "__earlier")["value"], ieee.nan()).alias(to))
-    return best.unionByName(keyed.where(~usable | F.col("__row_key").isNull()).select(*columns, ieee.nan().alias(to)))
+    return best.unionByName(keyed.where(~F.coalesce(usable, F.lit(False))).select(*columns, ieee.nan().alias(to)))
 
 
 def at_position(values: list[float | None], position: Column) -> Column:
@@ -126,6 +134,41 @@ def period_range(rows: DataFrame, first: str, last: str, to: str = "period") ->
     return rows.withColumn(to, F.explode(F.sequence(F.col(first), F.col(last))))
 
 
+def running_totals(series: DataFrame) -> DataFrame:
+    """series, period, upto, before, odd_upto, odd_before for every period from a series' first to its last.
+
+    upto and before are sums of the finite values up to a period and before it; odd counts those that are not
+    finite. An empty entry, or a period without a row, is 0. The index of every range sum: see range_totals.
+    """
+    span = series.groupBy("series").agg(F.min("period").alias("a"), F.max("period").alias("b"))
+    every = span.select("series", F.explode(F.sequence("a", "b")).alias("period"))
+    filled = every.join(fill_series(series, "flow"), ["series", "period"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    order = Window.partitionBy("series").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
+    finite = ieee.is_finite(F.col("value"))
+    sound, odd = F.when(finite, F.col("value")).otherwise(0.0), (~finite).cast("long")
+    with_sums = filled.withColumns({"upto": F.sum(sound).over(order), "odd_upto": F.sum(odd).over(order)})
+    return with_sums.withColumns({"before": F.col("upto") - sound, "odd_before": F.col("odd_upto") - odd}).drop("value")
+
+
+def range_totals(rows: DataFrame, series: DataFrame, first: str, last: str, *, key: str = "series", to: str = "total", periods: str = "periods") -> DataFrame:
+    """The sum of a flow over the periods from first to last, both included, and how many of them the series has.
+
+    Two lookups in running_totals, one at each end, however long the range: no row becomes one per period. A
+    range outside its series sums to 0 over 0 periods; one that holds a value that is not finite is NaN.
+    """
+    totals = kept(running_totals(series))
+    spans = totals.groupBy(F.col("series").alias("__series")).agg(F.min("period").alias("__lowest"), F.max("period").alias("__highest"))
+    a, b = F.greatest(F.col(first), F.col("__lowest")), F.least(F.col(last), F.col("__highest"))
+    asked = rows.join(spans, F.col(key) == F.col("__series"), "left").withColumns({"__a": a, "__b": b}).drop("__series")
+    at = lambda name, *columns: totals.select(F.col("series").alias(f"__s_{name}"), F.col("period").alias(f"__p_{name}"), *(F.col(x).alias(f"__{x}") for x in columns))
+    low, high = at("a", "before", "odd_before"), at("b", "upto", "odd_upto")
+    both = asked.join(low, (F.col(key) == F.col("__s_a")) & (F.col("__a") == F.col("__p_a")), "left").join(high, (F.col(key) == F.col("__s_b")) & (F.col("__b") == F.col("__p_b")), "left")
+    inside = F.coalesce(F.col("__a") <= F.col("__b"), F.lit(False))
+    total = F.when(inside & (F.col("__odd_upto") > F.col("__odd_before")), ieee.nan()).when(inside, F.col("__upto") - F.col("__before")).otherwise(0.0)
+    found = both.withColumns({to: total, periods: F.when(inside, F.col("__b") - F.col("__a") + 1).otherwise(0).cast("long")})
+    return found.drop(*(f"__{c}" for c in ("a", "b", "lowest", "highest", "s_a", "p_a", "s_b", "p_b", "before", "odd_before", "upto", "odd_upto")))
+
+
 def repeated_periods(series: DataFrame) -> DataFrame:
     """Periods that more than one row has, with those rows in order."""
     return series.groupBy("series", "period").agg(F.sort_array(F.collect_list("row")).alias("rows")).where(F.size("rows") > 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,11 +71,51 @@ def apply_formulas(df: DataFrame, formulas: dict[str, str], *, inputs: dict[str,
     return run_compiled(df, compiled, {name: f"Formulas!A{i}" for i, name in enumerate(formulas, 1)}, seed=seed, iteration=iteration)
 
 
-def cross_check(spark: SparkSession, model, outputs: list[str], count: int, *, seed: int = 1, tolerance: float = 1e-4, share: float = 0.001) -> DataFrame:
+@dataclass(frozen=True)
+class Simulation:
+    """A model over numbered iterations (rows: a session) or over the rows of a table, whose columns are names; any range of ids can be run."""
+
+    rows: SparkSession | DataFrame
+    compiled: Compiled
+    outputs: dict[str, str]  # column -> cell
+    count: int | None = None
+    seed: int = 1
+    iteration: str = "iteration"
+
+    @property
+    def session(self) -> SparkSession:
+        return self.rows.sparkSession if isinstance(self.rows, DataFrame) else self.rows
+
+    def span(self) -> tuple[int, int]:
+        """The first id and the one after the last."""
+        if not isinstance(self.rows, DataFrame):
+            return 0, self.count
+        low, high = self.rows.agg(F.min(self.iteration), F.max(self.iteration)).first()
+        return (0, 0) if low is None else (int(low), int(high) + 1)
+
+    def samples(self, start: int, end: int, engine: str = "auto") -> DataFrame:
+        """iteration and a column per output of the ids from start to before end; in a table, a filter that its scan can use."""
+        if isinstance(self.rows, DataFrame):
+            own = self.rows.where((F.col(self.iteration) >= start) & (F.col(self.iteration) < end))
+            used = {op[1] for op in self.compiled.program.ops if op[0] == "input"} - {self.iteration, "iteration"}
+            own = own.select(F.col(self.iteration).cast("long").alias("iteration"), *(F.col(f"`{c}`") for c in sorted(used)))
+        else:
+            own = iterations(self.rows, end - start, start)
+        return run_compiled(own, self.compiled, self.outputs, seed=self.seed, engine=engine).select("iteration", *(F.col(f"`{c}`") for c in self.outputs))
+
+
+def simulation(rows: SparkSession | DataFrame, model, outputs: list[str], count: int | None = None, *, seed: int = 1, iteration: str = "iteration") -> Simulation:
+    """Compiles a model. A count belongs to numbered iterations; a table runs all of its rows."""
+    columns = {c: None for c in rows.columns} if isinstance(rows, DataFrame) else {}
+    compiled = compile_sheets(as_sheets(model), {"iteration" if c == iteration else c: None for c in columns} | columns)
+    return Simulation(rows, compiled, {column_name(o): o for o in outputs}, count, seed, iteration)
+
+
+def cross_check(rows: SparkSession | DataFrame, model, outputs: list[str], count: int | None = None, *, seed: int = 1, iteration: str = "iteration", tolerance: float = 1e-4, share: float = 0.001) -> DataFrame:
     """output, compared, worst, mismatches, allowed, agrees: columns against batches, joined by iteration."""
-    a = simulate(spark, model, outputs, count, seed=seed, engine="columns")
-    b = simulate(spark, model, outputs, count, seed=seed, engine="batches")
-    return compare_samples(a, b, [column_name(o) for o in outputs], tolerance=tolerance, share=share)
+    made = simulation(rows, model, outputs, count, seed=seed, iteration=iteration)
+    a, b = (made.samples(*made.span(), engine=e) for e in ("columns", "batches"))
+    return compare_samples(a, b, list(made.outputs), tolerance=tolerance, share=share)
 
 
 def compare_samples(a: DataFrame, b: DataFrame, outputs: list[str], *, key: str = "iteration", tolerance: float = 1e-4, share: float = 0.001) -> DataFrame:

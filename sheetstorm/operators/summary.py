@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,18 +137,19 @@ def bin_table(samples: DataFrame, keys: list[str], places: DataFrame | None = No
     """
     own = places is None
     places = kept(place_bins(samples, keys)) if own else places
-    table = kept(_binned(with_places(samples, places, keys), keys))
+    table = kept(binned(with_places(samples, places, keys), keys))
     if own and not table.where("scale is null and count > nans + infinities").isEmpty():
         late = place_late(with_places(samples, places, keys).where("scale is null"), keys)
         places = kept(places.where("scale is not null").unionByName(late))
-        table = kept(_binned(with_places(samples, places, keys), keys))
+        table = kept(binned(with_places(samples, places, keys), keys))
     return table
 
 
-def _binned(placed: DataFrame, keys: list[str]) -> DataFrame:
+def binned(placed: DataFrame, keys: list[str], moments_only: bool = False) -> DataFrame:
+    """The bin table of samples that have their centre and scale; without bins, a row per key holds the moments of all of them."""
     value = F.col("value")
     finite = F.when(ieee.is_finite(value), value)
-    bins = F.when(ieee.is_finite(value), bin_of(value, F.col("centre"), F.col("scale")))
+    bins = F.lit(None).cast("int") if moments_only else F.when(ieee.is_finite(value), bin_of(value, F.col("centre"), F.col("scale")))
     return placed.groupBy(*keys, "centre", "scale", bins.alias("bin")).agg(
         F.count(F.lit(1)).alias("count"), F.count(finite).cast("double").alias("n"), F.coalesce(F.avg(finite), F.lit(0.0)).alias("mean"), F.coalesce(F.var_pop(finite) * F.count(finite), F.lit(0.0)).alias("m2"),
         F.count_if(F.isnan(value)).alias("nans"), F.count_if(F.abs(value) == ieee.INF).alias("infinities"), F.min("iteration").alias("first_iteration"), F.min_by("value", "iteration").alias("first"),
@@ -280,17 +284,56 @@ def display(bins: DataFrame, keys: list[str], bars: int = BARS) -> DataFrame:
     return shown.withColumn("height", F.col("n") / F.max("n").over(Window.partitionBy(*keys))).select(*keys, "lo", "hi", "below", "above", "bar", "n", "height")
 
 
+def growing_bins(samples: DataFrame, keys: list[str], most: int = 128) -> DataFrame:
+    """keys, width, bin, n, low, high: histograms of parts of the samples (value), each on the narrowest grid that holds its part.
+
+    A grid goes through zero, and its width is the least power of two that needs at most `most` bins. Parts are
+    Arrow batches, so that the samples are read once and no range is looked for first; parts merge in merge_growing.
+    """
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame[np.isfinite(frame["value"])]
+            for key, own in frame.groupby(keys, dropna=False, sort=False):
+                values = own["value"].to_numpy()
+                low, high = values.min(), values.max()
+                width = _narrowest(low, high, most)
+                bins, n = np.unique(np.floor(values / width), return_counts=True)
+                yield pd.DataFrame({k: [x] * len(bins) for k, x in zip(keys, key, strict=True)} | {"width": width, "bin": bins.astype(np.int64), "n": n, "low": low, "high": high})
+
+    given = samples.select(*keys, F.coalesce(F.col("value").cast("double"), F.lit(ieee.NAN)).alias("value"))
+    kinds = "".join(f"`{k}` {given.schema[k].dataType.simpleString()}, " for k in keys)
+    return given.mapInPandas(count, f"{kinds}width double, bin long, n long, low double, high double")
+
+
+def _narrowest(low: float, high: float, most: int) -> float:
+    fits = lambda e: np.floor(high / 2.0**e) - np.floor(low / 2.0**e) < most
+    e = math.ceil(math.log2(max((high - low) / most, 2.0**-60)))
+    return 2.0 ** (e - 1 if fits(e - 1) else e if fits(e) else e + 1)
+
+
+def merge_growing(parts: DataFrame, keys: list[str], most: int = 128) -> DataFrame:
+    """Histograms of parts (growing_bins, or a merged one) to that of the whole, in the same form.
+
+    The whole's grid is at least as wide as any part's, and a power of two: a part's bins halve exactly until
+    they are that wide, whatever the order in which parts meet. Only bins travel, at most `most` of a part.
+    """
+    every = Window.partitionBy(*keys)
+    both = parts.withColumns({"__low": F.min("low").over(every), "__high": F.max("high").over(every)})
+    fits = lambda e: F.floor(F.col("__high") / F.pow(F.lit(2.0), e)) - F.floor(F.col("__low") / F.pow(F.lit(2.0), e)) < most
+    guess = F.ceil(F.log2(F.greatest((F.col("__high") - F.col("__low")) / most, F.lit(2.0**-60)))).cast("double")
+    width = F.pow(F.lit(2.0), F.when(fits(guess - 1), guess - 1).when(fits(guess), guess).otherwise(guess + 1))
+    wide = both.withColumn("__width", width)
+    place = F.floor(F.col("bin") * (F.col("width") / F.col("__width")))
+    return wide.groupBy(*keys, F.col("__width").alias("width"), place.alias("bin"), "__low", "__high").agg(F.sum("n").alias("n")).select(*keys, "width", "bin", "n", F.col("__low").alias("low"), F.col("__high").alias("high"))
+
+
 def doubling_bins(samples: DataFrame, keys: list[str], most: int = 128) -> DataFrame:
     """keys, width, bin, n on a grid through zero whose width is the least power of two that needs at most `most` bins.
 
     Merging neighbours in pairs doubles the width exactly, so that batches of any split give the same bins.
     """
-    finite = samples.select(*keys, F.when(ieee.is_finite(F.col("value")), F.col("value")).alias("value"))
-    span = finite.groupBy(*keys).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    fits = lambda e: F.floor(F.col("high") / F.pow(F.lit(2.0), e)) - F.floor(F.col("low") / F.pow(F.lit(2.0), e)) < most
-    guess = F.ceil(F.log2(F.greatest((F.col("high") - F.col("low")) / most, F.lit(2.0**-60)))).cast("double")
-    width = F.pow(F.lit(2.0), F.when(fits(guess - 1), guess - 1).when(fits(guess), guess).otherwise(guess + 1))
-    return finite.join(span.select(*keys, width.alias("width")), keys).groupBy(*keys, "width", F.floor(F.col("value") / F.col("width")).alias("bin")).agg(F.count("value").alias("n")).where("n > 0")
+    return merge_growing(growing_bins(samples, keys, most), keys, most).drop("low", "high")
 
 
 def halve_bins(bins: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from .functions import calendar, ieee, normal
 from .functions.random import FACTORS, SHIFTS, hash32, stream_of
-from .operators import lookups, scenarios, summary
-from .operators.simulate import apply_formulas, cross_check, simulate
-from .operators.storage import kept
+from .operators import dependencies, lookups, scenarios, summary
+from .operators.simulate import apply_formulas, cross_check, simulation
+from .operators.storage import fresh_path, kept
 from .plans.compiler import Series, Sheet
 from .sources.series import complete_periods, series_from
-from .sources.workbook import cells_table
-from .streaming.progressive import compare_progressively, histogram_progressively, run_progressively
+from .sources.workbook import cells_from
+from .streaming.accumulated import accumulate, accumulated
+from .streaming.progressive import compare_progressively, histogram_progressively, run_in_phases, run_progressively
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -336,6 +337,26 @@ def series_period_range(spark, sf_dir):
     return each.groupBy("n_nationkey", (F.col("b") - F.col("a") + 1).cast("int").alias("length_")).agg(F.round(F.sum("v"), 2).alias("total"))
 
 
+@query(f"""WITH {_SQL_MONTHS}, asked AS (SELECT o_orderkey, o_orderpriority AS series, {SQL_MONTH.format("o_orderdate")} AS a, {SQL_MONTH.format("o_orderdate")} + o_custkey % 24 AS b FROM orders)
+          SELECT o_orderkey, round(coalesce(sum(value), 0), 2) AS total, count(m.period) AS periods FROM asked LEFT JOIN months m ON m.series = asked.series AND m.period BETWEEN a AND b GROUP BY o_orderkey""")
+def series_range_totals(spark, sf_dir):
+    """The revenue of each order's priority over up to two years from its month, by running totals."""
+    month = calendar.period_of(F.col("o_orderdate"), "month")
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("series"), month.alias("a"), (month + F.col("o_custkey") % 24).alias("b"))
+    return lookups.range_totals(rows, _months(spark, sf_dir), "a", "b").select("o_orderkey", F.round("total", 2).alias("total"), "periods")
+
+
+@query("""WITH t AS (SELECT o_custkey AS k, o_orderkey AS position, epoch(o_orderdate) AS low, o_totalprice AS v FROM orders), e AS (SELECT event_id, user_id, 694224000 + (event_id * 7919) % 200000000 AS moment FROM events)
+          SELECT event_id, round(coalesce((SELECT max_by(v, position) FROM t WHERE k = user_id AND low <= moment), -1), 2) AS at_most, round(coalesce((SELECT max_by(v, position) FROM t WHERE k = user_id AND low >= moment), -1), 2) AS at_least FROM e""")
+def lookup_nearest_by_key(spark, sf_dir):
+    """Events to the orders of the customer with the user's number, at or before a time and at or after it."""
+    table = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("position"), F.col("o_orderdate").cast("timestamp").cast("double").alias("low"), F.col("o_totalprice").alias("v"))
+    rows = read(spark, sf_dir, "events").select("event_id", "user_id", (F.lit(694224000) + (F.col("event_id") * 7919) % 200000000).alias("at"))
+    for name, descending in (("at_most", False), ("at_least", True)):
+        rows = lookups.nearest_lookup(rows, table, "at", "low", "v", name, descending=descending, by=("user_id",))
+    return rows.select("event_id", *(F.when(F.isnan(c), -1.0).otherwise(F.round(c, 2)).alias(c) for c in ("at_most", "at_least")))
+
+
 @query("""WITH r AS (SELECT user_id AS series, CAST(event_id AS INTEGER) AS row, CAST(year(ts) * 12 + month(ts) - 1 + event_id % 3 AS BIGINT) AS period FROM events),
           o AS (SELECT *, lag(period) OVER (PARTITION BY series ORDER BY row) AS before, row_number() OVER (PARTITION BY series ORDER BY period, row) AS place FROM r)
           SELECT series, count(*) FILTER (before > period) AS falls, sum(place * row) AS order_, (SELECT count(*) FROM (SELECT 1 FROM r x WHERE x.series = o.series GROUP BY period HAVING count(*) > 1)) AS repeated,
@@ -375,41 +396,63 @@ def draw_normal(spark, sf_dir):
 # Simulation and summaries
 
 COSTS = {"A1": "=UNIFORM(8,12)", "B1": "=TRIANGULAR(100,150,300)", "C1": "=A1*B1", "D1": 3, "E1": "=D1*2"}
-_SQL_COSTS = f"""ids AS (SELECT unnest(range(20000)) AS iteration), {sql_uniform("u", "ids", "iteration", stream_of("Sheet1", "A1", 0), 0, "u", 7)}, {sql_uniform("t", "u", "iteration", stream_of("Sheet1", "B1", 0), 0, "t", 7)},
-    made AS (SELECT iteration, 8 + 4 * u AS price, CASE WHEN t * 200 < 50 THEN 100 + sqrt(t * 200 * 50) ELSE 300 - sqrt((1 - t) * 200 * 150) END AS amount FROM t),
-    samples AS (SELECT iteration, 'C1' AS cell, price * amount AS value FROM made UNION ALL SELECT iteration, 'A1', price FROM made UNION ALL SELECT iteration, 'E1', 6.0 FROM made)"""
+#: The same with every order as an iteration: its price is a name in the formulas.
+COSTS_OF_ORDERS = COSTS | {"C1": "=A1*B1*o_totalprice/100000"}
+_SQL_COSTS = f"""{sql_uniform("u", "orders", "o_orderkey", stream_of("Sheet1", "A1", 0), 0, "u", 7)}, {sql_uniform("t", "u", "o_orderkey", stream_of("Sheet1", "B1", 0), 0, "t", 7)},
+    made AS (SELECT o_orderkey AS iteration, o_totalprice, 8 + 4 * u AS price, CASE WHEN t * 200 < 50 THEN 100 + sqrt(t * 200 * 50) ELSE 300 - sqrt((1 - t) * 200 * 150) END AS amount FROM t),
+    samples AS (SELECT iteration, 'C1' AS cell, price * amount * o_totalprice / 100000 AS value FROM made UNION ALL SELECT iteration, 'A1', price FROM made UNION ALL SELECT iteration, 'E1', 6.0 FROM made UNION ALL SELECT iteration, 'B1', amount FROM made)"""
+
+
+def _costs(spark, sf_dir, outputs: list[str]):
+    return simulation(read(spark, sf_dir, "orders"), COSTS_OF_ORDERS, outputs, seed=7, iteration="o_orderkey")
 
 
-@query(f"WITH {_SQL_COSTS} SELECT cell, count(*) AS count, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, round(min_by(value, iteration), 6) AS first FROM samples GROUP BY cell")
+def _samples(made) -> DataFrame:
+    return made.samples(*made.span())
+
+
+@query(f"WITH {_SQL_COSTS} SELECT cell, count(*) AS count, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, round(min_by(value, iteration), 6) AS first FROM samples WHERE cell <> 'B1' GROUP BY cell")
 def simulate_summary(spark, sf_dir):
-    found = summary.summarize(simulate(spark, COSTS, ["C1", "A1", "E1"], 20_000, seed=7), ["C1", "A1", "E1"])
-    return rounded(found.select("cell", "count", "mean", "sd", "first"))
+    outputs = ["C1", "A1", "E1"]
+    return rounded(summary.summarize(_samples(_costs(spark, sf_dir, outputs)), outputs).select("cell", "count", "mean", "sd", "first"))
 
 
 @query(ORACLES["simulate_summary"])
 def simulate_progressively(spark, sf_dir):
-    """Batches of 1,000, 2,000, ... iterations give the summaries of one run."""
-    return rounded(run_progressively(spark, COSTS, ["C1", "A1", "E1"], 20_000, seed=7, first=1000).select("cell", "count", "mean", "sd", "first"))
+    """Batches of 1,000, 2,000, ... ids, one queued while one runs, give the summaries of one run."""
+    found = run_progressively(read(spark, sf_dir, "orders"), COSTS_OF_ORDERS, ["C1", "A1", "E1"], seed=7, first=1000, iteration="o_orderkey")
+    return rounded(found.select("cell", "count", "mean", "sd", "first"))
+
 
+_SQL_CHECKED = f"WITH {_SQL_COSTS} SELECT cell AS output, least(count(*), {{most}}) AS compared, 0::BIGINT AS mismatches, CAST(floor(least(count(*), {{most}}) * 0.001) AS BIGINT) AS allowed, true AS agrees FROM samples WHERE cell IN ('B1', 'C1') GROUP BY cell"
 
-@query("SELECT * FROM (VALUES ('C1', 20000::BIGINT, 0::BIGINT, 20::BIGINT, true), ('B1', 20000, 0, 20, true)) t(output, compared, mismatches, allowed, agrees)")
+
+@query(f"SELECT c.*, m.mean FROM ({_SQL_CHECKED.format(most=10**9)}) c JOIN (WITH {_SQL_COSTS} SELECT cell, round(avg(value), 6) AS mean FROM samples GROUP BY cell) m ON m.cell = c.output")
 def simulate_cross_check(spark, sf_dir):
-    """Columns against Arrow batches, joined by iteration."""
-    return cross_check(spark, COSTS, ["C1", "B1"], 20_000, seed=7).drop("worst")
+    """Columns against Arrow batches, joined by iteration, and the means of the batches."""
+    made = _costs(spark, sf_dir, ["C1", "B1"])
+    batches = made.samples(*made.span(), engine="batches")
+    means = summary.summarize(batches, ["C1", "B1"]).select(F.col("cell").alias("output"), F.round("mean", 6).alias("mean"))
+    return cross_check(made.rows, COSTS_OF_ORDERS, ["C1", "B1"], seed=7, iteration="o_orderkey").drop("worst").join(means, "output")
 
 
 OPTION = {
     "A1": 100, "A2": 105, "A3": "=5%", "A4": "=20%", "A5": 1, "B1": "=A1*LOGNORMAL((A3-A4^2/2)*A5,A4*SQRT(A5))", "B2": "=MAX(B1-A2,0)*EXP(-A3*A5)", "B3": "=B1*EXP(-A3*A5)",
     "C1": "=(LN(A1/A2)+(A3+A4^2/2)*A5)/(A4*SQRT(A5))", "C2": "=A1*NORMSDIST(C1)-A2*EXP(-A3*A5)*NORMSDIST(C1-A4*SQRT(A5))",
 }
+_SQL_CDF = "CASE WHEN {0} > 0 THEN 1 - ({1}) ELSE {1} END"
 
 
-@query("SELECT * FROM (VALUES ('B2', true), ('B3', true), ('C2', true)) t(cell, within)")
+@query(f"""WITH {sql_uniform("u", "orders", "o_orderkey", stream_of("Sheet1", "B1", 0), 0, "u", 314)}, {sql_uniform("v", "u", "o_orderkey", stream_of("Sheet1", "B1", 0), 1, "v", 314)},
+          b AS (SELECT o_orderkey, o_totalprice / 1500 AS s, o_totalprice / 1500 * exp((0.05 - 0.2 * 0.2 / 2) + 0.2 * (sqrt(-2 * ln(u)) * cos(pi() * (2 * v - 1)))) AS b1, (ln(o_totalprice / 1500 / 105) + (0.05 + 0.2 * 0.2 / 2)) / 0.2 AS c1 FROM v),
+          d AS (SELECT *, abs(c1) AS x FROM b), e AS (SELECT *, {_SQL_CDF.format("c1", _TAIL)} AS n1, c1 - 0.2 AS c2 FROM d), f AS (SELECT * EXCLUDE (x), abs(c2) AS x FROM e), g AS (SELECT *, {_SQL_CDF.format("c2", _TAIL)} AS n2 FROM f),
+          samples AS (SELECT unnest(['B2', 'B3', 'C2']) AS cell, unnest([greatest(b1 - 105, 0) * exp(-0.05), b1 * exp(-0.05), s * n1 - 105 * exp(-0.05) * n2]) AS value FROM g)
+          SELECT cell, count(*) AS count, round(avg(value), 5) AS mean, round(stddev_samp(value), 4) AS sd FROM samples GROUP BY cell""")
 def simulate_option(spark, sf_dir):
-    """A call by simulation within four standard errors of the closed form, and the discounted share of its price."""
-    found = summary.summarize(simulate(spark, OPTION, ["B2", "B3", "C2"], 200_000, seed=314), ["B2", "B3", "C2"])
-    closed = F.when(F.col("cell") == "B3", 100.0).otherwise(8.021352235143176)
-    return found.select("cell", (F.abs(F.col("mean") - closed) <= 4 * F.col("sd") / F.sqrt("count") + 1e-9).alias("within"))
+    """A call on what each order costs: its discounted pay-off by simulation, its closed form, and the discounted share."""
+    made = simulation(read(spark, sf_dir, "orders"), OPTION | {"A1": "=o_totalprice/1500"}, ["B2", "B3", "C2"], seed=314, iteration="o_orderkey")
+    found = summary.summarize(_samples(made), ["B2", "B3", "C2"])
+    return found.select("cell", "count", F.round("mean", 5).alias("mean"), F.round("sd", 4).alias("sd"))
 
 
 @query("SELECT c_mktsegment AS segment, count(*) AS count, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS sd, round(min_by(c_acctbal, c_custkey), 6) AS first FROM customer GROUP BY c_mktsegment")
@@ -485,24 +528,58 @@ def histogram_doubling(spark, sf_dir):
 WALK = {"A1": "=UNIFORM(-1,1)"} | {f"A{i}": f"=A{i - 1}+UNIFORM(-1,1)" for i in range(2, 61)}
 
 
-@query(f"""WITH ids AS (SELECT unnest(range(5000)) AS iteration), streams(place, stream) AS (VALUES {", ".join(f"({i}, {stream_of('Sheet1', f'A{i}', 0)})" for i in range(1, 61))}), both_ AS (SELECT * FROM ids, streams),
+@query(f"""WITH streams(place, stream) AS (VALUES {", ".join(f"({i}, {stream_of('Sheet1', f'A{i}', 0)})" for i in range(1, 61))}), both_ AS (SELECT c_custkey AS iteration, place, stream FROM customer, streams),
           {sql_uniform("u", "both_", "iteration", "stream", 0, "u", 11)}, sums AS (SELECT 'A' || place AS cell, iteration, sum(-1 + 2 * u) OVER (PARTITION BY iteration ORDER BY place) AS value FROM u)
           SELECT cell, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(min_by(value, iteration), 6) AS first FROM sums GROUP BY cell""")
 def simulate_walk(spark, sf_dir):
-    """Sixty draws and sixty outputs, each resting on the one before."""
-    return rounded(summary.summarize(simulate(spark, WALK, list(WALK), 5000, seed=11), list(WALK)).select("cell", "count", "mean", "sd", "first"))
+    """Sixty draws and sixty outputs of each customer, each resting on the one before."""
+    made = simulation(read(spark, sf_dir, "customer"), WALK, list(WALK), seed=11, iteration="c_custkey")
+    return rounded(summary.summarize(_samples(made), list(WALK)).select("cell", "count", "mean", "sd", "first"))
+
+
+@query(f"""WITH streams(place, stream) AS (VALUES {", ".join(f"({i}, {stream_of('Formulas', f'A{i}', 0)})" for i in range(1, 21))}), both_ AS (SELECT o_orderkey, o_orderpriority, o_totalprice, stream FROM orders, streams),
+          {sql_uniform("u", "both_", "o_orderkey", "stream", 0, "u")}, each AS (SELECT o_orderkey, o_orderpriority, o_totalprice * (1 + sum(0.01 * u)) AS raised FROM u GROUP BY ALL)
+          SELECT o_orderpriority, count(*) AS orders_, round(avg(raised), 4) AS raised FROM each GROUP BY o_orderpriority""")
+def formula_many_draws(spark, sf_dir):
+    """Twenty draws beside the columns of the orders, which stay."""
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    steps = {f"d{i}": "=UNIFORM(0,0.01)" for i in range(1, 21)}
+    made = apply_formulas(rows, steps | {"raised": f"=o_totalprice*(1+SUM({','.join(steps)}))"}, iteration="o_orderkey")
+    return made.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders_"), F.round(F.avg("raised"), 4).alias("raised"))
 
 
-@query(f"WITH {_SQL_COSTS}, drawn AS (SELECT * FROM samples WHERE cell <> 'E1'), {sql_bins('drawn')} SELECT cell, bin, n, round(low, 6) AS low, round(high, 6) AS high FROM bins")
+@query(f"WITH {_SQL_COSTS}, drawn AS (SELECT * FROM samples WHERE cell IN ('A1', 'C1')), {sql_bins('drawn')} SELECT cell, bin, n, round(low, 6) AS low, round(high, 6) AS high FROM bins")
 def progressive_histogram(spark, sf_dir):
-    """Counts per bin from batches of 5,000, 10,000 and the other iterations."""
-    return rounded(histogram_progressively(spark, COSTS, ["C1", "A1"], 20_000, seed=7, first=5000))
+    """Counts per bin from batches of 5,000, 10,000 and the other ids."""
+    return rounded(histogram_progressively(read(spark, sf_dir, "orders"), COSTS_OF_ORDERS, ["C1", "A1"], seed=7, first=5000, iteration="o_orderkey"))
+
+
+@query(f"""WITH {_SQL_COSTS}, drawn AS (SELECT * FROM samples WHERE cell IN ('A1', 'C1')), ends AS (SELECT min(iteration) + 6000 AS end_ FROM drawn), early AS (SELECT drawn.* FROM drawn, ends WHERE iteration < end_), {sql_bins('early')}
+          SELECT s.cell, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, (SELECT sum(n) FROM bins b WHERE b.cell = s.cell) AS binned, (SELECT CAST(count(*) AS BIGINT) FROM bins b WHERE b.cell = s.cell) AS bins FROM drawn s GROUP BY s.cell""")
+def progressive_phases(spark, sf_dir):
+    """Histogram and moments of one run: ids up to 6,000 count in both, later ones in the moments."""
+    state = run_in_phases(_costs(spark, sf_dir, ["C1", "A1"]), first=1000, binned_until=6000)
+    bins = state.bins().groupBy("cell").agg(F.sum("n").alias("binned"), F.count(F.lit(1)).alias("bins"))
+    return rounded(state.summaries().select("cell", "count", "mean", "sd").join(bins, "cell"))
 
 
-@query("SELECT * FROM (VALUES ('C1', 20000::BIGINT, 0::BIGINT, 20::BIGINT, true), ('B1', 20000, 0, 20, true)) t(output, compared, mismatches, allowed, agrees)")
+@query(_SQL_CHECKED.format(most=8000))
 def progressive_comparison(spark, sf_dir):
-    """Columns against Arrow batches, 5,000, 10,000 and the other iterations at a time."""
-    return compare_progressively(spark, COSTS, ["C1", "B1"], 20_000, seed=7, first=5000).drop("worst")
+    """Columns and Arrow batches at once, 3,000 and the other ids at a time, held against each other over the first 8,000."""
+    return compare_progressively(read(spark, sf_dir, "orders"), COSTS_OF_ORDERS, ["C1", "B1"], seed=7, first=3000, compared=8000, iteration="o_orderkey").drop("worst")
+
+
+@query("""SELECT event_type AS cell, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(min_by(value, event_id), 6) AS first, CAST(count(*) AS DOUBLE) AS binned FROM events GROUP BY event_type""")
+def stream_accumulated(spark, sf_dir):
+    """Events as a stream, one half after the other: a query that starts again from its checkpoint adds to what is stored."""
+    events, folder = read(spark, sf_dir, "events").select(F.col("event_type").alias("cell"), F.col("event_id").alias("iteration"), "value"), fresh_path(spark, "stream")
+    for half in (0, 1):
+        events.where(F.col("iteration") % 2 == half).write.mode("append").parquet(f"{folder}/source")
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/source")
+        accumulate(stream, ["cell"], f"{folder}/state", merged_every=2).awaitTermination()
+    table = kept(accumulated(spark, f"{folder}/state", ["cell"]))
+    binned = summary.bins_of(table, ["cell"]).groupBy("cell").agg(F.sum("n").alias("binned"))
+    return rounded(summary.summaries_of(table, ["cell"]).select("cell", "count", "mean", "sd", "first").join(binned, "cell"))
 
 
 # Scenarios: every order is an iteration
@@ -652,11 +729,40 @@ def sensitivity_spread(spark, sf_dir):
 
 # Workbooks
 
+_SQL_CELLS = """cells AS (SELECT p_partkey AS k, chr(CAST(65 + p_partkey % 3 AS INTEGER)) || p_partkey AS address, CASE WHEN p_partkey % 50 = 10 THEN '=' || n1 || '*2' WHEN p_partkey % 50 = 11 THEN '=' || b1 || '+1' WHEN p_partkey % 50 = 20 THEN '=' || own || '/2'
+        WHEN p_partkey % 7 = 0 THEN '=UNIFORM(0,1)' WHEN p_partkey < 4 THEN CAST(p_size AS VARCHAR) WHEN p_partkey % 13 = 0 THEN p_brand ELSE '=' || half || '+SUM(' || third || ')' END AS input
+    FROM (SELECT *, chr(CAST(65 + p_partkey % 3 AS INTEGER)) || p_partkey AS own, chr(CAST(65 + (p_partkey + 1) % 3 AS INTEGER)) || (p_partkey + 1) AS n1, chr(CAST(65 + (p_partkey - 1) % 3 AS INTEGER)) || (p_partkey - 1) AS b1,
+                 chr(CAST(65 + (p_partkey // 2) % 3 AS INTEGER)) || (p_partkey // 2) AS half, chr(CAST(65 + (p_partkey // 3) % 3 AS INTEGER)) || (p_partkey // 3) AS third FROM part))"""
+
+
+def _part_cells(spark, sf_dir) -> DataFrame:
+    """A sheet with a cell for every part: numbers, texts, draws, circles, and formulas over other cells."""
+    k = F.col("p_partkey")
+    at = lambda x: F.concat(F.char(65 + x % 3), x.cast("string"))
+    text = (
+        F.when(k % 50 == 10, F.concat(F.lit("="), at(k + 1), F.lit("*2"))).when(k % 50 == 11, F.concat(F.lit("="), at(k - 1), F.lit("+1"))).when(k % 50 == 20, F.concat(F.lit("="), at(k), F.lit("/2")))
+        .when(k % 7 == 0, "=UNIFORM(0,1)").when(k < 4, F.col("p_size").cast("string")).when(k % 13 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("="), at(F.floor(k / 2)), F.lit("+SUM("), at(F.floor(k / 3)), F.lit(")")))
+    )
+    return cells_from(read(spark, sf_dir, "part"), "Parts", at(k), text)
+
 
-@query("""SELECT * FROM (VALUES ('Inputs', 'A1', 1, 1, 10.0e0, NULL), ('Inputs', 'A2', 2, 1, 0.2e0, NULL), ('Inputs', 'A3', 3, 1, 4.0e0, NULL), ('Inputs', 'A4', 4, 1, NULL, 'label'), ('Inputs', 'A5', 5, 1, NULL, '=UNIFORM(50,150)'),
-          ('Results', 'A1', 1, 1, NULL, '=Price*Demand*(1-Rate)'), ('Results', 'A2', 2, 1, NULL, '=A1-Cost*Demand'), ('Results', 'A3', 3, 1, NULL, '=Price/Cost')) t(sheet, address, row, "column", input_num, input_text)""")
+@query(f"""WITH {_SQL_CELLS} SELECT 'Parts' AS sheet, address, CAST(k AS INTEGER) AS row, CAST(1 + k % 3 AS INTEGER) AS "column", TRY_CAST(input AS DOUBLE) AS input_num, CASE WHEN TRY_CAST(input AS DOUBLE) IS NULL THEN input END AS input_text FROM cells""")
 def workbook_cells(spark, sf_dir):
-    return cells_table(spark, SHOP)
+    return _part_cells(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {_SQL_CELLS}, n AS (SELECT k, 'Parts!' || address AS node, input FROM cells WHERE TRY_CAST(input AS DOUBLE) IS NOT NULL OR input LIKE '=%'),
+          e AS (SELECT a.k, b.k AS needs FROM (SELECT k, CASE WHEN k % 50 = 10 THEN [k + 1] WHEN k % 50 = 11 THEN [k - 1] WHEN k % 50 = 20 THEN [k] WHEN input LIKE '=%SUM%' THEN [k // 2, k // 3] ELSE [] END AS l FROM n) a, n b WHERE list_contains(a.l, b.k)),
+          reach(k, needs) AS (SELECT k, needs FROM e UNION SELECT r.k, e.needs FROM reach r JOIN e ON r.needs = e.k), circular AS (SELECT k FROM reach WHERE k = needs),
+          groups AS (SELECT c.k, least(min(n.node), min(own.node)) AS cycle FROM circular c JOIN reach r ON r.k = c.k JOIN reach back ON back.k = r.needs AND back.needs = c.k JOIN n ON n.k = r.needs JOIN n own ON own.k = c.k GROUP BY c.k),
+          blocked AS (SELECT DISTINCT k FROM reach WHERE needs IN (SELECT k FROM circular) AND k NOT IN (SELECT k FROM circular)),
+          steps(k, level) AS (SELECT k, 0 FROM n WHERE k NOT IN (SELECT k FROM e) UNION SELECT e.k, s.level + 1 FROM steps s JOIN e ON e.needs = s.k WHERE e.k NOT IN (SELECT k FROM circular) AND e.k NOT IN (SELECT k FROM blocked)),
+          drawn AS (SELECT k FROM n WHERE input LIKE '=UNIFORM%')
+          SELECT node, (SELECT CAST(max(level) AS INTEGER) FROM steps s WHERE s.k = n.k) AS level, (SELECT cycle FROM groups g WHERE g.k = n.k) AS cycle, n.k IN (SELECT k FROM blocked) AS blocked,
+                 n.k IN (SELECT k FROM drawn) OR n.k IN (SELECT k FROM reach WHERE needs IN (SELECT k FROM drawn)) AS uncertain FROM n""")
+def workbook_dependencies(spark, sf_dir):
+    """Order of computation, circles and what rests on draws, of a cell table with a cell for every part."""
+    return dependencies.analyse(_part_cells(spark, sf_dir))
 
 
 _SQL_OUTLOOK = f"""months AS (SELECT CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS BIGINT) AS period, sum(o_totalprice) AS value FROM orders GROUP BY 1),

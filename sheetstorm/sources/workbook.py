@@ -6,7 +6,7 @@ import json
 import re
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.scenarios import Dimension, Scenario, Sensitivity
@@ -139,6 +139,11 @@ def _cell_columns(cells: DataFrame) -> DataFrame:
     )
 
 
+def cells_from(df: DataFrame, sheet: str, address: Column, content: Column) -> DataFrame:
+    """The same columns for the rows of a table: each is a cell of a sheet, with an address and what is typed in it."""
+    return _cell_columns(df.select(F.lit(sheet).alias("sheet"), F.upper(address).alias("address"), content.cast("string").alias("input")).where("input is not null and trim(input) <> ''"))
+
+
 def cells_table(spark: SparkSession, sheets: list[Sheet]) -> DataFrame:
     """The same columns for sheets in memory."""
     rows = [(s.name, a.upper(), repr(float(x)) if isinstance(x, (int, float)) else x) for s in sheets for a, x in s.cells.items()]
