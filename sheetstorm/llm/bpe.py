@@ -27,6 +27,8 @@ from .tokens import PATTERN, encoder, read_ranks
 
 #: Bytes of text after which a block ends. Its list of words is all that a task holds of it.
 BLOCK_BYTES = 1 << 25
+#: Rows whose texts are Python strings at once.
+TAKEN_ROWS = 256
 #: Pre-tokens of a block's documents that travel, and are turned into ids, at a time.
 ROW_PLACES = 400_000
 #: Words whose ids a task packs for their blocks at a time.
@@ -134,8 +136,8 @@ def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int, homes: int) -> Ite
 
     plain, find = re.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall
     block = Block()
-    for batch in batches:
-        for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+    for part in (batch.slice(at, TAKEN_ROWS) for batch in batches for at in range(0, batch.num_rows, TAKEN_ROWS)):
+        for doc_id, text in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
             block.add(doc_id, text, plain(text) if text.isascii() else find(text))
             if block.bytes >= block_bytes:
                 yield from block.rows(homes)
