@@ -299,7 +299,8 @@ def growing_bins(samples: DataFrame, keys: list[str], most: int = 128) -> DataFr
                 low, high = values.min(), values.max()
                 width = _narrowest(low, high, most)
                 bins, n = np.unique(np.floor(values / width), return_counts=True)
-                yield pd.DataFrame({k: [x] * len(bins) for k, x in zip(keys, key, strict=True)} | {"width": width, "bin": bins.astype(np.int64), "n": n, "low": low, "high": high})
+                named = {k: pd.Series([None if pd.isna(x) else x] * len(bins), dtype=object) for k, x in zip(keys, key, strict=True)}
+                yield pd.DataFrame(named | {"width": width, "bin": bins.astype(np.int64), "n": n, "low": low, "high": high})
 
     given = samples.select(*keys, F.coalesce(F.col("value").cast("double"), F.lit(ieee.NAN)).alias("value"))
     kinds = "".join(f"`{k}` {given.schema[k].dataType.simpleString()}, " for k in keys)

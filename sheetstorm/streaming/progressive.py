@@ -10,8 +10,8 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import suppress
 from dataclasses import dataclass
+from functools import reduce
 
-import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,13 +57,13 @@ class _Jobs:
             # Under a fair scheduler jobs of this pool share the cores; under the usual one they queue.
             self.session.sparkContext.setLocalProperty("spark.scheduler.pool", self.pool)
             for tag in self.tags:
-                self.session.addTag(tag)
+                self.session.sparkContext.addJobTag(tag)
             return job(*args)
 
         return self.threads.submit(inheritable_thread_target(self.session)(run))
 
     def stop(self) -> None:
-        self.session.interruptTag(self.tags[0])
+        self.session.sparkContext.cancelJobsWithTag(self.tags[0])
         self.threads.shutdown(wait=True, cancel_futures=True)
 
     def close(self) -> None:
@@ -71,20 +71,20 @@ class _Jobs:
 
 
 class State:
-    """What a run has seen: the bin tables of its batches, merged when asked for. Rows per output are at most those of a bin table."""
+    """What a run has seen: the stored bin tables of its batches, merged when asked for. Rows per output are at most those of a bin table."""
 
-    def __init__(self, session: SparkSession):
-        self.session, self.parts, self.done = session, [], 0
+    def __init__(self):
+        self.parts: list[DataFrame] = []
+        self.done = 0
 
-    def add(self, part: pa.Table, done: int) -> None:
+    def add(self, part: DataFrame, done: int) -> None:
         self.parts.append(part)
         self.done = done
 
     def table(self) -> DataFrame:
         if len(self.parts) > 1:
-            merged = merge_bins(self.session.createDataFrame(pa.concat_tables(self.parts)), ["cell"])
-            self.parts = [merged.select(*self.parts[0].column_names).toArrow().cast(self.parts[0].schema)]
-        return self.session.createDataFrame(self.parts[0])
+            self.parts = [kept(merge_bins(reduce(lambda a, b: a.unionByName(b), self.parts), ["cell"]))]
+        return self.parts[0]
 
     def summaries(self) -> DataFrame:
         return summaries_of(self.table(), ["cell"])
@@ -99,25 +99,25 @@ def run_in_phases(run: Simulation, *, progress: Callable[[State], bool | None] |
     The first batch places the bins. Up to binned_until a batch is one job for histogram and moments; beyond,
     the histogram is sure enough, and a batch makes moments only, a row per output. As draws are keyed by the
     iteration, moments are those of a single run. progress stops the run by False: what is under way is
-    interrupted and dropped. With a tag, `spark.interruptTag(tag)` from another thread stops it with an error.
+    interrupted and dropped. With a tag, `sparkContext.cancelJobsWithTag(tag)` from another thread stops it with an error.
     """
     session, names = run.session, list(run.outputs)
-    state, (origin, end) = State(session), run.span()
+    state, (origin, end) = State(), run.span()
     jobs = _Jobs(session, [f"run-{uuid.uuid4().hex}", *([tag] if tag else [])])
     places: DataFrame | None = None
 
     def samples(start: int, size: int) -> DataFrame:
         return long_samples(run.samples(origin + start, origin + start + size), names)
 
-    def batch(start: int, size: int) -> pa.Table:
-        return binned(with_places(samples(start, size), places, ["cell"]), ["cell"], moments_only=start >= binned_until).toArrow()
+    def batch(start: int, size: int) -> DataFrame:
+        return kept(binned(with_places(samples(start, size), places, ["cell"]), ["cell"], moments_only=start >= binned_until))
 
-    def place(count: int) -> pa.Table:
+    def place(count: int) -> DataFrame:
         found = kept(place_bins(samples(0, min(FIRST_BATCH, count)), ["cell"]))
         if not found.where("scale is null").isEmpty():  # nothing finite so far: look further
             late = place_late(samples(0, min(binned_until, count)), ["cell"]).join(found.where("scale is null").select("cell"), "cell")
-            found = found.where("scale is not null").unionByName(late)
-        return found.toArrow()
+            found = kept(found.where("scale is not null").unionByName(late))
+        return found
 
     last, under_way = 0.0, deque()
     planned = batches(end - origin, first, cut=binned_until)
@@ -129,7 +129,7 @@ def run_in_phases(run: Simulation, *, progress: Callable[[State], bool | None] |
 
     try:
         if end > origin:  # bins rest on the first FIRST_BATCH rows, whatever the batches
-            places = session.createDataFrame(jobs.submit(place, end - origin).result())
+            places = jobs.submit(place, end - origin).result()
         for _ in range(AHEAD):
             launch()
         while under_way:
@@ -200,7 +200,7 @@ def run_engines(run: Simulation, *, engines: tuple[str, str] = ("columns", "batc
         stop.set()
         for engine in engines:
             if engine != but:
-                session.interruptTag(tags[engine])
+                session.sparkContext.cancelJobsWithTag(tags[engine])
 
     def compare(start: int, table: DataFrame) -> None:
         with lock:
@@ -215,7 +215,7 @@ def run_engines(run: Simulation, *, engines: tuple[str, str] = ("columns", "batc
                 state.found[r["output"]] = (before[0] + r["compared"], max(before[1], r["worst"] or 0.0), before[2] + r["mismatches"])
 
     def work(engine: str) -> None:
-        session.addTag(tags[engine])
+        session.sparkContext.addJobTag(tags[engine])
         try:
             for start, size in batches(end - origin, first, cut=upto):
                 if stop.is_set():
