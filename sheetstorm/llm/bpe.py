@@ -30,11 +30,11 @@ BLOCK_BYTES = 1 << 25
 #: Rows whose texts are Python strings at once.
 TAKEN_ROWS = 256
 #: Pre-tokens of a block's documents that travel, and are turned into ids, at a time.
-ROW_PLACES = 400_000
+ROW_PLACES = 200_000
 #: Words whose ids a task packs for their blocks at a time.
 PACKED_WORDS = 300_000
 #: Ids of the documents that are decoded together.
-DECODED_IDS = 1_000_000
+DECODED_IDS = 250_000
 #: PATTERN for texts of ASCII characters alone, for the faster module `re`.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Rows that blocks send: packed words of one home, or documents.
