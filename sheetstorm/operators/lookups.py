@@ -163,7 +163,8 @@ def range_totals(rows: DataFrame, series: DataFrame, first: str, last: str, *, k
     at = lambda name, *columns: totals.select(F.col("series").alias(f"__s_{name}"), F.col("period").alias(f"__p_{name}"), *(F.col(x).alias(f"__{x}") for x in columns))
     low, high = at("a", "before", "odd_before"), at("b", "upto", "odd_upto")
     both = asked.join(low, (F.col(key) == F.col("__s_a")) & (F.col("__a") == F.col("__p_a")), "left").join(high, (F.col(key) == F.col("__s_b")) & (F.col("__b") == F.col("__p_b")), "left")
-    inside = F.coalesce(F.col("__a") <= F.col("__b"), F.lit(False))
+    # The greatest and the least of a null and a number are the number: so both ends and the series must be there.
+    inside = F.coalesce((F.col("__a") <= F.col("__b")) & F.col(first).isNotNull() & F.col(last).isNotNull() & F.col("__lowest").isNotNull(), F.lit(False))
     total = F.when(inside & (F.col("__odd_upto") > F.col("__odd_before")), ieee.nan()).when(inside, F.col("__upto") - F.col("__before")).otherwise(0.0)
     found = both.withColumns({to: total, periods: F.when(inside, F.col("__b") - F.col("__a") + 1).otherwise(0).cast("long")})
     return found.drop(*(f"__{c}" for c in ("a", "b", "lowest", "highest", "s_a", "p_a", "s_b", "p_b", "before", "odd_before", "upto", "odd_upto")))
