@@ -43,6 +43,10 @@ BESIDE_WORDS = frozenset(
     "menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion related replies reply search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that say nothing about what an element holds: a class of these and BESIDE_WORDS alone marks what is beside.
+PLAIN_WORDS = frozenset("area bar block bottom box container content group head inner item items left link links list main nav page panel post posts primary right row secondary section site slot text title top unit wrap wrapper".split())
+#: Rounds in which tokens of one kind are told apart by their place.
+ROUNDS = 3
 #: Letters from which a text can tell two pages apart.
 LONG = 40
 WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -156,6 +160,33 @@ def template(pages: list[Page]) -> list[TokenClass]:
     return valid
 
 
+def _differentiate(bodies: list[Page], pages: list[Page], root: list[str]) -> bool:
+    """Tells tokens of one kind apart by their place: slot of the root, depth, and turn. Whether any page got a new name.
+
+    A tag that can hold a whole part of a page, and that stands equally often in a slot and at a depth of every
+    body, is another token at each turn: so that a menu, an article and a footer of equal divs are three. Pages
+    in which it stands there as often get the same names.
+    """
+
+    def stands(page: Page) -> dict[tuple[str, int, int], list[int]]:
+        found: dict[tuple[str, int, int], list[int]] = defaultdict(list)
+        for at, (token, slot) in enumerate(zip(page.tokens, _slots(root, page), strict=True)):
+            if token[:1] == "<" and "#" not in token and _name(token.lstrip("</")) not in LINES | INLINE | EMPTY | HIDDEN:
+                found[token, slot, len(page.around[at])].append(at)
+        return found
+
+    of_bodies = [stands(page) for page in bodies]
+    fixed = set(root)
+    same = {key: len(at) for key, at in of_bodies[0].items() if key[0] not in fixed and all(len(other.get(key, ())) == len(at) for other in of_bodies[1:])}
+    for page in pages:
+        own = stands(page)
+        for key, n in same.items():
+            if len(own.get(key, ())) == n:
+                for turn, at in enumerate(own[key]):
+                    page.tokens[at] = f"{key[0]}#{key[1]}.{key[2]}.{turn}"
+    return bool(same)
+
+
 def _rounds(members: list[str], places: list[dict[int, list[int]]]) -> list[str] | None:
     """The order in which the members follow each other in every round of every page; None if there is none."""
     order = None
@@ -199,7 +230,10 @@ def _name(mark: str) -> str:
 def _is_beside(mark: str) -> bool:
     """By an element's meaning, or by its class if it is one that can hold whole parts of a page."""
     name, *words = mark.split(".")
-    return name in BESIDE or (name not in INSIDE and name not in LINES and name not in ("body", "html") and any(w in BESIDE_WORDS for w in words))
+    if name in BESIDE:
+        return True
+    named = any(w in BESIDE_WORDS for w in words) and all(w in BESIDE_WORDS or w in PLAIN_WORDS or len(w) < 3 for w in words)
+    return named and name not in INSIDE and name not in LINES and name not in ("body", "html")
 
 
 def _bodies(pages: list[Page]) -> list[Page]:
@@ -231,14 +265,26 @@ def extract_group(sources: list[str]) -> list[str]:
         return [*map(dict(zip(distinct, extract_group(distinct), strict=True)).get, sources)]
     pages = [Page(s) for s in sources]
     bodies = _bodies(pages)
-    root = template(bodies)[0].tokens if len(bodies) > 2 else []
+    classes = template(bodies) if len(bodies) > 2 else [TokenClass([])]
+    for _ in range(ROUNDS):
+        if not classes[0].tokens or not _differentiate(bodies, pages, classes[0].tokens):
+            break
+        classes = template(bodies)
+    root = classes[0].tokens
     slots = [_slots(root, page) for page in pages]
     letters: dict[int, int] = defaultdict(int)
     for page, places in zip(pages, slots, strict=True):
         for i, text in page.texts.items():
             letters[places[i]] += len(text.strip()) * (i not in page.links)
     main = max(letters, key=lambda s: (letters[s], -s), default=0) if root else None
-    return [_main_text(page, places, main, frozenset(root)) for page, places in zip(pages, slots, strict=True)]
+    rows = frozenset(t for c in classes[1:] if c.parent == 0 and c.slot != main and any(_is_part(t) for t in c.tokens) for t in c.tokens)
+    return [_main_text(page, places, main, frozenset(root), rows) for page, places in zip(pages, slots, strict=True)]
+
+
+def _is_part(token: str) -> bool:
+    """Whether a token opens a row of some kind: an element that can hold parts, or one that has a class."""
+    name = _name(token[1:].split("#")[0])
+    return token[:1] == "<" and token[1:2] != "/" and (name not in LINES | INLINE | EMPTY | HIDDEN or "." in token)
 
 
 def _weight(page: Page, chosen: list[int]) -> int:
@@ -255,9 +301,10 @@ def _container(page: Page, inside: list[int], root: frozenset[str]) -> int | Non
             marks[at] = mark
     most = max(around.values(), default=0)
     holds = [at for at, n in around.items() if n and 2 * n >= most and _name(marks[at]) not in LINES]
-    by_name = [at for at in holds if _name(marks[at]) in INSIDE]
+    articles = [at for at in holds if _name(marks[at]) == "article"]
+    by_name = articles or [at for at in holds if _name(marks[at]) in INSIDE]
     if by_name:
-        return min(by_name)
+        return max(by_name) if articles else min(by_name)
     fixed = [at for at in holds if page.tokens[at] in root] if root else [at for at in holds if 5 * around[at] >= 4 * most]
     return max(fixed, default=None)
 
@@ -275,11 +322,12 @@ def _own_texts(page: Page, texts: list[int]) -> list[int]:
     return [i for i in texts if not any(_is_beside(mark) for at, mark in page.around[i] if at not in held or _name(mark) in BESIDE)] or texts
 
 
-def _main_text(page: Page, places: list[int], main: int | None, root: frozenset[str]) -> str:
+def _main_text(page: Page, places: list[int], main: int | None, root: frozenset[str], rows: frozenset[str] = frozenset()) -> str:
+    """rows: the tokens of nested classes that repeat beside the main slot, whose elements are no text of the article."""
     texts = [i for i in page.texts if page.texts[i].strip()]
     inside = [i for i in texts if places[i] == main] if main is not None else []
     if not _weight(page, inside):  # the template has no slot here
-        inside, root = _own_texts(page, texts), frozenset()
+        inside, root, rows = _own_texts(page, texts), frozenset(), frozenset()
     container = _container(page, inside, root)
     held = {at for i in inside for at, _ in page.around[i] if container is None or at <= container}
 
@@ -287,7 +335,12 @@ def _main_text(page: Page, places: list[int], main: int | None, root: frozenset[
         around = page.around[i]
         if container is not None and all(at != container for at, _ in around):
             return False
-        return not any(_is_beside(mark) for at, mark in around if at not in held or (container is None and _name(mark) in BESIDE))
+        return not any(beside(at, mark) for at, mark in around if at not in held or (container is None and _name(mark) in BESIDE))
+
+    def beside(at: int, mark: str) -> bool:
+        """By its meaning; by its class only if it belongs to the template, or where there is none; by being a row beside the slot."""
+        token = page.tokens[at]
+        return token in rows or _name(mark) in BESIDE or (_is_beside(mark) and (not root or token in root or token in rows))
 
     chosen = [i for i in page.texts if belongs(i) and not _fills_a_slot(page, i, root)]
     if not any(page.texts[i].strip() for i in chosen):  # the remaining slots hold nothing

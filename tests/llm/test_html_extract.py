@@ -2,6 +2,8 @@ import html
 import random
 import re
 
+import pytest
+
 from sheetstorm.llm.html_extract import Page, extract_group, extract_main_text, template
 
 from .helpers import SF
@@ -119,3 +121,43 @@ def test_a_passage_that_articles_share_stays():
 
 def made_around(rng, body):
     return f"<html><body><nav><a href='/'>Home</a></nav><article>{body}</article><footer>{rng.random()}</footer></body></html>"
+
+
+STORY = ["The river rose by two metres in a single night and took the old bridge with it.", "Nobody in the village had seen such water before, the mayor said on {day}.", "A ferry now carries {n} people a day across, among them the pupils of the school."]
+
+
+def stories(n, frame):
+    """n pages of a host in a frame, each with its own article of three paragraphs and a few more."""
+    for i in range(n):
+        own = [p.format(day=["Monday", "Tuesday", "Friday", "Sunday", "Thursday", "Saturday"][i % 6], n=100 + 7 * i) + f" Report {i} {'abcdefgh'[i] * 5}." for p in STORY] + [f"More of the story {i}, line {k}, told by witness {chr(65 + i + k)}." for k in range(i % 3)]
+        yield frame("".join(f"<p>{p}</p>" for p in own), i), "\n\n".join(own)
+
+
+@pytest.mark.parametrize("opens", [lambda k: f'<div class="col{k}">', lambda k: f'<div class="css-{k}ab">', lambda k: "<div>"])
+def test_equal_divs_are_told_apart_by_their_place(opens):
+    menu, footer = '<a href="/">Home</a> About us and our readers, since 1901', "Copyright of the river courier, all rights reserved"
+    pages = list(stories(6, lambda article, i: f"<html><body>{opens(1)}{menu}</div>{opens(2)}{article}</div>{opens(3)}{footer}</div></body></html>"))
+    assert extract_group([p for p, _ in pages]) == [t for _, t in pages]
+
+
+def test_rows_that_repeat_beside_the_article_go():
+    """Readers' comments in rows of a nested class, inside the element around the article."""
+
+    def frame(article, i):
+        rows = "".join(f'<div class="row"><b>reader {i * 7 + k}</b> <a href="#">Reply</a><span>I saw that too in place {i}{k}, well done</span></div>' for k in range(1 + i % 4))
+        return f'<html><body><main><div class="story">{article}</div><div class="talk"><h4>What readers say</h4>{rows}</div></main></body></html>'
+
+    pages = list(stories(8, frame))
+    assert extract_group([p for p, _ in pages]) == [t for _, t in pages]
+
+
+def test_class_words_decide_nothing_inside_an_article():
+    alone = '<html><body><article><h1>Notice</h1><div class="share-your-notice-page"><p>All of the notice stands here, and it is long enough to be read.</p></div></article></body></html>'
+    assert extract_group([alone]) == ["Notice\n\nAll of the notice stands here, and it is long enough to be read."]
+
+    def frame(article, i):
+        extra = '<div class="social-history"><p>A social history of the valley, as told by its oldest people.</p></div>' if i == 2 else ""
+        return f'<html><body><div class="top">Menu of the courier</div><div class="text">{article}{extra}</div><div class="end">Imprint of the courier</div></body></html>'
+
+    found = extract_group([p for p, _ in stories(6, frame)])
+    assert "A social history of the valley" in found[2] and not any("courier" in x for x in found)
