@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from .periods import parse_period
 
 BINDING = {"=": 1, "<>": 1, "<": 1, ">": 1, "<=": 1, ">=": 1, "+": 2, "-": 2, "*": 3, "/": 3, "^": 4}
+# Fixed values of the grammar: the forms of references, periods, numbers and names in a formula.
 _SHEET = r"(?:'(?:[^']|'')+'|[A-Za-z_][A-Za-z0-9_.]*)"
 _LEXEMES = re.compile(
     rf"""

@@ -374,6 +374,47 @@ def series_upkeep(spark, sf_dir):
     return both.select("series", F.coalesce("falls", F.lit(0)).alias("falls"), "order_", F.coalesce("repeated", F.lit(0)).alias("repeated"), F.coalesce("next_", F.lit(-1)).alias("next_"))
 
 
+# The other functions of formulas
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity * l_discount + l_extendedprice * l_tax AS product_, 3.0e0 AS counted, CASE CAST(l_linenumber AS INTEGER) WHEN 1 THEN 5.0e0 WHEN 2 THEN 7.0e0 WHEN 3 THEN 9.0e0 ELSE -1.0e0 END AS at_row,
+                 CASE WHEN l_linenumber BETWEEN 1 AND 3 THEN 10.0e0 * l_linenumber ELSE -1.0e0 END AS at_both FROM lineitem""")
+def formula_tables(spark, sf_dir):
+    """SUMPRODUCT, COUNT (texts and empty cells don't count) and INDEX by row and by row and column."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_extendedprice", "l_tax")
+    cells = {"A1": 5, "A2": 7, "A3": 9, "B1": 10, "B2": 20, "B3": 30, "C1": "text", "D1": 1, "D3": 2, "D5": 3}
+    made = apply_formulas(
+        rows.withColumn("k", F.col("l_linenumber").cast("double")),
+        {"a": "=l_quantity", "b": "=l_extendedprice", "c": "=l_discount", "d": "=l_tax", "product_": "=SUMPRODUCT(Formulas!A1:A2,Formulas!A3:A4)", "counted": "=COUNT(T!C1:D6)", "at_row": "=IFERROR(INDEX(T!A1:B3,k,1),-1)", "at_both": "=IFERROR(INDEX(T!A1:B3,k,2),-1)"},
+        model=Sheet("T", cells), iteration="l_orderkey",
+    )
+    return made.select("l_orderkey", "l_linenumber", "product_", "counted", "at_row", "at_both")
+
+
+@query("SELECT p_partkey, round((p_size - 0.5) / 50, 8) AS p, round(ln(exp(0.5 * p_size / 50)), 8) AS log_ FROM part")
+def formula_lognormal_inverse(spark, sf_dir):
+    """The logarithm of LOGNORM.INV is NORM.INV, which NORMSDIST undoes."""
+    made = apply_formulas(
+        read(spark, sf_dir, "part").select("p_partkey", "p_size"), {"q": "=(p_size-0.5)/50", "x": "=LOGNORM.INV(q,1,0.5)", "p": "=NORMSDIST((LN(x)-1)/0.5)", "log_": "=LN(LOGINV(0.5,0.5*p_size/50,2))"}, iteration="p_partkey"
+    )
+    return made.select("p_partkey", F.round("p", 8).alias("p"), F.round("log_", 8).alias("log_"))
+
+
+@query(f"""WITH d AS (SELECT o_orderkey, o_orderdate AS t, CAST(o_orderdate AS DATE) AS d, {SQL_SERIAL.format("o_orderdate")} AS serial FROM orders)
+          SELECT o_orderkey, CAST({SQL_MONTH.format("d")} - (1995 * 12 + 5) AS DOUBLE) AS months, CASE WHEN {SQL_MONTH.format("d")} >= 1995 * 12 + 5 THEN 1.0e0 ELSE 0.0e0 END AS later, CASE WHEN year(d) = 1995 THEN 1.0e0 ELSE 0.0e0 END AS same_,
+                 CAST(hour(t) AS DOUBLE) AS hour_, CAST(year(d) * 4 + quarter(d) - 1 AS DOUBLE) AS quarter_, CAST({SQL_MONTH.format("d")} + 2 AS DOUBLE) AS built_month, CAST(serial + 30 AS DOUBLE) AS moved FROM d""")
+def period_differences(spark, sf_dir):
+    """Periods less periods, compared, moved by numbers, made of parts, and written as literals."""
+    day, hour = (calendar.period_of(F.col("o_orderdate"), kind) for kind in ("day", "hour"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", day.alias("d"), hour.alias("h"))
+    made = apply_formulas(
+        rows,
+        {"m": "=PERIOD.MONTH(d)", "months": "=m-1995-06", "later": "=m>=1995-06", "same_": "=PERIOD.YEAR(d)=PERIOD.YEAR(1995-01)", "hour_": "=HOUR(h)", "quarter_": "=PERIOD.QUARTER(YEAR(d),QUARTER(d))", "built_month": "=PERIOD.MONTH(YEAR(d),MONTH(d)+2)", "moved": "=d+30"},
+        inputs={"d": "day", "h": "hour"}, iteration="o_orderkey",
+    )
+    return made.select("o_orderkey", "months", "later", "same_", "hour_", "quarter_", "built_month", "moved")
+
+
 # Draws
 
 
@@ -508,10 +549,10 @@ _SQL_WINDOWS = f"""occupied AS (SELECT cell, min(low) AS a, max(high) AS b FROM
     spread AS (SELECT cell, bar, sum(n * greatest(0, least(high, lo + (bar + 1) * (hi - lo) / {summary.BARS}) - greatest(low, lo + bar * (hi - lo) / {summary.BARS})) / (high - low)) AS n FROM placed GROUP BY cell, bar)"""
 
 
-@query(f"WITH {_VALUES}, {sql_bins('values_')}, {_SQL_QUANTILES}, {_SQL_WINDOWS} SELECT o.cell, CAST(bar AS INTEGER) AS bar, round(n, 4) AS n, round(lo, 3) AS lo, round(hi, 3) AS hi FROM spread o JOIN shown s ON o.cell = s.cell WHERE n > 0.00005")
+@query(f"WITH {_VALUES}, {sql_bins('values_')}, {_SQL_QUANTILES}, {_SQL_WINDOWS} SELECT o.cell, CAST(bar AS INTEGER) AS bar, round(n, 4) AS n, round(lo, 3) AS lo, round(hi, 3) AS hi, round(n / (SELECT max(n) FROM spread m WHERE m.cell = o.cell), 6) AS height FROM spread o JOIN shown s ON o.cell = s.cell WHERE n > 0.00005")
 def histogram_display(spark, sf_dir):
     shown = summary.display(_order_bins(spark, sf_dir), ["cell"]).where("n > 0.00005")
-    return shown.select("cell", "bar", F.round("n", 4).alias("n"), F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"))
+    return shown.select("cell", "bar", F.round("n", 4).alias("n"), F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"), F.round("height", 6).alias("height"))
 
 
 @query("""WITH s AS (SELECT c_mktsegment AS cell, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY 1),
@@ -538,7 +579,7 @@ def simulate_walk(spark, sf_dir):
 
 
 @query(f"""WITH streams(place, stream) AS (VALUES {", ".join(f"({i}, {stream_of('Formulas', f'A{i}', 0)})" for i in range(1, 21))}), both_ AS (SELECT o_orderkey, o_orderpriority, o_totalprice, stream FROM orders, streams),
-          {sql_uniform("u", "both_", "o_orderkey", "stream", 0, "u")}, each AS (SELECT o_orderkey, o_orderpriority, o_totalprice * (1 + sum(0.01 * u)) AS raised FROM u GROUP BY ALL)
+          {sql_uniform("u", "both_", "o_orderkey", "stream", 0, "u")}, each AS (SELECT o_orderkey, any_value(o_orderpriority) AS o_orderpriority, any_value(o_totalprice) * (1 + sum(0.01 * u)) AS raised FROM u GROUP BY o_orderkey)
           SELECT o_orderpriority, count(*) AS orders_, round(avg(raised), 4) AS raised FROM each GROUP BY o_orderpriority""")
 def formula_many_draws(spark, sf_dir):
     """Twenty draws beside the columns of the orders, which stay."""
