@@ -352,10 +352,9 @@ def pick(found: DataFrame, fields: list[str], shown: list[str], filters: dict[st
 
 def pool(results: DataFrame, keys: list[str]) -> DataFrame:
     """Results to those of their mixture: equal numbers stay a number, an error makes an error."""
-    pooled = merge_summaries(results, keys)
-    errors = results.groupBy(*keys).agg(F.min("code").alias("code"), F.every(F.col("kind") == "number").alias("numbers"), F.count_distinct("mean").alias("means"))
-    kind = F.when(F.col("code").isNotNull(), "error").when(F.col("numbers") & (F.col("means") == 1), "number").otherwise("uncertain")
-    return pooled.join(errors, keys).withColumn("kind", kind).drop("numbers", "means")
+    same = F.every(F.col("kind") == "number") & (F.min("mean") == F.max("mean"))
+    pooled = merge_summaries(results, keys, {"code": F.min("code"), "same": same})
+    return pooled.withColumn("kind", F.when(F.col("code").isNotNull(), "error").when(F.col("same"), "number").otherwise("uncertain")).drop("same")
 
 
 def pool_windows(profiles: DataFrame, keys: list[str]) -> DataFrame:
@@ -396,21 +395,18 @@ def pivot_table(pooled: DataFrame, rows: list[str], column: str, labels: list[st
 
 
 def against_baseline(results: DataFrame) -> DataFrame:
-    """delta and percent (of the size of the baseline) of each combination's mean."""
-    base = results.where("combination = 0").select("cell", F.col("mean").alias("base"))
-    both = results.where("combination > 0").join(F.broadcast(base), "cell")
+    """base, delta and percent (of the size of the baseline) of each combination's mean."""
+    based = results.withColumn("base", F.max(F.when(F.col("combination") == 0, F.col("mean"))).over(Window.partitionBy("cell")))
     delta = F.col("mean") - F.col("base")
-    return both.withColumn("delta", delta).withColumn("percent", F.when(F.col("base") != 0, delta / F.abs("base")))
+    return based.where("combination > 0 and base is not null").withColumn("delta", delta).withColumn("percent", F.when(F.col("base") != 0, delta / F.abs("base")))
 
 
 def effects(results: DataFrame, choices: DataFrame, statistic: str = "mean") -> DataFrame:
-    """input, step, cell, base, down, up: a statistic of the baseline and of the input lowered and raised."""
+    """input, step, cell, base, down, up: a statistic (a column of results: mean, sd, p10, ...) of the baseline and of the input lowered and raised."""
     value = F.when(F.col("kind") != "error", F.col(statistic))
-    base = results.where("combination = 0").select("cell", value.alias("base"))
-    moved = results.join(choices, "combination").groupBy("input", F.col("step").cast("double").alias("step"), "cell").agg(
-        F.max(F.when(F.col("sign") == "-1", value)).alias("down"), F.max(F.when(F.col("sign") == "1", value)).alias("up")
-    )
-    return moved.join(F.broadcast(base), "cell").select("input", "step", "cell", "base", "down", "up")
+    told = results.join(F.broadcast(choices), "combination", "left").withColumn("base", F.max(F.when(F.col("combination") == 0, value)).over(Window.partitionBy("cell")))
+    moved = told.where("combination > 0").groupBy("input", F.col("step").cast("double").alias("step"), "cell", "base").agg(F.max(F.when(F.col("sign") == "-1", value)).alias("down"), F.max(F.when(F.col("sign") == "1", value)).alias("up"))
+    return moved.select("input", "step", "cell", "base", "down", "up")
 
 
 def measures(found: DataFrame) -> DataFrame:

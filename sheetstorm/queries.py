@@ -584,7 +584,7 @@ def simulate_walk(spark, sf_dir):
 def formula_many_draws(spark, sf_dir):
     """Twenty draws beside the columns of the orders, which stay."""
     rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
-    steps = {f"d{i}": "=UNIFORM(0,0.01)" for i in range(1, 21)}
+    steps = {f"step_{i}": "=UNIFORM(0,0.01)" for i in range(1, 21)}
     made = apply_formulas(rows, steps | {"raised": f"=o_totalprice*(1+SUM({','.join(steps)}))"}, iteration="o_orderkey")
     return made.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("orders_"), F.round(F.avg("raised"), 4).alias("raised"))
 
