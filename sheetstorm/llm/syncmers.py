@@ -8,8 +8,6 @@ equal anchors wherever they stand, in scripts without spaces and long tokens too
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +40,25 @@ def _packed(hashed: Column, place: Column) -> Column:
     return F.shiftleft(hashed.cast("long"), 32).bitwiseOR(place.cast("long"))
 
 
-def _anchors(hashes: str, run: int) -> Column:
-    pieces = F.col(hashes)
+def _pairwise(minima: str, step: int) -> Column:
+    """The least of each entry and the one so many places on; beyond the end there is nothing, and the entry stays."""
+    return F.transform(minima, lambda v, i: F.least(v, F.get(F.col(minima), i + step)))
+
+
+def _with_minima(docs: DataFrame, hashes: str, to: str, run: int) -> DataFrame:
+    """Adds the smallest hash of the run that begins at each place: minima of 2, 4, 8, ... places, the last two overlapping."""
+    width, at = 1, hashes
+    while width < run:
+        step = min(width, run - width)
+        docs = docs.withColumn(f"{to}_{width + step}", _pairwise(at, step))
+        width, at = width + step, f"{to}_{width + step}"
+    return docs.withColumn(to, F.col(at))
 
-    def is_least(i: Column, at: int) -> Column:
-        others = [j for j in (range(1, run) if at == 0 else range(run - 1)) if j != at]
-        return reduce(lambda a, b: a & b, (F.get(pieces, i + at) <= F.get(pieces, i + j) for j in others))
 
-    starts = F.filter(F.sequence(F.lit(0), F.size(pieces) - run), lambda i: is_least(i, 0) | is_least(i, run - 1))
+def _anchors(hashes: str, minima: str, run: int) -> Column:
+    pieces, least = F.col(hashes), F.col(minima)
+    is_end = lambda i: (F.get(least, i) == F.get(pieces, i)) | (F.get(least, i) == F.get(pieces, i + run - 1))
+    starts = F.filter(F.sequence(F.lit(0), F.size(pieces) - run), is_end)
     return (
         F.when(F.size(pieces) >= run, F.transform(starts, lambda i: _packed(F.hash(F.slice(pieces, i + 1, run)), i)))
         .when(F.size(pieces) > 0, F.array(_packed(F.hash(pieces), F.lit(0))))
@@ -63,13 +72,10 @@ def with_anchors(docs: DataFrame, text: str, to: str, *, run: int = RUN) -> Data
     A text of fewer than `run` pieces has one anchor, the whole text; one without any piece (null, empty
     or white space) has none.
     """
-    marks, hashes = f"{to}_marks", f"{to}_hashes"
-    return (
-        docs.withColumn(marks, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S\s*"), F.lit(0)))
-        .withColumn(hashes, _hashes(marks))
-        .withColumn(to, _anchors(hashes, run))
-        .drop(marks, hashes)
-    )
+    marks, hashes, minima, kept = f"{to}_marks", f"{to}_hashes", f"{to}_minima", docs.columns
+    pieces = docs.withColumn(marks, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"\S\s*"), F.lit(0))).withColumn(hashes, _hashes(marks))
+    found = _with_minima(pieces, hashes, minima, run).withColumn(to, _anchors(hashes, minima, run))
+    return found.select(*(F.col(f"`{c}`") for c in kept if c != to), to)
 
 
 def with_likeness(docs: DataFrame, a: str, b: str, to: str) -> DataFrame:
