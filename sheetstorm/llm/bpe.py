@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, with_text_ids
+from .common import give_back_memory, text_or_empty, with_text_ids
 from .tokens import PATTERN, encoder, read_ranks
 
 #: Bytes of text after which a block ends. Its list of words is all that a task holds of it.
@@ -142,8 +142,11 @@ def _cut(batches: Iterator[pa.RecordBatch], block_bytes: int, homes: int) -> Ite
             if block.bytes >= block_bytes:
                 yield from block.rows(homes)
                 block = Block()
+                give_back_memory()
     if block.ids:
         yield from block.rows(homes)
+    del block
+    give_back_memory()
 
 
 def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -183,6 +186,8 @@ def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_c
                 blocks, places, found, held = [], [], [], 0
         if held:
             yield from _pack_ids(np.concatenate(blocks), np.concatenate(places), found)
+        blocks, places, found = [], [], []
+        give_back_memory()
 
     arrived = rows.mapInArrow(cut, SENT_SQL).repartition("home").mapInArrow(_arrived, ROWS_SQL)
     encoded = arrived.sortWithinPartitions("word").mapInArrow(encode, PARTS_SQL)

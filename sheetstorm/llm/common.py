@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,14 @@ def repeat_rows(df: DataFrame, times: str) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))))
 
 
+def give_back_memory() -> None:
+    """Hands what a task has freed back to the system: Python workers live on, and an executor counts all of theirs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 @contextmanager
 def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what is written in this block go when it is written, not when the driver collects its garbage."""
