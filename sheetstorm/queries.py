@@ -595,11 +595,11 @@ def progressive_histogram(spark, sf_dir):
     return rounded(histogram_progressively(read(spark, sf_dir, "orders"), COSTS_OF_ORDERS, ["C1", "A1"], seed=7, first=5000, iteration="o_orderkey"))
 
 
-@query(f"""WITH {_SQL_COSTS}, drawn AS (SELECT * FROM samples WHERE cell IN ('A1', 'C1')), ends AS (SELECT min(iteration) + 6000 AS end_ FROM drawn), early AS (SELECT drawn.* FROM drawn, ends WHERE iteration < end_), {sql_bins('early')}
+@query(f"""WITH {_SQL_COSTS}, drawn AS (SELECT * FROM samples WHERE cell IN ('A1', 'C1')), ends AS (SELECT min(iteration) + 9000 AS end_ FROM drawn), early AS (SELECT drawn.* FROM drawn, ends WHERE iteration < end_), {sql_bins('early')}
           SELECT s.cell, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, (SELECT sum(n) FROM bins b WHERE b.cell = s.cell) AS binned, (SELECT CAST(count(*) AS BIGINT) FROM bins b WHERE b.cell = s.cell) AS bins FROM drawn s GROUP BY s.cell""")
 def progressive_phases(spark, sf_dir):
-    """Histogram and moments of one run: ids up to 6,000 count in both, later ones in the moments."""
-    state = run_in_phases(_costs(spark, sf_dir, ["C1", "A1"]), first=1000, binned_until=6000)
+    """Histogram and moments of one run: ids up to 9,000 count in both, later ones in the moments."""
+    state = run_in_phases(_costs(spark, sf_dir, ["C1", "A1"]), first=1000, binned_until=9000)
     bins = state.bins().groupBy("cell").agg(F.sum("n").alias("binned"), F.count(F.lit(1)).alias("bins"))
     return rounded(state.summaries().select("cell", "count", "mean", "sd").join(bins, "cell"))
 
