@@ -93,6 +93,14 @@ class Simulation:
         low, high = self.rows.agg(F.min(self.iteration), F.max(self.iteration)).first()
         return (0, 0) if low is None else (int(low), int(high) + 1)
 
+    def opening(self, count: int) -> int:
+        """The id after those of the first so many rows, however far apart the ids of a table are."""
+        if not isinstance(self.rows, DataFrame):
+            return count
+        first = self.rows.select(F.col(self.iteration).cast("long").alias("id")).where("id is not null").orderBy("id").limit(count)
+        last = first.agg(F.max("id")).first()[0]
+        return 0 if last is None else last + 1
+
     def samples(self, start: int, end: int, engine: str = "auto") -> DataFrame:
         """iteration and a column per output of the ids from start to before end; in a table, a filter that its scan can use."""
         if isinstance(self.rows, DataFrame):

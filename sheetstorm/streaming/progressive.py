@@ -24,7 +24,7 @@ from ..plans.compiler import compile_sheets
 
 #: A batch has at most this many iterations.
 LARGEST_BATCH = 4_194_304
-#: Iterations that count in the histogram beside the moments; later ones count in the moments only.
+#: Iterations that count in the histogram beside the moments, unless a run wants all; later ones count in the moments only.
 BINNED = 262_144
 #: Iterations over which two engines are held against each other, one by one.
 COMPARED = 100_000
@@ -93,11 +93,11 @@ class State:
         return bins_of(self.table(), ["cell"])
 
 
-def run_in_phases(run: Simulation, *, progress: Callable[[State], bool | None] | None = None, every_seconds: float = 0.2, first: int = FIRST_BATCH, binned_until: int = BINNED, tag: str | None = None) -> State:
+def run_in_phases(run: Simulation, *, progress: Callable[[State], bool | None] | None = None, every_seconds: float = 0.2, first: int = FIRST_BATCH, binned_until: int | None = BINNED, tag: str | None = None) -> State:
     """Runs all ids of a simulation in batches, the next one queued while one runs; both kinds of result come from the same batches.
 
-    The first batch places the bins. Up to binned_until a batch is one job for histogram and moments; beyond,
-    the histogram is sure enough, and a batch makes moments only, a row per output. As draws are keyed by the
+    The first FIRST_BATCH rows place the bins. Up to binned_until a batch is one job for histogram and moments; beyond,
+    the histogram is sure enough, and a batch makes moments only, a row per output. Without it (None) all ids are binned. As draws are keyed by the
     iteration, moments are those of a single run. progress stops the run by False: what is under way is
     interrupted and dropped. With a tag, `sparkContext.cancelJobsWithTag(tag)` from another thread stops it with an error.
     """
@@ -105,6 +105,7 @@ def run_in_phases(run: Simulation, *, progress: Callable[[State], bool | None] |
     state, (origin, end) = State(), run.span()
     jobs = _Jobs(session, [f"run-{uuid.uuid4().hex}", *([tag] if tag else [])])
     places: DataFrame | None = None
+    binned_until = end - origin if binned_until is None else binned_until
 
     def samples(start: int, size: int) -> DataFrame:
         return long_samples(run.samples(origin + start, origin + start + size), names)
@@ -113,7 +114,7 @@ def run_in_phases(run: Simulation, *, progress: Callable[[State], bool | None] |
         return kept(binned(with_places(samples(start, size), places, ["cell"]), ["cell"], moments_only=start >= binned_until))
 
     def place(count: int) -> DataFrame:
-        found = kept(place_bins(samples(0, min(FIRST_BATCH, count)), ["cell"]))
+        found = kept(place_bins(samples(0, min(run.opening(FIRST_BATCH) - origin, binned_until, count)), ["cell"]))
         if not found.where("scale is null").isEmpty():  # nothing finite so far: look further
             late = place_late(samples(0, min(binned_until, count)), ["cell"]).join(found.where("scale is null").select("cell"), "cell")
             found = kept(found.where("scale is not null").unionByName(late))
@@ -163,9 +164,9 @@ def run_progressively(
 def histogram_progressively(
     rows: SparkSession | DataFrame, model, outputs: list[str], count: int | None = None, *, seed: int = 1, progress: Progress | None = None, first: int = FIRST_BATCH, tag: str | None = None, iteration: str = "iteration"
 ) -> DataFrame:
-    """cell, bin, low, high, n after all batches of up to BINNED iterations; progress gets (iterations done, bins so far) after each batch."""
+    """cell, bin, low, high, n of all iterations; progress gets (iterations done, bins so far) after each batch."""
     told = (lambda state: progress(state.done, state.bins())) if progress else None
-    return run_in_phases(simulation(rows, model, outputs, count, seed=seed, iteration=iteration), progress=told, every_seconds=0, first=first, tag=tag).bins()
+    return run_in_phases(simulation(rows, model, outputs, count, seed=seed, iteration=iteration), progress=told, every_seconds=0, first=first, binned_until=None, tag=tag).bins()
 
 
 @dataclass

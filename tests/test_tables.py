@@ -203,3 +203,13 @@ def test_circles_that_share_no_name(spark):
     want = {a: min(b for b in r if a in reach[b]) for a, r in reach.items() if a in r}
     got = dependencies.cycles(spark.createDataFrame([(n,) for n in nodes], "node string"), spark.createDataFrame(edges, "node string, needs string"))
     assert {r.node: r.cycle for r in got.collect()} == want
+
+
+def test_progressive_histogram_bins_every_row(spark):
+    """Ids beyond BINNED count too, and bins rest on the first rows, not on the first ids, where ids are far apart."""
+    count = progressive.BINNED + 9000
+    rows = spark.range(count).select((F.col("id") * 5).alias("k"), (F.col("id") % 777).cast("double").alias("x"))
+    bins = progressive.histogram_progressively(rows, {"A1": "=x"}, ["A1"], first=100_000, iteration="k")
+    want = summary.histogram(rows.select(F.lit("A1").alias("cell"), F.col("k").alias("iteration"), F.col("x").alias("value")), ["cell"])
+    assert sorted(map(tuple, bins.collect())) == sorted(map(tuple, want.collect()))
+    assert bins.agg(F.sum("n")).first()[0] == count
