@@ -78,6 +78,27 @@ def with_anchors(docs: DataFrame, text: str, to: str, *, run: int = RUN) -> Data
     return found.select(*(F.col(f"`{c}`") for c in kept if c != to), to)
 
 
+def with_joined_anchors(docs: DataFrame, first: str, first_anchors: str, second: str, second_anchors: str, to: str, *, run: int = RUN) -> DataFrame:
+    """Adds the anchors of `first` followed by `second`, each the beginning of a text whose anchors are known (or all of it).
+
+    The same anchors as with_anchors finds in the joined text: whether a run is one depends on its pieces alone,
+    so that only runs that cross the joint, `span` characters to each side of it, are looked at anew.
+    """
+    span, kept, made = run + PIECE - 2, docs.columns, lambda name: f"{to}_{name}"
+    end, beginning = rf"^(?:\s*+\S){{0,{span}}}", rf"^\s*+(?:\S\s*+){{0,{span}}}"
+    joint = F.concat(F.reverse(F.regexp_extract(F.reverse(first), end, 0)), F.regexp_extract(second, beginning, 0))
+    pieces = lambda c: F.length(F.regexp_replace(c, r"\s+", ""))
+    rows = docs.withColumns({made("n1"): pieces(first), made("n2"): pieces(second), made("joint"): joint})
+    rows = with_anchors(rows, made("joint"), made("across"), run=run)
+    n1, n2 = F.col(made("n1")), F.col(made("n2"))
+    a, b = F.least(n1, F.lit(span)), F.least(n2, F.lit(span))
+    within = lambda anchors, n: F.filter(anchors, lambda v: v.bitwiseAND(F.lit(PLACE)) < n - span)
+    # Fewer pieces than a run has are an anchor only if there is nothing else.
+    across = F.when((a + b > span) | (n1 + n2 == a + b), F.transform(made("across"), lambda v: v + (n1 - a))).otherwise(F.array().cast("array<bigint>"))
+    found = F.concat(within(first_anchors, n1), across, F.transform(within(second_anchors, n2), lambda v: v + n1))
+    return rows.withColumn(to, found).select(*(F.col(f"`{c}`") for c in kept if c != to), to)
+
+
 def with_likeness(docs: DataFrame, a: str, b: str, to: str) -> DataFrame:
     """Adds the likeness (0 to 1) of the fingerprints in the columns a and b, from anchors that match by position.
 
@@ -185,21 +206,22 @@ def compare_with_edits(docs: DataFrame, *, id_column: str = "doc_id", text_colum
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of the next
     document, or all of it. Null counts as empty; an empty text stays empty when edited. Repeated rows
-    are returned as often as they occur. Other columns of docs are ignored. See likeness for the two
+    are returned as often as they occur. Other columns of docs are ignored. A text's anchors are found once: those of
+    edited texts are put together (with_joined_anchors). See likeness for the two
     likenesses; with_likeness, which matches positions, costs too much for whole tables.
     """
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), text_or_empty(docs, text_column).alias("text"))
     half = F.shiftright("n_chars", 1)
-    edited = (
+    parts = (
         with_next(rows, run=run)
         .withColumn("n_chars", F.length("text"))
-        .withColumn("edited", F.concat(F.left("text", F.col("n_chars") - half), F.left(F.coalesce("next_text", F.lit("")), half)))
+        .withColumns({"stays": F.left("text", F.col("n_chars") - half), "comes": F.left(F.coalesce("next_text", F.lit("")), half)})
     )
-    anchored = with_anchors(edited, "edited", "edited_anchors", run=run)
+    anchored = with_joined_anchors(parts, "stays", "anchors", "comes", "next_anchors", "edited_anchors", run=run)
     return anchored.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
+        F.sha2(F.concat("stays", "comes"), 256).alias("edited_sha256"),
         hex_digits("anchors").alias("fingerprint"),
         hex_digits("edited_anchors").alias("edited_fingerprint"),
         likeness("anchors", "edited_anchors").alias("near_edited"),

@@ -5,7 +5,7 @@ import re
 import xxhash
 from pyspark.sql import functions as F
 
-from sheetstorm.llm.syncmers import PIECE, RUN, _next_of_buckets, compare_with_edits, fingerprint, with_anchors, with_likeness
+from sheetstorm.llm.syncmers import PIECE, RUN, _next_of_buckets, compare_with_edits, fingerprint, with_anchors, with_joined_anchors, with_likeness
 
 from .helpers import SF, odd_documents, texts
 
@@ -124,3 +124,15 @@ def test_successors_over_wide_ids(spark):
         assert rows[doc_id].edited_sha256 == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
     spans = spark.createDataFrame([(i, i) for i in range(5)], "bucket long, first long")
     assert _next_of_buckets(spans, 0, 4).agg(F.count("next_first")).first()[0] == 5
+
+
+def test_joined_anchors_at_every_cut(spark):
+    """Anchors put together from those of both texts are those of the joined text, also around few pieces and much white space."""
+    rng = random.Random(3)
+    whole = ["", "  \n ", "ab", " a b\tc  ", "a" * 18, "b" * 19, "  x y " * 12, "漢字🙂 \x0b naïve\u00a0café " * 5, "".join(rng.choices("abc  \n🙂", k=90))]
+    cuts = [(x[:i], x, y[:j], y) for x in whole for y in whole for i in {0, 1, 3, 17, 18, 19, 20, 38, len(x)} for j in {0, 2, 17, 18, 19, 37, len(y)} if i <= len(x) and j <= len(y)]
+    rows = spark.createDataFrame(cuts, "first string, x string, second string, y string").withColumn("joined", F.concat("first", "second")).repartition(4)
+    known = with_anchors(with_anchors(with_anchors(rows, "x", "of_x"), "y", "of_y"), "joined", "want")
+    found = with_joined_anchors(known, "first", "of_x", "second", "of_y", "got").select("first", "second", "want", "got").collect()
+    assert len(found) == len(cuts) > 1500
+    assert [r for r in found if r.want != r.got] == []
