@@ -48,6 +48,10 @@ IDS, DOCUMENTS = 0, 1
 PARTS = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 PARTS_SQL = "block long, kind int, payload binary"
 
+#: Ids of a run of documents, each with its place in their list, and the documents.
+LISTED = pa.schema([("place", pa.int32()), ("token", pa.int32()), ("payload", pa.binary())])
+LISTED_SQL = "place int, token int, payload binary"
+
 OTHER_ROWS = "the input gave other rows when a lost part was read again: write it to a table first"
 
 
@@ -159,6 +163,12 @@ def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_c
     often as they occur; rows without an id like any other. Other columns of docs are ignored.
     """
     kind = docs.schema[id_column].dataType
+    parts = _encoded_parts(docs, ranks, id_column, text_column, block_bytes)
+    return parts.mapInArrow(_assemble, "doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def _encoded_parts(docs: DataFrame, ranks: str, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Ids of words and rows of places, those of a block in one partition and in the order that _assemble takes."""
     rows = with_text_ids(docs.select(docs[id_column].alias("doc_id"), text_or_empty(docs, text_column).alias("text")))
     homes = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # words of one home travel packed
 
@@ -191,8 +201,7 @@ def encode_bpe(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_c
 
     arrived = rows.mapInArrow(cut, SENT_SQL).repartition("home").mapInArrow(_arrived, ROWS_SQL)
     encoded = arrived.sortWithinPartitions("word").mapInArrow(encode, PARTS_SQL)
-    together = encoded.repartition("block").sortWithinPartitions("block", "kind")
-    return together.mapInArrow(_assemble, "doc_id string, ids array<int>").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return encoded.repartition("block").sortWithinPartitions("block", "kind")
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -279,23 +288,25 @@ def decode_bpe(encoded: DataFrame, tokens: DataFrame) -> DataFrame:
     """
     kind = encoded.schema["doc_id"].dataType
     rows = encoded.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    listed = rows.mapInArrow(_list_ids, "place int, token int, payload binary")
+    return _decoded_lists(rows.mapInArrow(_list_ids, LISTED_SQL), tokens).withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
+def _decoded_lists(listed: DataFrame, tokens: DataFrame) -> DataFrame:
     joined = listed.join(F.broadcast(tokens.select("token", "token_bytes")), "token", "left").select("place", "token", "token_bytes", "payload")
-    return joined.mapInArrow(_reassemble, "doc_id string, ids array<int>, decoded binary").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return joined.mapInArrow(_reassemble, "doc_id string, ids array<int>, decoded binary")
 
 
 def _list_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per id of a run of documents, and then one with the documents as places in that list."""
-    schema = pa.schema([("place", pa.int32()), ("token", pa.int32()), ("payload", pa.binary())])
     names, parts, held = [], [], 0
 
     def run() -> Iterator[pa.RecordBatch]:
         listed, places = np.unique(np.concatenate(parts), return_inverse=True)
         n = len(listed)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype="int32")), pa.array(listed.astype("int32")), pa.nulls(n, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype="int32")), pa.array(listed.astype("int32")), pa.nulls(n, pa.binary())], schema=LISTED)
         ends = np.cumsum([len(x) for x in parts])[:-1]
         payload = _pack_documents(names, np.split(places, ends))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.nulls(1, pa.int32()), pa.array([payload])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.nulls(1, pa.int32()), pa.array([payload])], schema=LISTED)
 
     for batch in batches:
         for name, ids in zip(batch["doc_id"].to_pylist(), batch["ids"], strict=True):
@@ -307,6 +318,12 @@ def _list_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names, parts, held = [], [], 0
     if names:
         yield from run()
+    names, parts = [], []
+    give_back_memory()
+
+
+def _assemble_and_list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _list_ids(_assemble(batches))
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,6 +343,7 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if documents.any():
                 yield _decoded(part["payload"][-1].as_py(), np.concatenate(tokens), found)
                 tokens, found = [], []
+    give_back_memory()
 
 
 def _at_payloads(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -346,11 +364,17 @@ def _decoded(payload: bytes, tokens: np.ndarray, found: list[bytes]) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), ids, texts], ["doc_id", "ids", "decoded"])
 
 
-def encode_and_decode(docs: DataFrame, ranks: str, **columns: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256; see encode_bpe and decode_bpe."""
-    decoded = decode_bpe(encode_bpe(docs, ranks, **columns), token_table(docs.sparkSession, ranks))
+def encode_and_decode(docs: DataFrame, ranks: str, *, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space), decoded_sha256; see encode_bpe and decode_bpe.
+
+    Ids are listed for decoding by the Python worker that puts them together: a task has two workers instead of
+    three, and ids don't travel between them.
+    """
+    kind, spark = docs.schema[id_column].dataType, docs.sparkSession
+    listed = _encoded_parts(docs, ranks, id_column, text_column, block_bytes).mapInArrow(_assemble_and_list, LISTED_SQL)
+    decoded = _decoded_lists(listed, token_table(spark, ranks))
     return decoded.select(
-        "doc_id",
+        F.col("doc_id").cast(kind).alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -59,3 +59,9 @@ def test_patterns_agree():
     for _ in range(3000):
         text = "".join(rng.choices("aZs'dtrevml09 \t\n\r\x0b\x1c\x1f\x00.,<|>", k=rng.randint(0, 30)))
         assert re.findall(ASCII_PATTERN, text) == regex.findall(public_tokenizers.PATTERN, text)
+
+
+def test_a_task_has_few_python_workers(spark):
+    """All workers of an executor count against its memory: what puts ids together also lists them for decoding."""
+    plan = encode_and_decode(odd_documents(spark), RANKS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 5
