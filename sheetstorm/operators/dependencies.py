@@ -6,6 +6,8 @@ with the longest chain of references, those of cycles with the longest way insid
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,17 +51,22 @@ def draws(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("input_text").startswith("=") & F.col("input_text").rlike(DRAWS)).select(F.concat_ws("!", "sheet", "address").alias("node"))
 
 
+def _joined(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by sorting both sides: tables of every round are small enough to be broadcast, and together would send the driver more than the input."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def _peel(nodes: DataFrame, edges: DataFrame, side: str, other: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(levels, nodes left, edges left): takes off nodes without an edge on `side`, round by round."""
     levels, at = None, 0
     while True:
-        free = kept(nodes.join(edges.select(F.col(side).alias("node")).distinct(), "node", "left_anti").select("node"))
+        free = kept(_joined(nodes, edges.select(F.col(side).alias("node")).distinct(), "node", "left_anti").select("node"))
         if free.isEmpty():
             return levels, nodes, edges
         found = free.withColumn("level", F.lit(at))
         levels = found if levels is None else levels.unionByName(found)
-        nodes = kept(nodes.join(free, "node", "left_anti"))
-        edges = kept(edges.join(free.select(F.col("node").alias(other)), other, "left_anti"))
+        nodes = kept(_joined(nodes, free, "node", "left_anti"))
+        edges = kept(_joined(edges, free.select(F.col("node").alias(other)), other, "left_anti"))
         at += 1
 
 
@@ -73,24 +80,24 @@ def cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while not nodes.isEmpty():
         colour = kept(nodes.select("node", F.col("node").alias("colour")))
         while True:
-            coming = edges.join(colour.withColumnRenamed("node", "needs"), "needs").groupBy("node").agg(F.min("colour").alias("lower"))
-            following = kept(colour.join(coming, "node", "left").select("node", F.least("colour", F.coalesce("lower", "colour")).alias("colour"), (F.col("lower") < F.col("colour")).alias("moved")))
+            coming = _joined(edges, colour.withColumnRenamed("node", "needs"), "needs").groupBy("node").agg(F.min("colour").alias("lower"))
+            following = kept(_joined(colour, coming, "node", "left").select("node", F.least("colour", F.coalesce("lower", "colour")).alias("colour"), (F.col("lower") < F.col("colour")).alias("moved")))
             colour = following.select("node", "colour")
             if following.where("moved").isEmpty():
                 break
         # Inside one colour, from the node of that name against the references.
-        inside = kept(edges.join(colour, "node").join(colour.select(F.col("node").alias("needs"), F.col("colour").alias("of_needs")), "needs").where("colour = of_needs").select("node", "needs"))
+        inside = kept(_joined(_joined(edges, colour, "node"), colour.select(F.col("node").alias("needs"), F.col("colour").alias("of_needs")), "needs").where("colour = of_needs").select("node", "needs"))
         reached = frontier = kept(colour.where("node = colour").select("node"))
         while not frontier.isEmpty():
-            frontier = kept(inside.join(frontier, "node").select(F.col("needs").alias("node")).distinct().join(reached, "node", "left_anti"))
+            frontier = kept(_joined(_joined(inside, frontier, "node").select(F.col("needs").alias("node")).distinct(), reached, "node", "left_anti"))
             reached = kept(reached.unionByName(frontier))
-        own = colour.join(reached, "node")
+        own = _joined(colour, reached, "node")
         size = own.groupBy("colour").agg(F.count(F.lit(1)).alias("size"))
         loops = edges.where("node = needs").select("node").distinct().withColumn("loop", F.lit(True))
-        groups = own.join(size, "colour").join(loops, "node", "left").where("size > 1 or loop").select("node", F.col("colour").alias("cycle"))
+        groups = _joined(_joined(own, size, "colour"), loops, "node", "left").where("size > 1 or loop").select("node", F.col("colour").alias("cycle"))
         found = groups if found is None else found.unionByName(groups)
-        nodes = kept(nodes.join(reached, "node", "left_anti"))
-        edges = kept(edges.join(nodes, "node", "left_semi").join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi"))
+        nodes = kept(_joined(nodes, reached, "node", "left_anti"))
+        edges = kept(_joined(_joined(edges, nodes, "node", "left_semi"), nodes.select(F.col("node").alias("needs")), "needs", "left_semi"))
     return found if found is not None else nodes.withColumn("cycle", F.col("node"))
 
 
@@ -98,7 +105,7 @@ def reach(start: DataFrame, edges: DataFrame) -> DataFrame:
     """node: the starting nodes and all that need one of them, directly or by way of others."""
     reached = frontier = kept(start.select("node").distinct())
     while not frontier.isEmpty():
-        frontier = kept(edges.join(frontier.select(F.col("node").alias("needs")), "needs", "left_semi").select("node").distinct().join(reached, "node", "left_anti"))
+        frontier = kept(_joined(_joined(edges, frontier.select(F.col("node").alias("needs")), "needs", "left_semi").select("node").distinct(), reached, "node", "left_anti"))
         reached = kept(reached.unionByName(frontier))
     return reached
 
@@ -111,12 +118,12 @@ def analyse(cells: DataFrame) -> DataFrame:
     cells that are empty or hold a text count for nothing here.
     """
     nodes = kept(cells.where("input_num is not null or startswith(input_text, '=')").select(F.concat_ws("!", "sheet", "address").alias("node")).distinct())
-    edges = kept(references(cells).join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi"))
+    edges = kept(_joined(references(cells), nodes.select(F.col("node").alias("needs")), "needs", "left_semi"))
     levels, left, inner = _peel(nodes, edges, "node", "needs")
     _, tangled, knots = _peel(left, inner, "needs", "node")
     circular = kept(cycles(tangled, knots))
-    uncertain = reach(draws(cells).join(nodes, "node", "left_semi"), edges).withColumn("uncertain", F.lit(True))
-    stuck = left.join(circular, "node", "left_anti").withColumn("blocked", F.lit(True))
+    uncertain = reach(_joined(draws(cells), nodes, "node", "left_semi"), edges).withColumn("uncertain", F.lit(True))
+    stuck = _joined(left, circular, "node", "left_anti").withColumn("blocked", F.lit(True))
     levels = levels if levels is not None else nodes.limit(0).withColumn("level", F.lit(0))
-    found = nodes.join(levels, "node", "left").join(circular, "node", "left").join(stuck, "node", "left").join(uncertain, "node", "left")
+    found = reduce(lambda a, b: _joined(a, b, "node", "left"), (levels, circular, stuck, uncertain), nodes)
     return found.select("node", "level", "cycle", F.coalesce("blocked", F.lit(False)).alias("blocked"), F.coalesce("uncertain", F.lit(False)).alias("uncertain"))

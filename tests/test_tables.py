@@ -213,3 +213,11 @@ def test_progressive_histogram_bins_every_row(spark):
     want = summary.histogram(rows.select(F.lit("A1").alias("cell"), F.col("k").alias("iteration"), F.col("x").alias("value")), ["cell"])
     assert sorted(map(tuple, bins.collect())) == sorted(map(tuple, want.collect()))
     assert bins.agg(F.sum("n")).first()[0] == count
+
+
+def test_dependencies_send_no_table_to_the_driver(spark):
+    cells = cells_table(spark, [Sheet("S", {"A1": "=UNIFORM(0,1)", "A2": "=A1", "B1": "=B2", "B2": "=B1"})])
+    found = dependencies.analyse(cells)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {r.node: (r.level, r.cycle, r.uncertain) for r in found.collect()} == {"S!A1": (0, None, True), "S!A2": (1, None, True), "S!B1": (None, "S!B1", False), "S!B2": (None, "S!B1", False)}
